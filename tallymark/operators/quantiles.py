@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,5 +67,3 @@ def boxplot(df: DataFrame, category: str, value: str) -> DataFrame:
     return (folded.join(fences, category).groupBy(category, "q1", "median", "q3")
             .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
                  F.sum(F.when(inside, 0).otherwise(c("n"))).alias("outliers"), F.sum("n").alias("n_points")))
-
-

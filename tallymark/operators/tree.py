@@ -14,23 +14,22 @@ def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     """(id, ancestor, hops) for every node and ancestor, hops >= 1, plus cycle detection.
 
     Known paths double each round, so a chain of depth d needs log2(d) joins;
-    each round is written to the shared folder and read back. A path longer
-    than the number of nodes can only be a cycle and raises an error.
+    each round is written to the shared folder and read back. A node that
+    turns up among its own ancestors is on a cycle and raises an error.
     """
     edges = nodes.filter(c(parent_col).isNotNull()).select(c(id_col).alias("id"), c(parent_col).alias("parent"))
     known = materialize(edges.select("id", c("parent").alias("ancestor"), F.lit(1).alias("hops")), "tree")
-    limit = known.count()
-    reach = 1
+    fresh, reach = known, 1
     while True:
+        if not fresh.filter(c("id") == c("ancestor")).isEmpty():
+            raise ValueError("the hierarchy contains a cycle")
         # join only the furthest known step of each node: everything nearer is already listed
         tips = known.filter(c("hops") == reach).select("id", c("ancestor").alias("via"))
         longer = known.select(c("id").alias("via"), "ancestor", (c("hops") + reach).alias("hops"))
-        further = materialize(tips.join(longer, "via").select("id", "ancestor", "hops"), "tree")
-        if further.isEmpty():
+        fresh = materialize(tips.join(longer, "via").select("id", "ancestor", "hops"), "tree")
+        if fresh.isEmpty():
             return known
-        if reach > limit:
-            raise ValueError("the hierarchy contains a cycle")
-        known = known.unionByName(further)
+        known = known.unionByName(fresh)
         reach *= 2
 
 
