@@ -51,7 +51,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     def quantile(q: str):
         low, high = pick(q, 0), pick(q, 1)
         part = F.max(F.when(c("q") == q, c("part")))
-        return (low + (F.coalesce(high, low) - low) * part).alias(q)
+        return (low * (1.0 - part) + F.coalesce(high, low) * part).alias(q)
 
     return found.groupBy(*keys).agg(*[quantile(q) for q in names])
 

@@ -34,7 +34,7 @@ def resolve_candidates(requests: DataFrame, options: DataFrame, available: DataF
     wanted = requests.select(scope, "kind").distinct().join(options.withColumn("pattern", pattern), "kind")
     offered = available.select(scope, "viz_type").distinct()
     exact = c("viz_type") == c("candidate")
-    hits = (wanted.join(offered, scope).filter(exact | c("viz_type").rlike(c("pattern")))
+    hits = (wanted.join(offered, scope).filter(exact | F.rlike("viz_type", c("pattern")))
             .groupBy(scope, "kind")
             .agg(F.min(F.struct("stage", F.when(exact, 0).otherwise(1).alias("fuzzy"), "position", "viz_type")).alias("best")))
     first = options.filter("stage = 1 AND position = 0").select("kind", c("candidate").alias("default_type"))
