@@ -19,7 +19,7 @@ from tallymark.sources.tables import Tables
 SPARK_TYPES = {"l": "bigint", "d": "double", "s": "string", "b": "boolean"}
 CHECK_TYPES = {"l": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN"}
 MODULES = ("finance", "clearance", "billing", "portfolio", "semantic", "charts", "windows", "quality", "catalog",
-           "pages", "commands", "textscan")
+           "pages", "commands", "textscan", "functions", "sources", "streaming")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _checks: dict[str, str] = {}

@@ -11,7 +11,7 @@ EXCLUDED_DIRS = (".git", "node_modules", "dist", "build", ".venv", "__pycache__"
 MAX_BYTES = 5 * 1024 * 1024
 HEAD_BYTES = 4096
 TEXT_SHARE = 0.60
-LINE_BREAK = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
