@@ -65,6 +65,19 @@ def evm_etc(evm: DataFrame) -> DataFrame:
                           .otherwise(c("bac") - c("ev")).cast(MONEY))
 
 
+def calculate_project_evm(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Fold repeated calculations into one row per key.
+
+    A later call replaces the amounts and the estimate to complete; the project
+    name stays as the first call wrote it.
+    """
+    stamp = F.struct(*order)
+    amounts = ["bac", "pv", "ev", "ac", "etc"]
+    return (evm_etc(calls).groupBy(*keys)
+            .agg(F.min_by("project_name", stamp).alias("project_name"), F.max_by(F.struct(*amounts), stamp).alias("_last"))
+            .select(*keys, "project_name", "_last.*"))
+
+
 def latest_snapshot(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows at the per-key maximum of ``order``, ties kept.
 

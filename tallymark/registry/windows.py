@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import changes as chg
 from tallymark.registry.core import cents, half_up, query
-from tallymark.sources.views import MONEY, PRICE
+from tallymark.sources.views import MONEY, money
 
 
 @query("upsert_latest", "user_id:l event_id:l event_type:s value:d",
@@ -16,12 +16,12 @@ def upsert_latest(t):
 
 def budget_changes(t):
     """Each order writes its month's budget row: planned is the order's price, actual its list price."""
-    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(PRICE).alias("gross"))
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).alias("gross"))
     return (t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
             .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .select(F.col("c_nationkey").alias("company_id"), F.col("o_custkey").alias("project_id"),
                     F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("snapshot_date"), F.col("o_orderkey").alias("change_id"),
-                    F.col("o_totalprice").cast(MONEY).alias("planned_amount"), F.col("gross").cast(MONEY).alias("actual_amount")))
+                    money("o_totalprice").cast(MONEY).alias("planned_amount"), F.col("gross").cast(MONEY).alias("actual_amount")))
 
 
 PCT = half_up(cents("(actual_amount - planned_amount)") + "*100", cents("planned_amount"), 2)

@@ -45,7 +45,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not (spark.conf.get("spark.master", "") or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tallymark-")
+        root = f"{tempfile.gettempdir()}/tallymark-{spark.conf.get('spark.app.id')}"
     return f"{root.rstrip('/')}/tallymark/{label}-{uuid.uuid4().hex}"
 
 
