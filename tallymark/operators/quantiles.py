@@ -5,65 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import materialize
+
 c = F.col
-CELLS = 1024
+CELLS_PER_OCTAVE = 4096
+
+
+def _cell(x):
+    """Order-keeping cell number of a value, a fixed share of its octave wide, known without looking at the data."""
+    return (F.signum(x) * F.floor(F.log2(F.abs(x) + 1.0) * CELLS_PER_OCTAVE)).cast("bigint")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], cells: int = CELLS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group, e.g. ``{"q1": 0.25}``.
 
-    Equal values are folded first. Each group's range is cut into ``cells``
-    equal cells; cumulative counts over the cells (at most ``cells`` rows per
-    group) tell which cell holds each wanted rank, and only those cells are
-    ordered value by value.
+    First pass: rows per (group, cell), folded on the map side; running counts
+    over the cells show which cell holds each wanted rank. Those few cells are
+    written to the shared folder, so the planner knows their size: it sends them
+    to the rows when they are small and shuffles otherwise. Second pass: only the
+    rows of those cells are ordered value by value.
     """
-    counts = df.filter(c(value).isNotNull()).groupBy(*keys, c(value).alias("v")).agg(F.count("*").alias("n"))
-    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    width = F.when(c("hi") > c("lo"), (c("hi") - c("lo")).cast("double"))
-    place = F.floor((c("v") - c("lo")).cast("double") / width * cells).cast("int")
-    placed = (counts.join(span, keys)
-              .withColumn("cell", F.coalesce(F.least(place, F.lit(cells - 1)), F.lit(0))))
-
-    by_cell = placed.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"), F.first("total").alias("total"))
-    upto = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = by_cell.withColumn("end", F.sum("cell_n").over(upto)).withColumn("begin", c("end") - c("cell_n"))
+    rows = df.filter(c(value).isNotNull()).select(*keys, c(value).alias("v"), _cell(c(value).cast("double")).alias("cell"))
+    by_cell = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = by_cell.select(*keys, "cell", F.sum("n").over(upto).alias("end"), "n", F.sum("n").over(group).alias("total"))
 
     # 0-based ranks on both sides of each quantile position p * (total - 1)
-    names = list(probs)
-    position = {q: F.lit(float(p)) * (c("total") - 1).cast("double") for q, p in probs.items()}
-    ranks = F.explode(F.array(*[
-        F.struct(F.lit(q).alias("q"), side.alias("side"), F.floor(position[q]).alias("lo_rank"),
-                 (F.floor(position[q]) + offset).alias("rank"), (position[q] - F.floor(position[q])).alias("part"))
-        for q in names for side, offset in ((F.lit(0), 0), (F.lit(1), 1))]))
-    wanted = (ends.select(*keys, "cell", "begin", "end", ranks.alias("w"))
-              .filter((c("w.rank") >= c("begin")) & (c("w.rank") < c("end")))
-              .select(*keys, "cell", "begin", "w.*"))
+    entries = []
+    for q, p in probs.items():
+        position = f"({float(p)!r}D * (total - 1))"
+        entries += [f"named_struct('q', '{q}', 'side', {side}, 'rank', floor({position}) + {side},"
+                    f" 'part', {position} - floor({position}))" for side in (0, 1)]
+    wanted = materialize(
+        ends.select(*keys, "cell", (c("end") - c("n")).alias("begin"), "end", F.expr(f"explode(array({', '.join(entries)}))").alias("w"))
+        .filter("w.rank >= begin AND w.rank < end").select(*keys, "cell", "begin", "w.*"), "ranks")
 
-    needed = placed.join(wanted.select(*keys, "cell", "begin").distinct(), [*keys, "cell"])
+    needed = (rows.join(wanted.select(*keys, "cell", "begin").distinct(), [*keys, "cell"])
+              .groupBy(*keys, "cell", "begin", "v").agg(F.count("*").alias("n")))
     inside = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = (needed.withColumn("last", c("begin") + F.sum("n").over(inside))
-               .select(*keys, "cell", "v", (c("last") - c("n")).alias("first"), "last"))
-    found = (stepped.join(wanted, [*keys, "cell"]).filter((c("rank") >= c("first")) & (c("rank") < c("last"))))
-
-    def pick(q: str, side: int):
-        return F.max(F.when((c("q") == q) & (c("side") == side), c("v"))).cast("double")
-
-    def quantile(q: str):
-        low, high = pick(q, 0), pick(q, 1)
-        part = F.max(F.when(c("q") == q, c("part")))
-        return (low * (1.0 - part) + F.coalesce(high, low) * part).alias(q)
-
-    return found.groupBy(*keys).agg(*[quantile(q) for q in names])
+    stepped = needed.withColumn("last", c("begin") + F.sum("n").over(inside)).select(
+        *keys, "cell", c("v").cast("double").alias("v"), (c("last") - c("n")).alias("first"), "last")
+    found = (stepped.join(wanted, [*keys, "cell"]).filter("rank >= first AND rank < last").groupBy(*keys, "q")
+             .agg(F.max("part").alias("part"), F.max(F.when(c("side") == 0, c("v"))).alias("low"),
+                  F.max(F.when(c("side") == 1, c("v"))).alias("high")))
+    at = c("low") * (1.0 - c("part")) + F.coalesce("high", "low") * c("part")
+    return found.groupBy(*keys).agg(*[F.max(F.when(c("q") == q, at)).alias(q) for q in probs])
 
 
 def boxplot(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Quartiles, 1.5-IQR whiskers and the number of points outside them."""
-    quartiles = exact_quantiles(df, [category], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, 1.5-IQR whiskers and the number of points outside them.
+
+    The two columns are stored once, so the joins behind them are not repeated
+    for each of the three passes.
+    """
+    df = materialize(df.filter(c(value).isNotNull()).select(category, value), "points")
+    quartiles = materialize(exact_quantiles(df, [category], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")
     fence = (c("q3") - c("q1")) * 1.5
-    fences = quartiles.withColumns({"low_fence": c("q1") - fence, "high_fence": c("q3") + fence})
-    folded = df.filter(c(value).isNotNull()).groupBy(category, c(value).alias("v")).agg(F.count("*").alias("n"))
-    x = c("v").cast("double")
-    inside = (x >= c("low_fence")) & (x <= c("high_fence"))
-    return (folded.join(fences, category).groupBy(category, "q1", "median", "q3")
-            .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(c("n"))).alias("outliers"), F.sum("n").alias("n_points")))
+    fences = quartiles.select("*", (c("q1") - fence).alias("low_fence"), (c("q3") + fence).alias("high_fence"))
+    points = df.select(category, c(value).cast("double").alias("x"))
+    inside = "x >= low_fence AND x <= high_fence"
+    return (points.join(fences, category).groupBy(category, "q1", "median", "q3")
+            .agg(F.expr(f"min(x) FILTER (WHERE {inside})").alias("whisker_low"),
+                 F.expr(f"max(x) FILTER (WHERE {inside})").alias("whisker_high"),
+                 F.expr(f"count_if(NOT ({inside}))").alias("outliers"), F.count("*").alias("n_points")))

@@ -58,6 +58,15 @@ def _finish(hits: DataFrame) -> DataFrame:
         detector_for_path(c("path")).alias("detector"), tags_for_path(c("path")).alias("tags"))
 
 
+def _mentions_url(text: str):
+    """Cheap byte search that every line with a URL or an SQLite path passes."""
+    return c(text).contains("://") | F.lower(text).contains(".sqlite")
+
+
+def _mentions_setting(text: str):
+    return c(text).contains("DATABASE_URL") | c(text).contains("DB_") | c(text).contains("PG")
+
+
 def line_hits(rows: DataFrame, driver_suffix: bool = False) -> DataFrame:
     """Connection URLs, SQLite paths and the first hosted-project URL of every line, in one pass.
 
@@ -69,7 +78,7 @@ def line_hits(rows: DataFrame, driver_suffix: bool = False) -> DataFrame:
              " CASE WHEN startswith(lower(x), 'sqlite:///') THEN 'sqlite_url' ELSE 'sqlite' END, 'raw', x)),"
              f" transform(slice(regexp_extract_all(line, r'{HOSTED_PATTERN}', 0), 1, 1),"
              " x -> named_struct('kind', 'hosted', 'raw', x)))")
-    hits = (rows.filter(c("line").rlike(r"(?i)://|\.sqlite"))
+    hits = (rows.filter(_mentions_url("line"))
             .select("path", "line_no", "line", F.explode(F.expr(found)).alias("h")).select("path", "line_no", "line", "h.*"))
     return hits.selectExpr(
         "path", "line_no", "line", "kind", "raw",
@@ -108,16 +117,18 @@ def setting_hits(rows: DataFrame) -> DataFrame:
     return folded.select("path", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))")).alias("h")).select("path", "h.*")
 
 
-def env_compose(rows: DataFrame) -> DataFrame:
+def env_compose(corpus: DataFrame) -> DataFrame:
     """Only the composed DB_* and PG* findings."""
+    rows = lines(corpus.filter(_mentions_setting("text"))).filter(_mentions_setting("line"))
     return _finish(setting_hits(rows).filter(c("kind").isin(*FAMILIES)).select(*HIT))
 
 
 def datastore_findings(corpus: DataFrame, driver_suffix: bool = False) -> DataFrame:
     """All detectors over the lines of a corpus (path, text), not yet de-duplicated."""
-    # a line without one of these cannot produce a finding, so most lines stop here
-    rows = lines(corpus).filter(c("line").rlike(r"(?i)://|\.sqlite|^\s*(?:export\s+)?(?:DATABASE_URL|DB_|PG)"))
-    return _finish(line_hits(rows, driver_suffix).select(*HIT).unionByName(setting_hits(rows).select(*HIT)))
+    # files, then lines, without a trace of a reference stop at a byte search
+    urls = lines(corpus.filter(_mentions_url("text")))
+    settings = lines(corpus.filter(_mentions_setting("text"))).filter(_mentions_setting("line"))
+    return _finish(line_hits(urls, driver_suffix).select(*HIT).unionByName(setting_hits(settings).select(*HIT)))
 
 
 def dedupe_earliest(findings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tallymark.plans.dashboard import retail_dashboard
 from tallymark.plans.semantic import Dataset, Field, Filter, Metric, sales_dataset
 from tallymark.registry.core import half_up, query
 from tallymark.registry.semantic import MARGIN, avg4
+from tallymark.session import spread
 
 AS_OF = dt.date(1997, 6, 15)
 FS = "fact_sales"
@@ -232,14 +233,15 @@ def chart_scatter_map(t):
 
 
 @query("chart_boxplot", "segment:s q1:d median:d q3:d whisker_low:d whisker_high:d outliers:l n_points:l",
-       """SELECT f.segment, q1, median, q3, MIN(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
+       """SELECT f.segment, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3, MIN(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
  MAX(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
  COUNT(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers, COUNT(*) AS n_points
- FROM (SELECT segment, CAST(revenue AS DOUBLE) AS x FROM fact_sales) f JOIN quart USING (segment) GROUP BY 1, 2, 3, 4""", FS,
+ FROM (SELECT segment, CAST(revenue AS DOUBLE) AS x FROM fact_sales) f JOIN quart USING (segment) GROUP BY f.segment, quart.q1, quart.median, quart.q3""", FS,
        """quart AS (SELECT segment, QUANTILE_CONT(CAST(revenue AS DOUBLE), 0.25) AS q1, QUANTILE_CONT(CAST(revenue AS DOUBLE), 0.5) AS median,
  QUANTILE_CONT(CAST(revenue AS DOUBLE), 0.75) AS q3 FROM fact_sales GROUP BY 1)""")
 def chart_boxplot(t):
-    return _chart(t, "boxplot", metric="revenue", category="segment")
+    df = _chart(t, "boxplot", metric="revenue", category="segment")
+    return df.withColumns({q: F.round(q, 6) for q in ("q1", "median", "q3")})
 
 
 @query("chart_histogram", "bin:l n:l",
@@ -250,7 +252,7 @@ def chart_histogram(t):
 
 
 def documents_dataset(t) -> Dataset:
-    return Dataset(lambda names: t.documents.select(*names.split()),
+    return Dataset(lambda names: spread(t.documents.select("doc_id", *names.split()), "doc_id").select(*names.split()),
                    {"text": Field("VARCHAR"), "lang": Field("VARCHAR"), "n_chars": Field("BIGINT")})
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallymark.operators import commands as cmd
 from tallymark.registry.core import query
 
@@ -29,6 +31,6 @@ def enforcement_level(t):
  CAST(COUNT(*) FILTER (WHERE tool_kind = 'shell') AS DOUBLE) / COUNT(*) AS shell_share,
  CAST(COUNT(*) FILTER (WHERE fallback_used) AS DOUBLE) / COUNT(*) AS fallback_rate,
  CAST(COUNT(*) FILTER (WHERE failed) AS DOUBLE) / COUNT(*) AS error_rate,
- QUANTILE_CONT(CAST(detect_us AS DOUBLE), 0.99) AS p99_us FROM commands GROUP BY 1""", "commands")
+ ROUND(QUANTILE_CONT(CAST(detect_us AS DOUBLE), 0.99), 6) AS p99_us FROM commands GROUP BY 1""", "commands")
 def tool_adoption(t):
-    return cmd.tool_adoption(t.view("commands"))
+    return cmd.tool_adoption(t.view("commands")).withColumn("p99_us", F.round("p99_us", 6))

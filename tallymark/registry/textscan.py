@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import textscan as ts
 from tallymark.registry.core import query
-from tallymark.session import materialize, work_dir
+from tallymark.session import materialize, spread, work_dir
 from tallymark.sources.corpus import corpus_scan
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -36,8 +36,12 @@ SPEC = ("id:s datastore_type:s instance_name:s host:s port:s database:s user:s s
         " secret_fields:s file_path:s line_start:l line_end:l detector:s tags:s")
 
 
+def _corpus(t):
+    return spread(t.view("corpus"), "path")
+
+
 def _all(t):
-    return ts.datastore_findings(t.view("corpus"))
+    return ts.datastore_findings(_corpus(t))
 
 
 @query("datastore_findings", SPEC, "SELECT * FROM found", "corpus", RAW_CTE)
@@ -82,9 +86,7 @@ def findings_sink(t):
 @query("env_compose", "instance_name:s file_path:s host:s port:s database:s user:s line_start:l secrets_present:b",
        "SELECT * FROM found WHERE instance_name IN ('DB_*', 'PG*')", "corpus", RAW_CTE)
 def env_compose(t):
-    from tallymark.sources.corpus import lines
-
-    return ts.env_compose(lines(t.view("corpus")))
+    return ts.env_compose(_corpus(t))
 
 
 @query("redact_corpus", "doc_id:l digest:s secret_fields:s changed:b",
@@ -93,7 +95,7 @@ def env_compose(t):
  REGEXP_MATCHES(text, pat, 'i') AS changed FROM documents,
  (SELECT '\b(password|passwd|pwd|token|api[_-]?key|service[_-]?role|secret|private[_-]?key)\b\s*[:=]\s*(?:"[^"]*"|''[^'']*''|[^\s''",)]+)' AS pat) p""")
 def redact_corpus(t):
-    df = ts.redact_corpus(t.documents, "doc_id", mode="quoted")
+    df = ts.redact_corpus(spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", mode="quoted")
     return df.select("doc_id", F.sha2("text", 256).alias("digest"), F.array_join("secret_fields", ",").alias("secret_fields"), "changed")
 
 
