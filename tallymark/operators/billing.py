@@ -158,6 +158,16 @@ def period_filter(invoices: DataFrame, period: str, as_of: dt.date, column: str
     return between(invoices, column, *period_bounds(period, as_of))
 
 
+def period_summary(invoices: DataFrame, periods: list[str], as_of: dt.date, column: str = "invoice_date") -> DataFrame:
+    """Rows and amount of several periods in one pass; the rows of none of them are not read."""
+    bounds = {p: period_bounds(p, as_of) for p in periods}
+    kind = invoices.schema[column].dataType
+    df = between(invoices, column, min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values()))
+    inside = [F.when((c(column) >= F.lit(lo).cast(kind)) & (c(column) < F.lit(hi).cast(kind)), F.lit(p)) for p, (lo, hi) in bounds.items()]
+    return (df.select("amount_total", F.explode(F.array_compact(F.array(*inside))).alias("period"))
+            .groupBy("period").agg(F.count("*").alias("n_rows"), F.sum("amount_total").alias("amount")))
+
+
 def financial_summary(invoices: DataFrame, period: str, as_of: dt.date) -> DataFrame:
     return (period_filter(invoices, period, as_of).groupBy("state")
             .agg(F.count("*").alias("n_invoices"), F.sum("amount_total").alias("amount"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import js_or, mean, ratio_or
@@ -78,12 +78,17 @@ def calculate_project_evm(calls: DataFrame, keys: list[str], order: list[str]) -
             .select(*keys, "project_name", "_last.*"))
 
 
-def latest_snapshot(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def latest_snapshot(df: DataFrame, keys: list[str], order: str, unique: bool = False) -> DataFrame:
     """Rows at the per-key maximum of ``order``, ties kept.
 
-    An aggregate and a semi join on (keys, order): a key with many rows is
-    folded on the map side and its rows stay spread by date.
+    In general an aggregate and a semi join on (keys, order): a key with many
+    rows is folded on the map side and its rows stay spread by date. Where
+    (keys, order) is declared unique and ``order`` is a date, a key has at most
+    one row per day, and a window does the same in one pass.
     """
+    if unique:
+        newest = F.max(order).over(Window.partitionBy(*keys))
+        return df.withColumn("_newest", newest).filter(c(order) == c("_newest")).drop("_newest")
     newest = df.groupBy(*keys).agg(F.max(order).alias(order))
     return df.join(newest, [*keys, order], "left_semi")
 
@@ -91,7 +96,7 @@ def latest_snapshot(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def project_health(evm: DataFrame, budget: DataFrame) -> DataFrame:
     """Latest earned-value row per project, its same-day budget variance, and a colour."""
     keys = ["company_id", "project_id"]
-    latest = latest_snapshot(evm_metrics(evm), keys, "calculation_date")
+    latest = latest_snapshot(evm_metrics(evm), keys, "calculation_date", unique=True)
     variance = budget_variance(budget).select(
         *keys, c("snapshot_date").alias("calculation_date"), c("variance_pct").alias("budget_variance_pct"))
     return (latest.join(variance, [*keys, "calculation_date"], "left")

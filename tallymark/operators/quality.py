@@ -55,8 +55,8 @@ def q_date_order(df: DataFrame, start: str, end: str, keys: list[str]) -> DataFr
                     F.concat_ws(" > ", c(start).cast("string"), c(end).cast("string")).alias("detail")))
 
 
-def bundle_validate(docs: DataFrame) -> DataFrame:
-    """(asset_type, file, error_kind, message) per problem of an asset document.
+def _with_errors(docs: DataFrame) -> DataFrame:
+    """(asset_type, file, errors): the problems of each asset document as an array.
 
     A document that is not an object has that one error only; an empty version
     or schema version counts as absent, as does an unknown asset type's schema.
@@ -81,17 +81,20 @@ def bundle_validate(docs: DataFrame) -> DataFrame:
     errors = (F.when(c("parsed").isNull(), F.array(problem("syntax", F.lit("Document is not valid JSON"))))
               .when(c("f").isNull(), F.array(problem("root", F.lit("Root must be a dictionary"))))
               .otherwise(F.concat(missing, F.array_compact(F.array(bad_version, bad_schema)))))
-    return (df.select("asset_type", "file", F.explode(errors).alias("e"))
+    return df.select("asset_type", "file", errors.alias("errors"))
+
+
+def bundle_validate(docs: DataFrame) -> DataFrame:
+    """(asset_type, file, error_kind, message) per problem of an asset document."""
+    return (_with_errors(docs).select("asset_type", "file", F.explode("errors").alias("e"))
             .select("asset_type", "file", "e.error_kind", "e.message"))
 
 
 def validation_summary(docs: DataFrame) -> DataFrame:
-    """Valid and total documents per asset type; errors are folded per file first."""
-    broken = bundle_validate(docs).groupBy("asset_type", "file").agg(F.count("*").alias("n_errors"))
-    checked = docs.select("asset_type", "file").join(broken, ["asset_type", "file"], "left")
-    return checked.groupBy("asset_type").agg(
-        F.count("*").alias("total"), F.count_if(c("n_errors").isNull()).alias("valid"),
-        F.coalesce(F.sum("n_errors"), F.lit(0)).alias("n_errors"))
+    """Valid and total documents per asset type, in one pass."""
+    n = F.size("errors")
+    return _with_errors(docs).groupBy("asset_type").agg(
+        F.count("*").alias("total"), F.count_if(n == 0).alias("valid"), F.sum(n).alias("n_errors"))
 
 
 def drift_diff(bundle: DataFrame, runtime: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.plans.chart_catalog import KINDS, VISUALS
@@ -16,30 +18,34 @@ def map_visuals(rows: DataFrame, column: str = "visual") -> DataFrame:
     return rows.withColumn("kind", F.try_element_at(table, c(column)))
 
 
-def candidates(spark: SparkSession) -> DataFrame:
-    """(kind, stage, position, candidate): preferred types are stage 0, fallbacks stage 1."""
-    rows = [(kind, stage, i, name) for kind, spec in KINDS.items()
-            for stage, names in enumerate(spec[2:]) for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "kind string, stage int, position int, candidate string")
+# (kind, stage, position, candidate): preferred types are stage 0, fallbacks stage 1
+CANDIDATES = tuple((kind, stage, i, name) for kind, spec in KINDS.items()
+                   for stage, names in enumerate(spec[2:]) for i, name in enumerate(names))
 
 
-def resolve_candidates(requests: DataFrame, options: DataFrame, available: DataFrame, scope: str) -> DataFrame:
+def resolve_candidates(requests: DataFrame, available: DataFrame, scope: str, options=CANDIDATES) -> DataFrame:
     """One type per (scope, kind): preferred before fallback, exact before fuzzy, then order.
 
     A fuzzy match reads '_' and '-' as "anything between", ignoring case. When
-    nothing fits, the first fallback is taken. Requests meet the available types
-    of their own scope only, and the best match is a plain minimum.
+    nothing fits, the first fallback is taken. The candidates are a fixed list,
+    so each available type is tested against them where it is read, and only
+    its matches go on to a plain minimum: no pairing of rows.
     """
-    pattern = F.concat(F.lit("(?i)"), F.regexp_replace("candidate", r"[_\-]+", ".*"))
-    wanted = requests.select(scope, "kind").distinct().join(options.withColumn("pattern", pattern), "kind")
-    offered = available.select(scope, "viz_type").distinct()
-    exact = c("viz_type") == c("candidate")
-    hits = (wanted.join(offered, scope).filter(exact | F.rlike("viz_type", c("pattern")))
-            .groupBy(scope, "kind")
-            .agg(F.min(F.struct("stage", F.when(exact, 0).otherwise(1).alias("fuzzy"), "position", "viz_type")).alias("best")))
-    first = options.filter("stage = 1 AND position = 0").select("kind", c("candidate").alias("default_type"))
-    return (requests.select(scope, "kind").distinct().join(hits, [scope, "kind"], "left").join(first, "kind", "left")
-            .select(scope, "kind", F.coalesce("best.viz_type", "default_type").alias("viz_type"),
+    viz = c("viz_type")
+
+    def match(kind: str, stage: int, position: int, candidate: str):
+        fuzzy = "(?i)" + re.sub(r"[_\-]+", ".*", re.escape(candidate).replace("\\-", "-"))
+        hit = F.struct(F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), F.when(viz == candidate, 0).otherwise(1).alias("fuzzy"),
+                       F.lit(position).alias("position"))
+        return F.when((viz == candidate) | viz.rlike(fuzzy), hit)
+
+    hits = (available.select(scope, "viz_type").distinct()
+            .select(scope, "viz_type", F.explode(F.array_compact(F.array(*[match(*o) for o in options]))).alias("m"))
+            .groupBy(scope, c("m.kind").alias("kind"))
+            .agg(F.min(F.struct("m.stage", "m.fuzzy", "m.position", "viz_type")).alias("best")))
+    first = F.create_map(*[F.lit(x) for kind, stage, position, name in options if (stage, position) == (1, 0) for x in (kind, name)])
+    return (requests.select(scope, "kind").distinct().join(hits, [scope, "kind"], "left")
+            .select(scope, "kind", F.coalesce("best.viz_type", F.try_element_at(first, c("kind"))).alias("viz_type"),
                     F.when(c("best").isNull(), "default").when(c("best.fuzzy") == 0, "exact").otherwise("fuzzy").alias("how")))
 
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.session import materialize
+
 c = F.col
 UNIT = "decimal(38,0)"
 
 
 def dense_daily(df: DataFrame, day: Column, value: Column) -> DataFrame:
-    """(day, value) with one row for every calendar day between first and last; gaps are 0."""
-    daily = df.groupBy(day.alias("day")).agg(value.alias("value"))
+    """(day, value) with one row for every calendar day between first and last; gaps are 0.
+
+    The daily rows, one per calendar day, are stored once: the spine, the lag and
+    the latest day all read them, and none repeats the work behind them.
+    """
+    daily = materialize(df.groupBy(day.alias("day")).agg(value.alias("value")), "daily")
     spine = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(
         F.explode(F.sequence("lo", "hi")).alias("day"))
     return spine.join(daily, "day", "left").withColumn("value", F.coalesce("value", F.lit(0)))

@@ -163,9 +163,13 @@ def flat(findings: DataFrame) -> DataFrame:
 
 
 def findings_sink(findings: DataFrame, folder: str) -> dict[str, str]:
-    """Write the full findings as JSON, the flat ones as CSV and the summary; gives the three paths."""
+    """Write the full findings as JSON, the flat ones as CSV and the summary; gives the three paths.
+
+    The scan runs once: CSV and summary are made from the stored JSON.
+    """
     paths = {name: f"{folder}/{name}" for name in ("json", "csv", "summary")}
     findings.write.mode("overwrite").json(paths["json"])
-    flat(findings).write.mode("overwrite").option("header", True).csv(paths["csv"])
-    findings_by_type(findings).orderBy("datastore_type").write.mode("overwrite").json(paths["summary"])
+    stored = findings.sparkSession.read.schema(findings.schema).json(paths["json"])
+    flat(stored).write.mode("overwrite").option("header", True).csv(paths["csv"])
+    findings_by_type(stored).orderBy("datastore_type").write.mode("overwrite").json(paths["summary"])
     return paths

@@ -141,11 +141,11 @@ def _radar(r: _Request) -> DataFrame:
     """Each metric scaled to 0..1 between its smallest and largest category."""
     names = list(r.b["metrics"])
     df = r.df.groupBy(r.b["category"]).agg(*[r.dataset.metric(m).column(m) for m in names])
-    for m in names:
-        low = df.agg(F.min(m).cast("double")).scalar()
-        span = df.agg(F.nullif((F.max(m) - F.min(m)).cast("double"), F.lit(0.0))).scalar()
-        df = df.withColumn(f"{m}_scaled", F.coalesce((c(m).cast("double") - low) / span, F.lit(0.0)))
-    return df
+    bounds = df.agg(F.struct(*[e for m in names for e in (
+        F.min(m).cast("double").alias(f"{m}_low"),
+        F.nullif((F.max(m) - F.min(m)).cast("double"), F.lit(0.0)).alias(f"{m}_span"))])).scalar()
+    return df.withColumns({
+        f"{m}_scaled": F.coalesce((c(m).cast("double") - bounds[f"{m}_low"]) / bounds[f"{m}_span"], F.lit(0.0)) for m in names})
 
 
 def graph(edges: DataFrame, source: str, target: str, weight: str | None = None) -> DataFrame:

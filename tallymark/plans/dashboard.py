@@ -28,7 +28,7 @@ class Dashboard:
     filters: list[Filter] = field(default_factory=list)
 
     def base(self, time_range: str | None = None, as_of: dt.date | None = None, selected: list | None = None) -> DataFrame:
-        """The filtered rows every chart reads; persist it when several charts are drawn in one go."""
+        """The filtered rows every chart reads; store it once when several charts are drawn in one go."""
         extra = [Filter(self.select_column, selected, "IN")] if selected else []
         return filtered(self.dataset.load(list(self.columns)), [*self.filters, *extra], time_range, self.time_column, as_of)
 

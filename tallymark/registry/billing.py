@@ -126,10 +126,7 @@ SELECT 'last_month', COUNT(*), SUM(amount_total) FROM invoices WHERE invoice_dat
 SELECT 'this_quarter', COUNT(*), SUM(amount_total) FROM invoices WHERE invoice_date >= DATE '1997-04-01' AND invoice_date < DATE '1997-07-01' UNION ALL
 SELECT 'ytd', COUNT(*), SUM(amount_total) FROM invoices WHERE invoice_date >= DATE '1997-01-01' AND invoice_date <= DATE '1997-06-15'""", "invoices")
 def period_filter(t):
-    parts = [bl.period_filter(t.view("invoices"), p, AS_OF).agg(
-        F.lit(p).alias("period"), F.count("*").alias("n_rows"), F.sum("amount_total").alias("amount"))
-        for p in ("this_month", "last_month", "this_quarter", "ytd")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return bl.period_summary(t.view("invoices"), ["this_month", "last_month", "this_quarter", "ytd"], AS_OF)
 
 
 @query("financial_summary", "state:s n_invoices:l amount:d n_partners:l",

@@ -165,10 +165,9 @@ _OPTIONS = ", ".join(f"('{k}', {s}, {i}, '{n}')" for k, spec in KINDS.items() fo
 matched AS (SELECT env, kind, stage, pos, viz_type, CASE WHEN viz_type = candidate THEN 0 ELSE 1 END AS fuzzy FROM offered, options
  WHERE viz_type = candidate OR REGEXP_MATCHES(viz_type, REGEXP_REPLACE(candidate, '[_-]+', '.*', 'g'), 'i'))""")
 def resolve_candidates(t):
-    options = resolve.candidates(t.spark)
     kinds = F.explode(F.array(*[F.lit(k) for k in KINDS]))
     requests = t.supplier.select(F.col("s_suppkey").alias("env"), kinds.alias("kind"))
-    return resolve.resolve_candidates(requests, options, viz_offered(t), "env")
+    return resolve.resolve_candidates(requests, viz_offered(t), "env")
 
 
 @query("viz_type_counts", "count:l echarts_count:l classic_count:l",

@@ -11,7 +11,7 @@ from tallymark.plans.dashboard import retail_dashboard
 from tallymark.plans.semantic import Dataset, Field, Filter, Metric, sales_dataset
 from tallymark.registry.core import half_up, query
 from tallymark.registry.semantic import MARGIN, avg4
-from tallymark.session import spread
+from tallymark.session import materialize, spread
 
 AS_OF = dt.date(1997, 6, 15)
 FS = "fact_sales"
@@ -290,7 +290,8 @@ _DASH = "SELECT * FROM fact_sales WHERE order_date >= DATE '1996-06-15' AND orde
    WHERE order_date = (SELECT MAX(order_date) FROM dash) GROUP BY 2""", FS, f"dash AS ({_DASH})")
 def dashboard_bundle(t):
     board = retail_dashboard(sales_dataset(t))
-    charts = board.build(board.base("Last year", AS_OF, ["PROMO", "LARGE"]))
+    # the filtered rows are stored once and feed all five charts
+    charts = board.build(materialize(board.base("Last year", AS_OF, ["PROMO", "LARGE"]), "dashboard"))
     label = {"revenue_trend": "time", "top_products": "product_name", "top_categories": "category",
              "total_revenue_kpi": "day", "order_count_kpi": "day"}
     parts = [df.select(F.lit(name).alias("chart"), F.col(label[name]).cast("string").alias("label"),

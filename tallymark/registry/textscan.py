@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import textscan as ts
 from tallymark.registry.core import query
-from tallymark.session import materialize, spread, work_dir
+from tallymark.session import spread, work_dir
 from tallymark.sources.corpus import corpus_scan
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -77,8 +77,7 @@ def findings_by_type(t):
 
 @query("findings_sink", SPEC, "SELECT * FROM first_found", "corpus", RAW_CTE)
 def findings_sink(t):
-    # written once to the shared folder, then read back from the CSV
-    paths = ts.findings_sink(materialize(ts.dedupe_earliest(_all(t)), "findings"), work_dir(t.spark, "report"))
+    paths = ts.findings_sink(ts.dedupe_earliest(_all(t)), work_dir(t.spark, "report"))
     df = t.spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").csv(paths["csv"])
     return df.fillna("", ["secret_fields", "tags"])
 

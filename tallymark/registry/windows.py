@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import changes as chg
 from tallymark.registry.core import cents, half_up, query
+from tallymark.session import materialize
 from tallymark.sources.views import MONEY, money
 
 
@@ -40,7 +41,7 @@ AUDIT_KEYS = ["company_id", "project_id", "snapshot_date"]
 
 @query("budget_audit", AUDIT_SPEC, AUDIT_SQL, "", AUDIT_CTE)
 def budget_audit(t):
-    return chg.budget_audit(budget_changes(t), AUDIT_KEYS, "change_id")
+    return chg.budget_audit(materialize(budget_changes(t), "changes"), AUDIT_KEYS, "change_id")
 
 
 @query("clearance_timeline", "company_id:l clearance_request_id:l event_id:l event_type:s previous:s micros_since:l",

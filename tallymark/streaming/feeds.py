@@ -53,17 +53,15 @@ def run_batches(stream: DataFrame, label: str, transform: Callable[[DataFrame],
     """Apply ``transform`` to every micro-batch and keep each result in its own folder."""
     spark = stream.sparkSession
     folder = folder or work_dir(spark, label)
-    shape: list[StructType] = []
+    schema = transform(spark.createDataFrame([], stream.schema)).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch)
-        shape[:] = [out.schema]
-        out.write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(**(trigger or {"availableNow": True})).start())
     query.awaitTermination()
-    return folder, shape[0] if shape else None
+    return folder, schema
 
 
 def read_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:

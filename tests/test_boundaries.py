@@ -191,12 +191,11 @@ def test_commands(spark):
 
 
 def test_candidate_order(spark):
-    options = spark.createDataFrame([("k", 0, 0, "echarts_a"), ("k", 0, 1, "echarts-b"), ("k", 1, 0, "plain"), ("m", 1, 0, "zed")],
-                                    "kind string, stage int, position int, candidate string")
+    options = [("k", 0, 0, "echarts_a"), ("k", 0, 1, "echarts-b"), ("k", 1, 0, "plain"), ("m", 1, 0, "zed")]
     have = spark.createDataFrame([(1, "my_ECharts_x_a"), (1, "echarts-b"), (2, "plain"), (2, "ECHARTS.B.2"), (3, "plain"), (4, "other")],
                                  "env int, viz_type string")
     ask = spark.createDataFrame([(e, k) for e in (1, 2, 3, 4) for k in ("k", "m")], "env int, kind string")
-    got = {(r.env, r.kind): (r.viz_type, r.how) for r in resolve_candidates(ask, options, have, "env").collect()}
+    got = {(r.env, r.kind): (r.viz_type, r.how) for r in resolve_candidates(ask, have, "env", options).collect()}
     assert got[1, "k"] == ("echarts-b", "exact")        # exact beats an earlier fuzzy hit
     assert got[2, "k"] == ("ECHARTS.B.2", "fuzzy")
     assert got[3, "k"] == ("plain", "exact")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import changes, quality
 from tallymark.operators.capability import determinism_hash
+from tallymark.operators.finance import latest_snapshot
 from tallymark.operators.quantiles import exact_quantiles
 from tallymark.operators.series import kpi_anomaly, share_of_total
 from tallymark.operators.tree import tree_expand
@@ -44,6 +45,13 @@ def test_timeline_equals_a_plain_lag(spark, chunk):
             assert got[r[2]] == want
 
 
+def test_latest_snapshot_keeps_ties(spark):
+    data = [(1, 1, "a"), (1, 3, "b"), (1, 3, "c"), (2, 5, "d")]
+    df = spark.createDataFrame(data, "k int, day int, v string")
+    assert sorted(r.v for r in latest_snapshot(df, ["k"], "day").collect()) == ["b", "c", "d"]
+    assert sorted(r.v for r in latest_snapshot(df, ["k"], "day", unique=True).collect()) == ["b", "c", "d"]
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.lognormal(3, 4, 5000).round(4), "flat": np.full(40, 7.5), "one": np.array([-3.25]), "two": np.array([1.0, 2.0]),
