@@ -96,11 +96,14 @@ def latest_snapshot(df: DataFrame, keys: list[str], order: str, unique: bool = F
 def project_health(evm: DataFrame, budget: DataFrame) -> DataFrame:
     """Latest earned-value row per project, its same-day budget variance, and a colour."""
     keys = ["company_id", "project_id"]
-    latest = latest_snapshot(evm_metrics(evm), keys, "calculation_date", unique=True)
-    variance = budget_variance(budget).select(
-        *keys, c("snapshot_date").alias("calculation_date"), c("variance_pct").alias("budget_variance_pct"))
-    return (latest.join(variance, [*keys, "calculation_date"], "left")
-            .select(*keys, "project_name", "calculation_date", "pct_complete", "cpi", "spi", "budget_variance_pct",
+    day = [*keys, "calculation_date"]
+    # pick the rows first, then compute on what is left
+    latest = evm_metrics(latest_snapshot(evm, keys, "calculation_date", unique=True))
+    plans = budget.select(*keys, c("snapshot_date").alias("calculation_date"), "planned_amount", "actual_amount",
+                          F.lit(True).alias("_planned"))
+    return (budget_variance(latest.join(plans, day, "left"))
+            .select(*keys, "project_name", "calculation_date", "pct_complete", "cpi", "spi",
+                    F.when(c("_planned"), c("variance_pct")).alias("budget_variance_pct"),
                     health_status(c("cpi"), c("spi")).alias("health_status")))
 
 

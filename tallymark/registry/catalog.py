@@ -146,13 +146,13 @@ TYPES = ["echarts_timeseries_line", "ECharts-Bar", "echarts_pie", "line", "bar",
 
 
 def viz_offered(t):
-    i = F.explode(F.sequence(F.lit(0), F.lit(len(TYPES) - 1)))
-    df = t.supplier.select(F.col("s_suppkey").alias("env"), i.alias("i")).filter("(env * 7 + i * i + i * env) % 3 <> 0")
+    df = t.supplier.selectExpr(
+        "s_suppkey AS env", f"explode(sequence(CAST(s_suppkey % 5 AS INT), {len(TYPES) - 1}, CAST(1 + s_nationkey % 4 AS INT))) AS i")
     return df.select("env", F.element_at(F.array(*map(F.lit, TYPES)), F.col("i") + 1).alias("viz_type"))
 
 
-OFFER_CTE = f"""offered AS (SELECT env, viz_type FROM (SELECT s_suppkey AS env, UNNEST(RANGE(0, {len(TYPES)})) AS i FROM supplier) z,
- LATERAL (SELECT {TYPES!r}[i + 1] AS viz_type) y WHERE (env * 7 + i * i + i * env) % 3 <> 0)"""
+OFFER_CTE = f"""offered AS (SELECT env, viz_type FROM (SELECT s_suppkey AS env, UNNEST(RANGE(s_suppkey % 5, {len(TYPES)}, 1 + s_nationkey % 4)) AS i FROM supplier) z,
+ LATERAL (SELECT {TYPES!r}[i + 1] AS viz_type) y)"""
 _OPTIONS = ", ".join(f"('{k}', {s}, {i}, '{n}')" for k, spec in KINDS.items() for s, names in enumerate(spec[2:]) for i, n in enumerate(names))
 
 

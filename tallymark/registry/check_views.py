@@ -155,12 +155,12 @@ SELECT CONCAT('cap_', CAST(p_partkey AS VARCHAR)) AS capability_id, p_name AS ca
   CASE p_type WHEN 'STANDARD' THEN 'PPM' WHEN 'MEDIUM' THEN 'HR' WHEN 'PROMO' THEN 'Ops'
     WHEN 'LARGE' THEN 'Analytics' ELSE 'Finance' END AS domain,
   [CONCAT('page_', CAST(p_partkey * 3 AS VARCHAR)), CONCAT('doc:', p_brand)] AS enterprise_refs,
-  p_size % 3 < 2 AS in_core, CASE WHEN p_size % 4 = 1 THEN p_brand END AS repo,
-  CASE WHEN p_size % 4 = 1 THEN CONCAT('module_', p_name) END AS module,
+  p_size % 3 < 2 AS in_core, CASE WHEN p_size BETWEEN 13 AND 25 THEN p_brand END AS repo,
+  CASE WHEN p_size BETWEEN 13 AND 25 THEN CONCAT('module_', p_name) END AS module,
   p_size % 5 = 0 AS has_alt, p_size % 2 = 0 AS settings_only, p_partkey % 2 = 0 AS reusable, p_size >= 45 AS erp_unsafe,
   CASE WHEN p_partkey % 6 <> 0 THEN CONCAT('needs ', p_name) END AS justification, p_size % 4 AS gap_level,
   CASE WHEN p_brand = 'Brand#9' THEN 'Minimal Custom' WHEN p_size % 4 = 0 THEN 'Config' WHEN p_size % 4 = 1 THEN 'OCA'
     WHEN p_size % 4 = 2 THEN 'Minimal Custom' ELSE 'External' END AS smart_delta FROM part""",
     "registry_entries": """
-SELECT DISTINCT p_brand AS repo, CONCAT('module_', p_name) AS module FROM part WHERE p_size % 4 = 1 AND p_size < 30""",
+SELECT DISTINCT p_brand AS repo, CONCAT('module_', p_name) AS module FROM part WHERE p_size BETWEEN 13 AND 19""",
 }

@@ -59,19 +59,20 @@ def fact_sales(t: Tables, columns: str = "") -> DataFrame:
         money("l_quantity").cast("decimal(12,2)").alias("quantity"),
         _ten_thousandths(cents("l_extendedprice") * (100 - cents("l_discount"))).alias("revenue"),
         _ten_thousandths(cents("l_extendedprice") * (30 - cents("l_discount"))).alias("profit"))
+    # the chain of order dimensions is joined on its own first, so the sales
+    # lines are shuffled once, by order, however long the chain is
     if {"order_date", "customer_id", *customer_cols} & set(want):
-        orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("customer_id"),
-                                 F.col("o_orderdate").alias("order_date"))
+        orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("order_date"))
+        if customer_cols & set(want):
+            customer = t.customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
+            if {"nation", "region"} & set(want):
+                nation = t.nation.select("n_nationkey", "n_regionkey", F.col("n_name").alias("nation"))
+                customer = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+            if "region" in want:
+                region = t.region.select("r_regionkey", F.col("r_name").alias("region"))
+                customer = customer.join(region, customer.n_regionkey == region.r_regionkey, "left")
+            orders = orders.join(customer, orders.customer_id == customer.c_custkey, "left")
         df = df.join(orders, df.order_id == orders.o_orderkey, "left")
-    if customer_cols & set(want):
-        customer = t.customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
-        df = df.join(customer, df.customer_id == customer.c_custkey, "left")
-    if {"nation", "region"} & set(want):
-        nation = t.nation.select("n_nationkey", "n_regionkey", F.col("n_name").alias("nation"))
-        df = df.join(nation, df.c_nationkey == nation.n_nationkey, "left")
-    if "region" in want:
-        region = t.region.select("r_regionkey", F.col("r_name").alias("region"))
-        df = df.join(region, df.n_regionkey == region.r_regionkey, "left")
     if {"brand", "category", "product_name"} & set(want):
         part = t.part.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
                              F.col("p_name").alias("product_name"))
@@ -156,8 +157,8 @@ def sla(t: Tables) -> DataFrame:
 
 
 def checklist(t: Tables) -> DataFrame:
-    return (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    return (t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(F.col("c_nationkey").alias("company_id"), F.col("l_orderkey").alias("clearance_request_id"),
                     F.expr("CASE l_returnflag WHEN 'A' THEN 'IT' WHEN 'N' THEN 'Finance' ELSE 'HR' END")
                     .alias("department"), F.col("l_linenumber").alias("checklist_item"),
@@ -257,8 +258,9 @@ def deploys(t: Tables) -> DataFrame:
 
 
 def skills(t: Tables) -> DataFrame:
-    return (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    # parts first: a filter on the skill then cuts the lines before they meet the orders
+    return (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(F.col("o_custkey").alias("resource_id"), F.col("p_brand").alias("skill")))
 
 
@@ -356,7 +358,7 @@ def parity(t: Tables) -> DataFrame:
         "array(CONCAT('page_', p_partkey * 3), CONCAT('doc:', p_brand)) AS enterprise_refs",
         "CASE p_size % 3 WHEN 0 THEN array('account', 'analytic') WHEN 1 THEN array('project')"
         " ELSE CAST(array() AS ARRAY<STRING>) END AS core_modules",
-        "CASE WHEN p_size % 4 = 1 THEN array(named_struct('repo', p_brand, 'module', CONCAT('module_', p_name)))"
+        "CASE WHEN p_size BETWEEN 13 AND 25 THEN array(named_struct('repo', p_brand, 'module', CONCAT('module_', p_name)))"
         " ELSE CAST(array() AS ARRAY<STRUCT<repo: STRING, module: STRING>>) END AS community_modules",
         "CASE WHEN p_size % 5 = 0 THEN array('warehouse') ELSE CAST(array() AS ARRAY<STRING>) END AS alt_stack",
         "p_size % 2 = 0 AS settings_only", "p_partkey % 2 = 0 AS reusable", "p_size >= 45 AS erp_unsafe",
@@ -368,7 +370,7 @@ def parity(t: Tables) -> DataFrame:
 
 def registry_entries(t: Tables) -> DataFrame:
     """Community module registry: module names known per repo."""
-    return t.part.filter("p_size % 4 = 1 AND p_size < 30").selectExpr(
+    return t.part.filter("p_size BETWEEN 13 AND 19").selectExpr(
         "p_brand AS repo", "CONCAT('module_', p_name) AS module").distinct()
 
 

@@ -65,7 +65,8 @@ def run_batches(stream: DataFrame, label: str, transform: Callable[[DataFrame],
 
 
 def read_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/data")
+    """The stored batches, without the folder name's batch id."""
+    return spark.read.schema(schema).parquet(f"{folder}/data").select(*schema.names)
 
 
 def append_stream(stream: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df,
