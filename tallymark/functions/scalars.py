@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,16 @@ def ratio_or(num: Column, den: Column, otherwise, decimal_type: str, scale: int
     return F.when(den > 0, value).otherwise(otherwise).cast(decimal_type)
 
 
+def unfold(df: DataFrame, columns: list, array: Column, name: str) -> DataFrame:
+    """One row per array element beside ``columns``; empty arrays give none.
+
+    Spark guards a plain explode with a filter on the array's size, which works
+    out a costly array expression again for every mention. The outer form has no
+    such guard, and its empty rows are dropped afterwards.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def mean(col: Column) -> Column:
     """Average of an exact number as one double division (same bits on every plan)."""
     return F.sum(col).cast("double") / F.count(col).cast("double")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.scalars import js_or, parse_float_prefix
+from tallymark.functions.scalars import js_or, parse_float_prefix, unfold
 from tallymark.plans.periods import between, period_bounds
 
 c = F.col
@@ -121,7 +121,7 @@ OCR_SCHEMA = """tables ARRAY<STRUCT<type: STRING, vendor: STRING, total: STRING,
 
 def ocr_invoice_lines(docs: DataFrame) -> DataFrame:
     """Invoice tables of the OCR output, one row per item (a table without items keeps one row)."""
-    tables = (docs.select("doc_id", F.explode(F.from_json("payload", OCR_SCHEMA)["tables"]).alias("t"))
+    tables = (unfold(docs, ["doc_id"], F.from_json("payload", OCR_SCHEMA)["tables"], "t")
               .filter("t.type = 'invoice'"))
     return (tables.select("doc_id", c("t.vendor").alias("vendor"), parse_float_prefix(c("t.total")).alias("amount"),
                           c("t.date").alias("date"), F.explode_outer("t.items").alias("item"))
@@ -164,7 +164,7 @@ def period_summary(invoices: DataFrame, periods: list[str], as_of: dt.date, colu
     kind = invoices.schema[column].dataType
     df = between(invoices, column, min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values()))
     inside = [F.when((c(column) >= F.lit(lo).cast(kind)) & (c(column) < F.lit(hi).cast(kind)), F.lit(p)) for p, (lo, hi) in bounds.items()]
-    return (df.select("amount_total", F.explode(F.array_compact(F.array(*inside))).alias("period"))
+    return (unfold(df, ["amount_total"], F.array_compact(F.array(*inside)), "period")
             .groupBy("period").agg(F.count("*").alias("n_rows"), F.sum("amount_total").alias("amount")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.scalars import unfold
 from tallymark.operators.quality import drift_diff
 
 c = F.col
@@ -43,7 +44,7 @@ def parity_gates(parity: DataFrame) -> DataFrame:
         broken("oca_ref_required", (gap == 1) & (F.size("community_modules") == 0), F.lit("no module")),
         broken("external_justification", (gap == 3) & F.coalesce(c("justification") == "", F.lit(True)), F.lit("no justification")),
         broken("label_mismatch", c("smart_delta") != F.try_element_at(names, gap), c("smart_delta"))))
-    return (parity.select(c("capability_id").alias("key"), F.explode(gates).alias("g"))
+    return (unfold(parity, [c("capability_id").alias("key")], gates, "g")
             .select("g.rule", "key", "g.detail"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.scalars import canonical_url
+from tallymark.functions.scalars import canonical_url, unfold
 from tallymark.operators.quality import drift_diff
 
 c = F.col
@@ -40,7 +40,7 @@ def page_tree(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/]*)", 1)
     segments = F.filter(F.split(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/]*(.*)$", 1), "/"), lambda s: s != "")
     steps = (pages.select(host.alias("site_id"), segments.alias("seg"))
-             .select("site_id", "seg", F.explode(F.sequence(F.lit(0), F.size("seg"))).alias("depth")))
+             .select("site_id", "seg", F.explode_outer(F.sequence(F.lit(0), F.size("seg"))).alias("depth")))
     here = F.concat(F.array("site_id"), F.slice("seg", 1, c("depth")))
     return (steps.select("site_id", "depth", here.alias("trail"), (c("depth") < F.size("seg")).alias("inner"))
             .groupBy("site_id", F.array_join("trail", "/").alias("id"), "depth", "trail").agg(F.max("inner").alias("inner"))
@@ -66,5 +66,5 @@ def content_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(page_id, source, target) for every link of every page."""
-    return (pages.select("page_id", canonical_url(c("url")).alias("source"),
-                         F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")))
+    found = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    return unfold(pages, ["page_id", canonical_url(c("url")).alias("source")], found, "target")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.scalars import unfold
 from tallymark.sources.payloads import SCHEMA_VERSIONS
 
 c = F.col
@@ -45,7 +46,7 @@ def q_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def q_not_null(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """One pass over the rows, one output row per missing value."""
     found = F.array_compact(F.array(*[F.when(c(x).isNull(), F.lit(x)) for x in columns]))
-    return (df.select(_text_key(keys).alias("key"), F.explode(found).alias("detail"))
+    return (unfold(df, [_text_key(keys).alias("key")], found, "detail")
             .select(F.lit("not_null").alias("rule"), "key", "detail"))
 
 
@@ -86,7 +87,7 @@ def _with_errors(docs: DataFrame) -> DataFrame:
 
 def bundle_validate(docs: DataFrame) -> DataFrame:
     """(asset_type, file, error_kind, message) per problem of an asset document."""
-    return (_with_errors(docs).select("asset_type", "file", F.explode("errors").alias("e"))
+    return (unfold(_with_errors(docs), ["asset_type", "file"], c("errors"), "e")
             .select("asset_type", "file", "e.error_kind", "e.message"))
 
 

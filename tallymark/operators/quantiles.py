@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.session import materialize
 
 c = F.col
-CELLS_PER_OCTAVE = 4096
+CELLS_PER_OCTAVE = 512
 
 
 def _cell(x):

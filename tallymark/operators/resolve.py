@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.scalars import unfold
 from tallymark.plans.chart_catalog import KINDS, VISUALS
 
 c = F.col
@@ -40,7 +41,7 @@ def resolve_candidates(requests: DataFrame, available: DataFrame, scope: str, op
         return F.when((viz == candidate) | viz.rlike(fuzzy), hit)
 
     hits = (available.select(scope, "viz_type").distinct()
-            .select(scope, "viz_type", F.explode(F.array_compact(F.array(*[match(*o) for o in options]))).alias("m"))
+            .transform(lambda df: unfold(df, [scope, "viz_type"], F.array_compact(F.array(*[match(*o) for o in options])), "m"))
             .groupBy(scope, c("m.kind").alias("kind"))
             .agg(F.min(F.struct("m.stage", "m.fuzzy", "m.position", "viz_type")).alias("best")))
     first = F.create_map(*[F.lit(x) for kind, stage, position, name in options if (stage, position) == (1, 0) for x in (kind, name)])

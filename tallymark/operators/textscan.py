@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.redact import (detector_for_path, parse_db_url_sql, redact_text_sql, redact_url_sql,
                                         stable_id, tags_for_path)
-from tallymark.functions.scalars import ellipsis, strip_quotes
+from tallymark.functions.scalars import ellipsis, strip_quotes, unfold
 from tallymark.sources.corpus import lines
 
 c = F.col
@@ -78,8 +78,7 @@ def line_hits(rows: DataFrame, driver_suffix: bool = False) -> DataFrame:
              " CASE WHEN startswith(lower(x), 'sqlite:///') THEN 'sqlite_url' ELSE 'sqlite' END, 'raw', x)),"
              f" transform(slice(regexp_extract_all(line, r'{HOSTED_PATTERN}', 0), 1, 1),"
              " x -> named_struct('kind', 'hosted', 'raw', x)))")
-    hits = (rows.filter(_mentions_url("line"))
-            .select("path", "line_no", "line", F.explode(F.expr(found)).alias("h")).select("path", "line_no", "line", "h.*"))
+    hits = (unfold(rows.filter(_mentions_url("line")), ["path", "line_no", "line"], F.expr(found), "h").select("path", "line_no", "line", "h.*"))
     return hits.selectExpr(
         "path", "line_no", "line", "kind", "raw",
         "CASE kind WHEN 'hosted' THEN 'SUPABASE_URL' WHEN 'url' THEN CASE WHEN contains(upper(line), 'DATABASE_URL') THEN 'DATABASE_URL'"
@@ -114,7 +113,7 @@ def setting_hits(rows: DataFrame) -> DataFrame:
         values = ", ".join(f"'{role}', {roles[role]}.value" for role in ("host", "port", "database", "user"))
         hits.append(f"CASE WHEN {present} THEN named_struct('line_no', {spot}.n, 'line', {spot}.t, 'kind', '{family}',"
                     f" 'raw', CAST(NULL AS STRING), 'instance_name', '{family}', {values}, 'own_fields', {fields}) END")
-    return folded.select("path", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))")).alias("h")).select("path", "h.*")
+    return unfold(folded, ["path"], F.expr(f"array_compact(array({', '.join(hits)}))"), "h").select("path", "h.*")
 
 
 def env_compose(corpus: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def _histogram(r: _Request) -> DataFrame:
 
 def word_cloud(df: DataFrame, text: str, size=None, row_limit: int = ROW_LIMIT) -> DataFrame:
     """Most frequent words of the whole texts."""
-    words = df.select(F.explode(F.split(F.lower(c(text)), r"[^\p{L}\p{Nd}]+")).alias("word"),
+    words = df.select(F.explode_outer(F.split(F.lower(c(text)), r"[^\p{L}\p{Nd}]+")).alias("word"),
                       *([c(size).alias("_size")] if size else []))
     total = F.sum("_size") if size else F.count("*")
     return (words.filter("word <> ''").groupBy("word").agg(total.alias("size"))

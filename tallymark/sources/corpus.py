@@ -39,5 +39,6 @@ def corpus_scan(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_DIRS, max
 
 def lines(corpus: DataFrame) -> DataFrame:
     """(path, line_no, line), line numbers from 1."""
-    return (corpus.select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
+    # the outer form, because the plain one would split every text twice
+    return (corpus.filter(c("text").isNotNull()).select("path", F.posexplode_outer(F.split("text", LINE_BREAK)).alias("pos", "line"))
             .select("path", (c("pos") + 1).alias("line_no"), "line"))
