@@ -126,6 +126,7 @@ def stable_id(*fields: Column) -> Column:
     return F.substring(F.sha2(F.lower(joined), 256), 1, 16)
 
 
+# File kinds and the path rule of each, in checking order.
 def detector_for_path(path: Column) -> Column:
     """Kind of a file from its path; the first rule that fits."""
     p = F.lower(path)

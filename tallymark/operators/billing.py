@@ -32,6 +32,14 @@ def billing_terms(config: DataFrame) -> DataFrame:
         truthy_or(c("markup_percentage"), MARKUP_PCT, "decimal(5,2)").alias("markup_percentage"))
 
 
+def with_terms(rows: DataFrame, config: DataFrame) -> DataFrame:
+    """Billing terms beside each row; a project without configuration has the defaults."""
+    return (rows.join(billing_terms(config), "project_id", "left")
+            .withColumns({"billing_type": F.coalesce("billing_type", F.lit("tm")),
+                          "base_rate": F.coalesce("base_rate", _dec(BASE_RATE)),
+                          "markup_percentage": F.coalesce("markup_percentage", _dec(MARKUP_PCT, "decimal(5,2)"))}))
+
+
 def open_entries(timesheet: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Entries not yet invoiced, both period ends included."""
     return timesheet.filter(~c("is_invoiced") & c("work_date").between(F.lit(start), F.lit(end)))
@@ -61,7 +69,7 @@ def tm_invoice_lines(timesheet: DataFrame, config: DataFrame, rates: DataFrame,
               .agg(F.min("employee_name").alias("employee_name"), F.min("employee_email").alias("employee_email"),
                    F.sum(F.coalesce("unit_amount", F.lit(0))).cast("decimal(18,2)").alias("quantity"),
                    F.count("*").alias("n_entries")))
-    lines = folded.join(billing_terms(config).filter("billing_type = 'tm'"), "project_id")
+    lines = with_terms(folded, config).filter("billing_type = 'tm'")
     priced = rate_lookup(lines, rates, rate_key).withColumn(
         "price_unit", (c("rate") * (100 + c("markup_percentage")) * _dec("0.01", "decimal(3,2)")).cast("decimal(20,6)"))
     return priced.select(
@@ -73,8 +81,8 @@ def tm_invoice_lines(timesheet: DataFrame, config: DataFrame, rates: DataFrame,
 def tm_invoice_total(lines: DataFrame, config: DataFrame) -> DataFrame:
     """Total per project; a project that is not billed by time gets a marker row."""
     totals = lines.groupBy("project_id").agg(F.sum("subtotal").alias("total"), F.count("*").alias("n_lines"))
-    is_tm = c("billing_type") == "tm"
-    return (billing_terms(config).join(totals, "project_id", "left")
+    is_tm = F.coalesce("billing_type", F.lit("tm")) == "tm"
+    return (billing_terms(config).join(totals, "project_id", "full")
             .select("project_id", F.when(is_tm, "tm").otherwise("fixed").alias("billing_type"),
                     F.when(is_tm, F.coalesce("total", F.lit(0))).alias("total"),
                     F.when(is_tm, F.coalesce("n_lines", F.lit(0))).alias("n_lines"),
@@ -86,7 +94,7 @@ def timesheet_id_chunks(timesheet: DataFrame, config: DataFrame, start: dt.date,
     chunks = (open_entries(timesheet, start, end)
               .groupBy("project_id", "employee_id", F.floor(c("id") / ID_CHUNK).alias("chunk"))
               .agg(F.sort_array(F.collect_set("id")).alias("timesheet_ids")))
-    return chunks.join(billing_terms(config).filter("billing_type = 'tm'"), "project_id", "left_semi")
+    return chunks.join(billing_terms(config).filter("billing_type <> 'tm'"), "project_id", "left_anti")
 
 
 def timesheet_link(chunks: DataFrame, orders: DataFrame) -> DataFrame:

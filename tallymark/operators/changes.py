@@ -44,6 +44,7 @@ def timeline(events: DataFrame, keys: list[str], time: str, tie: str, kind: str,
     A plain lag would sort all events of a key in one task. Here the lag runs
     per (key, time chunk); only a chunk's first event looks further back, at the
     last event of the key's previous chunk. Chunk summaries are one row each.
+    Keys and times are declared NOT NULL.
     """
     df = events.withColumn("_chunk", F.date_trunc(chunk, c(time)))
     local = Window.partitionBy(*keys, "_chunk").orderBy(time, tie)
@@ -54,7 +55,7 @@ def timeline(events: DataFrame, keys: list[str], time: str, tie: str, kind: str,
     order = Window.partitionBy(*keys).orderBy("_chunk")
     before = summary.select(*keys, "_chunk", F.lag("_end").over(order).alias("_far"))
     prev = F.coalesce("_near", "_far")
-    return (near.join(before, [*keys, "_chunk"])
+    return (near.join(before, [*keys, "_chunk"], "left")
             .withColumn("previous", prev["k"])
             .withColumn("micros_since", F.unix_micros(time) - F.unix_micros(prev["t"]))
             .drop("_chunk", "_near", "_far"))

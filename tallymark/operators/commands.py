@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import join_null_safe
 from tallymark.operators.quantiles import exact_quantiles
 
 c = F.col
@@ -51,4 +52,4 @@ def tool_adoption(log: DataFrame) -> DataFrame:
     rates = log.groupBy("phase").agg(
         F.count("*").alias("operations"), *[share(c("tool_kind") == k).alias(f"{k}_share") for k in ("mcp", "builtin", "shell")],
         share(c("fallback_used")).alias("fallback_rate"), share(c("failed")).alias("error_rate"))
-    return rates.join(exact_quantiles(log, ["phase"], "detect_us", {"p99_us": 0.99}), "phase")
+    return join_null_safe(rates, exact_quantiles(log, ["phase"], "detect_us", {"p99_us": 0.99}), ["phase"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import join_null_safe
 from tallymark.sources.views import MONEY
 
 c = F.col
@@ -41,9 +42,9 @@ def portfolio_rank(portfolios: DataFrame) -> DataFrame:
     """
     scored = portfolio_score(portfolios)
     per_score = scored.groupBy("total_score").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(c("total_score").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    above = F.sum("n").over(Window.orderBy(c("total_score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
     ranks = per_score.select("total_score", (F.coalesce(above, F.lit(0)) + 1).alias("score_rank"))
-    return scored.join(ranks, "total_score").orderBy(c("priority").desc(), "name")
+    return join_null_safe(scored, ranks, ["total_score"]).orderBy(c("priority").desc(), "name")
 
 
 def state_map(portfolios: DataFrame, label: str = "status_label", current: str = "state") -> DataFrame:

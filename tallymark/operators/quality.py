@@ -38,7 +38,8 @@ def q_domain(df: DataFrame, column: str, allowed: tuple[str, ...], keys: list[st
 
 
 def q_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    return (df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    # as in SQL, a key with a null in it repeats nothing
+    return (df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
             .select(F.lit("unique:" + ",".join(keys)).alias("rule"), _text_key(keys).alias("key"),
                     c("n").cast("string").alias("detail")))
 

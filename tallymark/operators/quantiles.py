@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import join_null_safe
 from tallymark.session import materialize
 
 c = F.col
@@ -41,12 +42,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         ends.select(*keys, "cell", (c("end") - c("n")).alias("begin"), "end", F.expr(f"explode(array({', '.join(entries)}))").alias("w"))
         .filter("w.rank >= begin AND w.rank < end").select(*keys, "cell", "begin", "w.*"), "ranks")
 
-    needed = (rows.join(wanted.select(*keys, "cell", "begin").distinct(), [*keys, "cell"])
+    needed = (join_null_safe(rows, wanted.select(*keys, "cell", "begin").distinct(), [*keys, "cell"])
               .groupBy(*keys, "cell", "begin", "v").agg(F.count("*").alias("n")))
     inside = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stepped = needed.withColumn("last", c("begin") + F.sum("n").over(inside)).select(
         *keys, "cell", c("v").cast("double").alias("v"), (c("last") - c("n")).alias("first"), "last")
-    found = (stepped.join(wanted, [*keys, "cell"]).filter("rank >= first AND rank < last").groupBy(*keys, "q")
+    found = (join_null_safe(stepped, wanted.drop("begin"), [*keys, "cell"]).filter("rank >= first AND rank < last").groupBy(*keys, "q")
              .agg(F.max("part").alias("part"), F.max(F.when(c("side") == 0, c("v"))).alias("low"),
                   F.max(F.when(c("side") == 1, c("v"))).alias("high")))
     at = c("low") * (1.0 - c("part")) + F.coalesce("high", "low") * c("part")
@@ -65,7 +66,7 @@ def boxplot(df: DataFrame, category: str, value: str) -> DataFrame:
     fences = quartiles.select("*", (c("q1") - fence).alias("low_fence"), (c("q3") + fence).alias("high_fence"))
     points = df.select(category, c(value).cast("double").alias("x"))
     inside = "x >= low_fence AND x <= high_fence"
-    return (points.join(fences, category).groupBy(category, "q1", "median", "q3")
+    return (join_null_safe(points, fences, [category]).groupBy(category, "q1", "median", "q3")
             .agg(F.expr(f"min(x) FILTER (WHERE {inside})").alias("whisker_low"),
                  F.expr(f"max(x) FILTER (WHERE {inside})").alias("whisker_high"),
                  F.expr(f"count_if(NOT ({inside}))").alias("outliers"), F.count("*").alias("n_points")))

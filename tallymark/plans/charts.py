@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import time_bucket
 from tallymark.operators import series
+from tallymark.operators.joins import join_null_safe
 from tallymark.operators.quantiles import boxplot
 from tallymark.operators.tree import tree_expand
 from tallymark.plans.chart_catalog import check_bindings
@@ -154,7 +155,7 @@ def graph(edges: DataFrame, source: str, target: str, weight: str | None = None)
     folded = edges.groupBy(c(source).alias("source"), c(target).alias("target")).agg(total.alias("weight"))
     out = folded.groupBy("source").agg(F.count("*").alias("source_out_degree"))
     into = folded.groupBy("target").agg(F.count("*").alias("target_in_degree"))
-    return folded.join(out, "source").join(into, "target")
+    return join_null_safe(join_null_safe(folded, out, ["source"]), into, ["target"])
 
 
 def _graph(r: _Request) -> DataFrame:

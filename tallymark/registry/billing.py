@@ -29,7 +29,7 @@ VIEWS = "timesheet rates billing_config"
        """SELECT e.id, e.project_id, e.employee_name, COALESCE(r.hourly_rate, t.base_rate) AS rate FROM timesheet e
  JOIN terms t ON t.project_id = e.project_id LEFT JOIN rates r ON r.email = e.employee_email AND r.hourly_rate <> 0""", VIEWS, TERMS)
 def rate_lookup(t):
-    rows = t.view("timesheet").join(bl.billing_terms(t.view("billing_config")), "project_id")
+    rows = bl.with_terms(t.view("timesheet"), t.view("billing_config"))
     return bl.rate_lookup(rows, t.view("rates"), rate_key="employee_email")
 
 

@@ -92,7 +92,7 @@ def test_invoice_lines_rate_key_and_defaults(spark):
     sheet = spark.createDataFrame(
         [(1, 1, 7, "ann@x", "ann@x", D("2"), DAY(2024, 1, 5), False), (2, 1, 8, "Bob", "bob@x", D("3"), DAY(2024, 1, 31), False),
          (3, 1, 8, "Bob", "bob@x", D("1"), DAY(2024, 2, 1), False), (4, 1, 8, "Bob", "bob@x", D("9"), DAY(2024, 1, 2), True),
-         (5, 2, 8, "Bob", "bob@x", D("4"), DAY(2024, 1, 2), False)],
+         (5, 2, 8, "Bob", "bob@x", D("4"), DAY(2024, 1, 2), False), (6, 9, 8, "", "bob@x", D("1"), DAY(2024, 1, 2), False)],
         "id long, project_id int, employee_id int, employee_name string, employee_email string, unit_amount decimal(10,2),"
         " work_date date, is_invoiced boolean")
     config = spark.createDataFrame([(1, "tm", D("0"), D("0")), (2, "fixed", D("1"), D("1")), (3, None, None, None)],
@@ -102,12 +102,17 @@ def test_invoice_lines_rate_key_and_defaults(spark):
     span = (DAY(2024, 1, 1), DAY(2024, 1, 31))
     literal = billing.tm_invoice_lines(sheet, config, rates, *span)
     # the name equals an e-mail only for the first employee; the other falls back to 150, and a markup of 0 means 15 %
-    assert rows(literal.orderBy("employee_id"), "quantity", "price_unit") == [(D("2.00"), D("115.000000")), (D("3.00"), D("172.500000"))]
+    # a project without configuration is billed by time on the defaults
+    assert rows(literal.orderBy("project_id", "employee_id"), "project_id", "quantity", "price_unit", "name") == [
+        (1, D("2.00"), D("115.000000"), "Labor - ann@x"), (1, D("3.00"), D("172.500000"), "Labor - Bob"),
+        (9, D("1.00"), D("172.500000"), "Labor - Unknown")]
     by_email = billing.tm_invoice_lines(sheet, config, rates, *span, rate_key="employee_email")
-    assert rows(by_email.orderBy("employee_id"), "price_unit") == [(D("115.000000"),), (D("230.000000"),)]
+    assert rows(by_email.filter("project_id = 1").orderBy("employee_id"), "price_unit") == [(D("115.000000"),), (D("230.000000"),)]
+    ids = billing.timesheet_id_chunks(sheet, config, *span)
+    assert sorted(i for r in ids.collect() for i in r.timesheet_ids) == [1, 2, 6]
     total = billing.tm_invoice_total(literal, config).orderBy("project_id")
     assert rows(total, "billing_type", "total", "message") == [
-        ("tm", D("747.50000000"), None), ("fixed", None, billing.FIXED_MESSAGE), ("tm", D("0E-8"), None)]
+        ("tm", D("747.50000000"), None), ("fixed", None, billing.FIXED_MESSAGE), ("tm", D("0E-8"), None), ("tm", D("172.50000000"), None)]
 
 
 def test_parse_float_reads_a_prefix(spark):

@@ -56,6 +56,7 @@ def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.lognormal(3, 4, 5000).round(4), "flat": np.full(40, 7.5), "one": np.array([-3.25]), "two": np.array([1.0, 2.0]),
               "neg": -rng.exponential(1000, 300).round(2), "mix": np.array([-1e9, 0.0, 0.0, 1e-3, 5.0, 1e12])}
+    groups[None] = np.array([4.0, 8.0, 9.0])
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None)], "g string, v double").repartition(5)
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q99": 0.99, "q4": 1.0}
     got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
