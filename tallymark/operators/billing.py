@@ -42,7 +42,7 @@ def with_terms(rows: DataFrame, config: DataFrame) -> DataFrame:
 
 def open_entries(timesheet: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Entries not yet invoiced, both period ends included."""
-    return timesheet.filter(~c("is_invoiced") & c("work_date").between(F.lit(start), F.lit(end)))
+    return between(timesheet.filter(~c("is_invoiced")), "work_date", start, end + dt.timedelta(days=1))
 
 
 def rate_lookup(rows: DataFrame, rates: DataFrame, rate_key: str = "employee_name", base: str = "base_rate") -> DataFrame:

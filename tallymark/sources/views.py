@@ -173,7 +173,7 @@ def timesheet(t: Tables) -> DataFrame:
                     F.col("s_name").alias("employee_name"),
                     F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@example.com")).alias("employee_email"),
                     money("l_quantity").alias("unit_amount"),
-                    F.col("l_shipdate").cast("date").alias("work_date"),
+                    F.col("l_shipdate").alias("work_date"),
                     (F.col("l_returnflag") == "A").alias("is_invoiced")))
 
 

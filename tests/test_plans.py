@@ -23,7 +23,8 @@ def test_no_python_and_no_cross_join(spark, key):
 
 @pytest.mark.parametrize("key,column", [("external_table_scan", "o_orderdate"), ("time_range_filter", "o_orderdate"),
                                         ("chart_line_daily", "o_orderdate"), ("invoice_search", "o_orderdate"), ("period_filter", "o_orderdate"),
-                                        ("chart_line", "l_returnflag")])
+                                        ("chart_line", "l_returnflag"), ("tm_invoice_lines", "l_shipdate"),
+                                        ("timesheet_link", "l_shipdate")])
 def test_filter_reaches_the_scan(spark, key, column):
     assert re.search(rf"PushedFilters: \[[^\]]*{column}", plan(spark, key))
 
