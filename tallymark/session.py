@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +36,26 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables: one that the driver and all executors see.
 
-    Every executor must see it, so a temporary folder is used only on a local
-    master (tests), never on a cluster.
+    ``spark.checkpoint.dir`` names it; where that is unset, a folder in the
+    session's warehouse serves, which Spark shares as well. It is removed when
+    the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = f"{tempfile.gettempdir()}/tallymark-{spark.conf.get('spark.app.id')}"
-    return f"{root.rstrip('/')}/tallymark/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    root = f"{root.rstrip('/')}/tallymark-{spark.conf.get('spark.app.id')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
