@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
+from tallymark.llm.minhash import near_duplicates
 from tallymark.session import apply_settings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     apply_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: keeps a batch small
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -42,6 +44,31 @@ FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents")).drop("text_hash")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS places(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c ON c.doc_id = d.doc_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
@@ -58,9 +85,11 @@ FROM texts WINDOW o AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
