@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
+from tallymark.llm.packing import best_fit
 from tallymark.session import apply_settings
 
 
@@ -44,6 +46,10 @@ FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents")).drop("text_hash")
 
@@ -85,6 +91,7 @@ FROM texts WINDOW o AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
