@@ -10,6 +10,7 @@ from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
+from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.session import apply_settings
 
 
@@ -89,11 +90,16 @@ FROM texts WINDOW o AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
 
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
