@@ -11,6 +11,7 @@ from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
 from tallymark.llm.substring_dedup import remove_repeats
+from tallymark.llm.warc import archive_folder, read_archives, write_archives
 from tallymark.session import apply_settings
 
 
@@ -47,6 +48,21 @@ FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return read_archives(write_archives(pages, archive_folder(spark))).drop("url")
+
+
+OP3_SQL = """
+WITH texts AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+heads AS (SELECT *, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS head FROM texts)
+SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < head THEN head END AS refers_to
+FROM heads
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -96,6 +112,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_warc": op3_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
@@ -103,6 +120,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op3_warc": OP3_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
