@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm.decontaminate import leaks
 from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
@@ -63,6 +64,10 @@ FROM heads
 """
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -113,6 +118,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
