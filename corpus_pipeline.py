@@ -2,27 +2,69 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallymark.llm.decontaminate import decontaminate
 from tallymark.llm.line_dedup import line_dedup
-from tallymark.session import apply_settings, work_dir
+from tallymark.llm.minhash import near_duplicates
+from tallymark.llm.packing import best_fit
+from tallymark.llm.quality import GOOD, GRADES, classify, graded, train
+from tallymark.llm.queries import prepared
+from tallymark.session import materialize, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Trained models, hash families and token ids are not for SQL; tests/llm hold the stages against plain versions.
+ORACLE_SQL = None
+
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are probably good stay; toxic ones and those of low quality go."""
+    prepared(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated = classify(docs, train(docs, graded(labels), GRADES), GOOD)
+    return rated.filter("kept").select(*COLUMNS)
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go; every document stays, with its new length."""
-    from pyspark.sql import functions as F
 
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of three lines in a row go; every document stays, with its new length."""
+    prepared(spark)
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("line dedup", dedup_lines)]
-ORACLE_SQL = None
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    prepared(spark)
+    gone = materialize(near_duplicates(docs).filter(~F.col("kept")).select("doc_id", "text_hash"), "near_copies")
+    gone = gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")),
+                     "left_anti").select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    prepared(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every token piece of every document in a training sequence."""
+    prepared(spark)
+    return best_fit(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", fresh_lines),
+    ("minhash near-dedup", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apply_settings(spark)
+    prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_dir(spark, name.replace(" ", "_"))

@@ -11,15 +11,20 @@ from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
+from tallymark.llm.quality import GOOD, GRADES, classify, graded, train
 from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.llm.warc import archive_folder, read_archives, write_archives
 from tallymark.session import apply_settings
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session settings of the library, and small Arrow batches: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return apply_settings(spark)
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    apply_settings(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: keeps a batch small
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +73,12 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_hash")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = train(docs, graded(_table(spark, folder, "labels")), GRADES)
+    return classify(docs.select("doc_id", "text"), model, GOOD).drop("text")
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -119,6 +130,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
