@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing will read again.
+
+    The shuffle files of finished jobs go as well: Spark drops them when the
+    driver's garbage collector finds that no plan holds them, so it is asked to look.
+    """
+    spark = tables[0].sparkSession
+    for table in tables:
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small input as many partitions as there are cores.
 
