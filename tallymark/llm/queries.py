@@ -11,6 +11,7 @@ from tallymark.llm.exact_dedup import exact_groups
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
+from tallymark.llm.pii import pseudonymise
 from tallymark.llm.quality import GOOD, GRADES, classify, graded, train
 from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.llm.warc import archive_folder, read_archives, write_archives
@@ -69,6 +70,11 @@ FROM heads
 """
 
 
+def op4_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    # The key of a real run comes from its owner's secret store.
+    return pseudonymise(_table(spark, folder, "documents").select("doc_id", "text"), key="check-run")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -129,6 +135,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
