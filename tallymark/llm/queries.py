@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.decontaminate import leaks
 from tallymark.llm.exact_dedup import exact_groups
+from tallymark.llm.licenses import scan
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
@@ -55,6 +56,22 @@ FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 
+def document_path() -> Column:
+    """A file tree over the documents: source / 256 documents / 16 documents; the first of each level is its licence file."""
+    top, sub = (F.floor(F.col("doc_id") / n).cast("string") for n in (256, 16))
+    return F.when(F.col("doc_id") % 256 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE."), top))) \
+        .when(F.col("doc_id") % 16 == 0, F.concat_ws("/", "source", F.concat(F.lit("b"), top), F.concat(F.lit("LICENSE."), sub))) \
+        .when(F.col("doc_id") % 4 == 0, F.concat_ws("/", "source", F.concat(F.lit("b"), top), F.concat(F.lit("c"), sub),
+                                                    F.concat(F.lit("COPYING."), F.col("doc_id").cast("string")))) \
+        .otherwise(F.concat_ws("/", "source", F.concat(F.lit("b"), top), F.concat(F.lit("c"), sub),
+                               F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    files = _table(spark, folder, "documents").withColumn("path", document_path()).select("doc_id", "path", "text")
+    return scan(files).drop("text")
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return read_archives(write_archives(pages, archive_folder(spark))).drop("url")
@@ -134,6 +151,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
