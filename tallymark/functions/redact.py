@@ -106,12 +106,16 @@ def redact_text_sql(text: str, mode: str = "reference") -> str:
     return _let("w", plain, _let("y", step, both))
 
 
-def parse_db_url_sql(url: str) -> str:
-    """struct(datastore_type, host, port, database, user, ssl_mode); an unusable port is null."""
+def parse_db_url_sql(url: str, driver_suffix: bool = False) -> str:
+    """struct(datastore_type, host, port, database, user, ssl_mode); an unusable port is null.
+
+    ``driver_suffix`` reads ``scheme+driver`` as the scheme; without it such a URL has an unknown type.
+    """
+    scheme = "regexp_replace(p.scheme, r'[+].*$', '')" if driver_suffix else "p.scheme"
     types = ", ".join(f"'{k}', '{v}'" for k, v in SCHEMES.items())
     bracketed, plain = _cut("p.hostinfo", r"^\[([^\]]*)"), _cut("p.hostinfo", r"^([^:\[]*)")
     port = f"TRY_CAST({_cut('p.hostinfo', r'^(?:\[[^\]]*\]|[^:\[]*):(\d+)$')} AS INT)"
-    body = (f"named_struct('datastore_type', coalesce(try_element_at(map({types}), regexp_replace(p.scheme, r'[+].*$', '')), 'unknown'),"
+    body = (f"named_struct('datastore_type', coalesce(try_element_at(map({types}), {scheme}), 'unknown'),"
             f" 'host', nullif(lower(CASE WHEN startswith(p.hostinfo, '[') THEN {bracketed} ELSE {plain} END), ''),"
             f" 'port', CASE WHEN {port} BETWEEN 1 AND 65535 THEN CAST({port} AS STRING) END,"
             " 'database', CASE WHEN p.path <> '' THEN ltrim('/', p.path) END,"
@@ -126,28 +130,31 @@ def stable_id(*fields: Column) -> Column:
     return F.substring(F.sha2(F.lower(joined), 256), 1, 16)
 
 
-# File kinds and the path rule of each, in checking order.
-def detector_for_path(path: Column) -> Column:
-    """Kind of a file from its path; the first rule that fits."""
-    p = F.lower(path)
-    name = F.regexp_extract(p, r"([^/]*)$", 1)
-    return (F.when(name.startswith(".env") | name.endswith(".env"), "env_file")
-            .when(name.contains("docker-compose") | name.startswith("compose") | p.contains("/docker/"), "docker_compose")
-            .when(p.contains("/.github/workflows/"), "ci")
-            .when(p.rlike("/k8s/|/kubernetes/|helm|/manifests/"), "k8s_manifest")
-            .when(name.endswith(".tf"), "terraform")
-            .when(name.contains("superset_config.py") | (p.contains("superset") & name.endswith(".py")), "superset_config")
-            .when(p.contains("odoo") & (name.endswith(".conf") | name.contains("odoo.conf")), "odoo_config")
-            .when(name.endswith(".md"), "docs").when(name.endswith(".prisma"), "prisma_schema")
-            .when(name.endswith(".toml"), "toml_config").when(name.rlike(r"\.(json|yaml|yml|ini|cfg)$"), "config")
-            .otherwise("code_or_text"))
-
-
-# Path tags and the pattern of each.
+# File kinds and the pattern of the lower-cased path for each. The first that fits counts, so kinds known by their
+# folder or name stand before those known by their ending. A deployment adds rules of its own in front.
+DETECTOR_RULES = (
+    ("env_file", r"(^|/)\.env[^/]*$|\.env$"),
+    ("docker_compose", r"docker-compose[^/]*$|(^|/)compose[^/]*$|/docker/"),
+    ("ci", r"/\.github/workflows/"),
+    ("k8s_manifest", r"/k8s/|/kubernetes/|helm|/manifests/"),
+    ("terraform", r"\.tf$"),
+    ("odoo_config", r"odoo.*\.conf$|odoo\.conf[^/]*$"),
+    ("docs", r"\.md$"),
+    ("prisma_schema", r"\.prisma$"),
+    ("toml_config", r"\.toml$"),
+    ("config", r"\.(json|yaml|yml|ini|cfg)$"),
+)
+# Path tags and the pattern of each.
 PATH_TAGS = {"ci": r"/\.github/|/ci/", "local": "/dev|development|local", "odoo": "odoo", "prod": "/prod|production",
-             "staging": "/staging|stage", "supabase": "supabase", "superset": "superset"}
+             "staging": "/staging|stage", "supabase": "supabase"}
+
+
+def detector_for_path(path: Column, rules: tuple[tuple[str, str], ...] = DETECTOR_RULES) -> Column:
+    """Kind of a file from its path."""
+    p = F.lower(path)
+    return F.coalesce(*[F.when(p.rlike(pattern), kind) for kind, pattern in rules], F.lit("code_or_text"))
 
 
-def tags_for_path(path: Column) -> Column:
+def tags_for_path(path: Column, tags: dict[str, str] | None = None) -> Column:
     p = F.lower(path)
-    return F.array_compact(F.array(*[F.when(p.rlike(pattern), F.lit(tag)) for tag, pattern in PATH_TAGS.items()]))
+    return F.array_compact(F.array(*[F.when(p.rlike(pattern), F.lit(tag)) for tag, pattern in (tags or PATH_TAGS).items()]))

@@ -44,8 +44,9 @@ def title_from_slug(col: Column) -> Column:
 
 
 def strip_quotes(col: Column) -> Column:
-    """Trim, then drop one pair of matching quotes."""
-    return F.regexp_replace(F.trim(col), r"""^(?:"([\s\S]*)"|'([\s\S]*)')$""", "$1$2")
+    """Strip white space of any kind, then drop one pair of matching quotes."""
+    bare = F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(bare, r"""^(?:"([\s\S]*)"|'([\s\S]*)')$""", "$1$2")
 
 
 def parse_float_prefix(col: Column) -> Column:

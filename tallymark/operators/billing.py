@@ -45,15 +45,20 @@ def open_entries(timesheet: DataFrame, start: dt.date, end: dt.date) -> DataFram
     return between(timesheet.filter(~c("is_invoiced")), "work_date", start, end + dt.timedelta(days=1))
 
 
-def rate_lookup(rows: DataFrame, rates: DataFrame, rate_key: str = "employee_name", base: str = "base_rate") -> DataFrame:
+def rate_lookup(rows: DataFrame, rates: DataFrame, rate_key: str = "employee_name", base: str = "base_rate",
+                rate_order: str = "hourly_rate") -> DataFrame:
     """Rate whose e-mail equals ``rate_key``, else the base rate.
 
+    Of several rates for an e-mail the last one by ``rate_order`` counts: name the
+    column that numbers the list (the workflow keeps the last of the list). A
+    table without such a column has no last row, and the highest rate counts.
+
     The workflow keys its rates by e-mail but looks them up by employee name, so
     the default finds one only when both texts agree; pass
     ``rate_key="employee_email"`` for the evident intent.
     """
     known = (rates.filter((c("email") != "") & (c("hourly_rate") != 0))
-             .groupBy(c("email").alias("_key")).agg(F.max("hourly_rate").alias("_rate")))
+             .groupBy(c("email").alias("_key")).agg(F.max_by("hourly_rate", F.struct(rate_order, "hourly_rate")).alias("_rate")))
     return (rows.join(known, rows[rate_key] == known["_key"], "left")
             .withColumn("rate", F.coalesce("_rate", base)).drop("_key", "_rate"))
 
@@ -92,7 +97,7 @@ def tm_invoice_total(lines: DataFrame, config: DataFrame) -> DataFrame:
 def timesheet_id_chunks(timesheet: DataFrame, config: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Sorted ids behind each line, at most ``ID_CHUNK`` per row (one row per id range)."""
     chunks = (open_entries(timesheet, start, end)
-              .groupBy("project_id", "employee_id", F.floor(c("id") / ID_CHUNK).alias("chunk"))
+              .groupBy("project_id", "employee_id", F.expr(f"id DIV {ID_CHUNK}").alias("chunk"))
               .agg(F.sort_array(F.collect_set("id")).alias("timesheet_ids")))
     return chunks.join(billing_terms(config).filter("billing_type <> 'tm'"), "project_id", "left_anti")
 
@@ -142,15 +147,8 @@ def invoice_projection(events: DataFrame) -> DataFrame:
         c("currency_id.name").alias("currency"), c("company_id.id").alias("company_id"))
 
 
-def large_invoices(invoices: DataFrame, minimum: int = 10000) -> DataFrame:
-    """Alert rows at or above the minimum."""
-    return invoices.filter(c("amount_total") >= minimum).withColumn(
-        "message", F.concat(F.lit("Large invoice: "), "partner_name", F.lit(" "), "currency", F.lit(" "),
-                            c("amount_total").cast("string")))
-
-
 def invoice_search(invoices: DataFrame, state: str | None = None, partner_id: int | None = None,
-                   date_from: dt.date | None = None, date_to: dt.date | None = None, limit: int = 100) -> DataFrame:
+                   date_from: dt.date | None = None, date_to: dt.date | None = None, limit: int | None = None) -> DataFrame:
     """Optional filters (dates inclusive), newest first, then by id."""
     df = invoices
     if state is not None:
@@ -159,7 +157,8 @@ def invoice_search(invoices: DataFrame, state: str | None = None, partner_id: in
         df = df.filter(c("partner_id") == partner_id)
     last = None if date_to is None else date_to + dt.timedelta(days=1)
     df = between(df, "invoice_date", date_from, last)
-    return df.orderBy(c("invoice_date").desc(), "invoice_id").limit(limit)
+    ordered = df.orderBy(c("invoice_date").desc(), "invoice_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def period_filter(invoices: DataFrame, period: str, as_of: dt.date, column: str = "invoice_date") -> DataFrame:
@@ -182,23 +181,25 @@ def financial_summary(invoices: DataFrame, period: str, as_of: dt.date) -> DataF
                  F.countDistinct("partner_id").alias("n_partners")))
 
 
-def _age(as_of: dt.date) -> Column:
-    return F.datediff(F.lit(as_of), "due_date")
+def _due_before(invoices: DataFrame, last: dt.date) -> DataFrame:
+    """Posted invoices due on ``last`` or before; the bound is a literal of the column's own type and reaches the scan."""
+    end = F.lit(last + dt.timedelta(days=1)).cast(invoices.schema["due_date"].dataType)
+    return invoices.filter((c("state") == "posted") & (c("due_date") < end))
 
 
 def ar_aging(invoices: DataFrame, as_of: dt.date) -> DataFrame:
     """Open amounts by days past due: 0-30, 31-60, 61-90, 90+."""
     days = c("days")
     bucket = (F.when(days <= 30, "0-30").when(days <= 60, "31-60").when(days <= 90, "61-90").otherwise("90+"))
-    return (invoices.filter(c("state") == "posted").withColumn("days", _age(as_of)).filter(days >= 0)
+    return (_due_before(invoices, as_of).withColumn("days", F.datediff(F.lit(as_of), "due_date"))
             .groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_invoices"), F.sum("amount_total").alias("amount")))
 
 
-def top_overdue(invoices: DataFrame, as_of: dt.date, limit: int = 10) -> DataFrame:
-    return (invoices.filter(c("state") == "posted").filter(_age(as_of) > 0).groupBy("partner_id")
+def top_overdue(invoices: DataFrame, as_of: dt.date, limit: int) -> DataFrame:
+    return (_due_before(invoices, as_of - dt.timedelta(days=1)).groupBy("partner_id")
             .agg(F.sum("amount_total").alias("amount")).orderBy(c("amount").desc(), "partner_id").limit(limit))
 
 
 def aging_trend(invoices: DataFrame, as_of: dt.date) -> DataFrame:
-    return (invoices.filter(c("state") == "posted").filter(_age(as_of) > 0)
+    return (_due_before(invoices, as_of - dt.timedelta(days=1))
             .groupBy(F.trunc("due_date", "MM").alias("month")).agg(F.sum("amount_total").alias("amount")))

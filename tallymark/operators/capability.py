@@ -97,8 +97,11 @@ def parity_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def row_digest(columns: list[str]) -> Column:
-    """Hex digest of a row's values; arrays are sorted first by the caller if order is free."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("")) for x in columns]), 256)
+    """Hex digest of a row's values as JSON, nulls kept, so no two different rows read alike.
+
+    Arrays are sorted first by the caller if order is free.
+    """
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
 def determinism_hash(df: DataFrame, columns: list[str]) -> DataFrame:

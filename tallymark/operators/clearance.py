@@ -71,11 +71,28 @@ def init_if_absent(events: DataFrame, keys: list[str], order: list[str], touched
             .select(*keys, *[c(f"first.{v}").alias(v) for v in values], "updated_at"))
 
 
+# The events that write the SLA row, and what the audit keeps of each.
+TOUCHING = ("created", "clearance_complete", "final_pay_executed")
+PAY = {"gross_pay": "gross_final_pay", "deductions": "deductions_total", "net_pay": "net_final_pay"}
+
+
+def clearance_audit(events: DataFrame) -> DataFrame:
+    """One audit row per event that writes the SLA row, with the values it set as JSON."""
+    kind = c("event_type")
+    day = c("created_at").cast("date").cast("string")
+    values = (F.when(kind == "clearance_complete", F.to_json(F.struct(day.alias("clearance_date"))))
+              .when(kind == "final_pay_executed", F.to_json(F.struct(*[c(x).cast("string").alias(x) for x in PAY])))
+              .when(kind == "created", F.to_json(F.struct(day.alias("opened")))))
+    return events.filter(kind.isin(*TOUCHING)).select(
+        "company_id", "clearance_request_id", "event_id", "event_type", "created_at", values.alias("new_values"))
+
+
 def apply_clearance_events(sla: DataFrame, events: DataFrame, as_of: dt.date) -> DataFrame:
     """Fold clearance events into SLA rows, then derive the status columns.
 
+    Only the events that write the row (``TOUCHING``) move ``updated_at``.
     'clearance_complete' sets the clearance date and 'final_pay_executed' the
-    execution date and pay; the last one of each kind wins. Events for unknown
+    execution date, pay, deductions and net pay; the last one of each kind wins. Events for unknown
     requests change nothing.
     """
     keys = ["company_id", "clearance_request_id"]
@@ -87,10 +104,10 @@ def apply_clearance_events(sla: DataFrame, events: DataFrame, as_of: dt.date) ->
     folded = events.groupBy(*keys).agg(
         last("clearance_complete", c("created_at").cast("date")).alias("new_clearance"),
         last("final_pay_executed", c("created_at").cast("date")).alias("new_executed"),
-        last("final_pay_executed", c("gross_pay")).alias("new_gross"),
-        F.max("created_at").alias("updated_at"))
+        *[last("final_pay_executed", c(x)).alias(f"new_{x}") for x in PAY],
+        F.max(F.when(c("event_type").isin(*TOUCHING), c("created_at"))).alias("updated_at"))
     merged = sla.join(folded, keys, "left").withColumns({
         "clearance_date": F.coalesce("new_clearance", "clearance_date"),
         "final_pay_executed_date": F.coalesce("new_executed", "final_pay_executed_date"),
-        "gross_final_pay": c("new_gross")}).drop("new_clearance", "new_executed", "new_gross")
+        **{out: c(f"new_{x}") for x, out in PAY.items()}}).drop("new_clearance", "new_executed", *[f"new_{x}" for x in PAY])
     return sla_compliance(merged, as_of)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import unfold
-from tallymark.sources.payloads import SCHEMA_VERSIONS
 
 c = F.col
 
@@ -25,6 +24,8 @@ REQUIRED_FIELDS = {
     "dashboards": ("version", "schema_version", "dashboard_title", "position_json"),
 }
 SUPPORTED_VERSIONS = ("1.0",)
+# The schema version text of each asset type; a deployment passes its own.
+SCHEMA_VERSIONS = {"databases": "database_v1", "datasets": "dataset_v1", "charts": "chart_v1", "dashboards": "dashboard_v1"}
 DRIFT_POLICY = {"dev": "warn", "staging": "fail", "prod": "fail"}
 
 

@@ -13,8 +13,14 @@ CELLS_PER_OCTAVE = 512
 
 
 def _cell(x):
-    """Order-keeping cell number of a value, a fixed share of its octave wide, known without looking at the data."""
-    return (F.signum(x) * F.floor(F.log2(F.abs(x) + 1.0) * CELLS_PER_OCTAVE)).cast("bigint")
+    """Order-keeping cell number of a value, a fixed share of its octave wide, known without looking at the data.
+
+    Infinities have the outermost cells to themselves; a NaN sorts behind them, as in any order by value.
+    """
+    edge = 2048 * CELLS_PER_OCTAVE
+    inner = F.signum(x) * F.floor(F.log2(F.abs(x) + 1.0) * CELLS_PER_OCTAVE)
+    return (F.when(F.isnan(x), edge + 1).when(x == float("inf"), edge).when(x == float("-inf"), -edge)
+            .otherwise(inner).cast("bigint"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -50,7 +56,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     found = (join_null_safe(stepped, wanted.drop("begin"), [*keys, "cell"]).filter("rank >= first AND rank < last").groupBy(*keys, "q")
              .agg(F.max("part").alias("part"), F.max(F.when(c("side") == 0, c("v"))).alias("low"),
                   F.max(F.when(c("side") == 1, c("v"))).alias("high")))
-    at = c("low") * (1.0 - c("part")) + F.coalesce("high", "low") * c("part")
+    # equal ends need no arithmetic, which keeps an infinity between infinities
+    high = F.coalesce("high", "low")
+    at = F.when((c("part") == 0) | (c("low") == high), c("low")).otherwise(c("low") * (1.0 - c("part")) + high * c("part"))
     return found.groupBy(*keys).agg(*[F.max(F.when(c("q") == q, at)).alias(q) for q in probs])
 
 

@@ -24,11 +24,15 @@ CANDIDATES = tuple((kind, stage, i, name) for kind, spec in KINDS.items()
                    for stage, names in enumerate(spec[2:]) for i, name in enumerate(names))
 
 
+# Fixed value: the type of a kind that the catalogue does not know.
+UNKNOWN_KIND = "line"
+
+
 def resolve_candidates(requests: DataFrame, available: DataFrame, scope: str, options=CANDIDATES) -> DataFrame:
     """One type per (scope, kind): preferred before fallback, exact before fuzzy, then order.
 
     A fuzzy match reads '_' and '-' as "anything between", ignoring case. When
-    nothing fits, the first fallback is taken. The candidates are a fixed list,
+    nothing fits, the first fallback is taken, and ``line`` for an unknown kind. The candidates are a fixed list,
     so each available type is tested against them where it is read, and only
     its matches go on to a plain minimum: no pairing of rows.
     """
@@ -46,7 +50,7 @@ def resolve_candidates(requests: DataFrame, available: DataFrame, scope: str, op
             .agg(F.min(F.struct("m.stage", "m.fuzzy", "m.position", "viz_type")).alias("best")))
     first = F.create_map(*[F.lit(x) for kind, stage, position, name in options if (stage, position) == (1, 0) for x in (kind, name)])
     return (requests.select(scope, "kind").distinct().join(hits, [scope, "kind"], "left")
-            .select(scope, "kind", F.coalesce("best.viz_type", F.try_element_at(first, c("kind"))).alias("viz_type"),
+            .select(scope, "kind", F.coalesce("best.viz_type", F.try_element_at(first, c("kind")), F.lit(UNKNOWN_KIND)).alias("viz_type"),
                     F.when(c("best").isNull(), "default").when(c("best.fuzzy") == 0, "exact").otherwise("fuzzy").alias("how")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.redact import (detector_for_path, parse_db_url_sql, redact_text_sql, redact_url_sql,
                                         stable_id, tags_for_path)
 from tallymark.functions.scalars import ellipsis, strip_quotes, unfold
+from tallymark.session import materialize
 from tallymark.sources.corpus import lines
 
 c = F.col
@@ -30,16 +31,16 @@ COLUMNS = ("id", "datastore_type", "instance_name", "host", "port", "database",
 HIT = ("path", "line_no", "line", "kind", "raw", "instance_name", "host", "port", "database", "user", "own_fields")
 
 
-def _finish(hits: DataFrame) -> DataFrame:
+def _finish(hits: DataFrame, driver_suffix: bool = False) -> DataFrame:
     """Detector hits to findings: parse and redact the URL, redact the line, derive the id.
 
     Every detector passes through here once, after their union.
     """
     is_db = c("kind").isin("url", "env_url")
     staged = hits.withColumns({
-        "p": F.when(is_db, F.expr(parse_db_url_sql("raw"))),
+        "p": F.when(is_db, F.expr(parse_db_url_sql("raw", driver_suffix))),
         "r": F.when(is_db | (c("kind") == "sqlite_url"), F.expr(redact_url_sql("raw"))),
-        "snip": F.expr(redact_text_sql("trim(line)"))})
+        "snip": F.expr(redact_text_sql(r"regexp_replace(line, r'^[\s\p{Z}]+|[\s\p{Z}]+$', '')"))})
     kind = (F.when(is_db, c("p.datastore_type")).when(c("kind").startswith("sqlite"), "sqlite")
             .when(c("kind") == "hosted", "supabase").when(c("kind") == "PG*", "postgres").otherwise("unknown"))
     none = F.array().cast("array<string>")
@@ -124,10 +125,11 @@ def env_compose(corpus: DataFrame) -> DataFrame:
 
 def datastore_findings(corpus: DataFrame, driver_suffix: bool = False) -> DataFrame:
     """All detectors over the lines of a corpus (path, text), not yet de-duplicated."""
-    # files, then lines, without a trace of a reference stop at a byte search
-    urls = lines(corpus.filter(_mentions_url("text")))
-    settings = lines(corpus.filter(_mentions_setting("text"))).filter(_mentions_setting("line"))
-    return _finish(line_hits(urls, driver_suffix).select(*HIT).unionByName(setting_hits(settings).select(*HIT)))
+    # files, then lines, without a trace of a reference stop at a byte search; the corpus is read once
+    rows = lines(corpus.filter(_mentions_url("text") | _mentions_setting("text")))
+    rows = materialize(rows.filter(_mentions_url("line") | _mentions_setting("line")), "mentions")
+    settings = rows.filter(_mentions_setting("line"))
+    return _finish(line_hits(rows, driver_suffix).select(*HIT).unionByName(setting_hits(settings).select(*HIT)), driver_suffix)
 
 
 def dedupe_earliest(findings: DataFrame) -> DataFrame:

@@ -19,23 +19,27 @@ from tallymark.operators.quantiles import boxplot
 from tallymark.operators.tree import tree_expand
 from tallymark.plans.chart_catalog import check_bindings
 from tallymark.plans.semantic import Dataset, Filter, Metric, filtered
+from tallymark.session import materialize
 
 c = F.col
-ROW_LIMIT = 1000
 TOP_N = 10
 
 
 class _Request:
     """What a chart builder works on: filtered rows plus resolved bindings."""
 
-    def __init__(self, df: DataFrame, dataset: Dataset, bindings: dict, row_limit: int):
+    def __init__(self, df: DataFrame, dataset: Dataset, bindings: dict, row_limit: int | None):
         self.df, self.dataset, self.b, self.row_limit = df, dataset, bindings, row_limit
 
     def metric(self, alias: str = "value"):
         return self.dataset.metric(self.b["metric"]).column(alias)
 
     def top(self, df: DataFrame, value: str, *ties: str) -> DataFrame:
-        return df.orderBy(c(value).desc(), *ties).limit(self.row_limit)
+        return self.cut(df.orderBy(c(value).desc(), *ties))
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """All rows, unless the caller asked for a number of them."""
+        return df if self.row_limit is None else df.limit(self.row_limit)
 
 
 def _series_keys(r: _Request):
@@ -56,8 +60,16 @@ def _area(r: _Request) -> DataFrame:
     return df
 
 
+def _bars(r: _Request) -> DataFrame:
+    return r.df.groupBy(r.b["category"]).agg(r.metric())
+
+
 def _bar(r: _Request) -> DataFrame:
-    return r.top(r.df.groupBy(r.b["category"]).agg(r.metric()), "value", r.b["category"])
+    """Bars by size; ``orientation`` travels with them, ``stacked`` asks for the base line of each bar."""
+    bars = r.top(_bars(r), "value", r.b["category"])
+    if r.b.get("orientation"):
+        bars = bars.withColumn("orientation", F.lit(r.b["orientation"]))
+    return bars.withColumn("stack_base", F.lit(0).cast(bars.schema["value"].dataType)) if r.b.get("stacked") else bars
 
 
 def _bar_stacked(r: _Request) -> DataFrame:
@@ -72,11 +84,14 @@ def _pie(r: _Request) -> DataFrame:
 
 
 def _scatter(r: _Request) -> DataFrame:
-    """Points as they are; above the row limit a sample that depends only on the values."""
-    cols = [r.b[k] for k in ("x", "y", "category", "size") if r.b.get(k)]
-    points = r.df.select(*cols)
-    order = F.sha2(F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("")) for x in cols]), 256)
-    return points.orderBy(order, *cols).limit(r.row_limit)
+    """Every point as it is."""
+    return r.cut(r.df.select(*[r.b[k] for k in ("x", "y", "category", "size") if r.b.get(k)]))
+
+
+def point_sample(points: DataFrame, rows: int) -> DataFrame:
+    """``rows`` points chosen by the hash of their values, for a display that cannot show all of them."""
+    order = F.sha2(F.to_json(F.struct(*points.columns), {"ignoreNullFields": "false"}), 256)
+    return points.orderBy(order).limit(rows)
 
 
 def _bubble(r: _Request) -> DataFrame:
@@ -94,15 +109,28 @@ def _calendar_heatmap(r: _Request) -> DataFrame:
 
 
 def _funnel(r: _Request) -> DataFrame:
-    """Stages by size. The window sees at most ``row_limit`` aggregated rows."""
-    stages = _bar(r)
-    w = Window.orderBy(c("value").desc(), r.b["category"])
-    before = F.lag("value").over(w)
-    return stages.withColumn("step_rate", c("value").cast("double") / F.when(before != 0, before).cast("double"))
+    """Stages by size, each with its share of the stage before.
+
+    The stages are dealt into ranges and stored; the lag runs inside each range,
+    and only the last stage of every range goes through one window.
+    """
+    key = r.b["category"]
+    order = [c("value").desc(), c(key)]
+    ranged = materialize(r.cut(_bars(r).orderBy(*order)).repartitionByRange(*order)
+                         .withColumn("_range", F.spark_partition_id()), "stages")
+    ends = ranged.groupBy("_range").agg(F.min("value").alias("_end"))  # the last of a falling order
+    ends = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_last"))
+    inside = F.lag("value").over(Window.partitionBy("_range").orderBy(*order))
+    before = F.coalesce(inside, "_last")
+    return (ranged.join(ends, "_range").withColumn("_before", before)
+            .withColumn("step_rate", c("value").cast("double") / F.when(c("_before") != 0, c("_before")).cast("double"))
+            .drop("_range", "_last", "_before"))
 
 
 def _gauge(r: _Request) -> DataFrame:
-    low, high = float(r.b.get("min") or 0), float(r.b.get("max") or 100)
+    low, high = (float(r.b.get(k, v)) for k, v in (("min", 0), ("max", 100)))
+    if low >= high:
+        raise ValueError(f"a gauge needs min < max, not {low} and {high}")
     part = (c("value").cast("double") - low) / (high - low)
     return r.df.agg(r.metric()).withColumn("fraction", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)))
 
@@ -110,7 +138,7 @@ def _gauge(r: _Request) -> DataFrame:
 def _kpi(r: _Request) -> DataFrame:
     if not r.b.get("time"):
         return _kpi_total(r)
-    return series.kpi_compare_lag(r.df, c(r.b["time"]).cast("date"), r.metric(), int(r.b.get("compare_lag") or 7))
+    return series.kpi_compare_lag(r.df, c(r.b["time"]).cast("date"), r.metric(), int(r.b.get("compare_lag", 7)))
 
 
 def _kpi_total(r: _Request) -> DataFrame:
@@ -168,7 +196,7 @@ def _table(r: _Request) -> DataFrame:
     df = r.df.groupBy(*cols).agg(*[r.dataset.metric(m).column(m) for m in names]) if names else r.df.select(*cols)
     first = r.b.get("order_by")
     order = [c(first).desc()] if first in names else ([c(first)] if first else [])
-    return df.orderBy(*order, *cols).limit(r.row_limit)
+    return r.cut(df.orderBy(*order, *cols))
 
 
 def _pivot_table(r: _Request) -> DataFrame:
@@ -183,17 +211,19 @@ def _choropleth(r: _Request) -> DataFrame:
     return r.df.groupBy(c(r.b["geo"]).alias("geo")).agg(r.metric())
 
 
-def scatter_map(df: DataFrame, lat: str, lon: str, size: str | None = None, cell: float = 1.0) -> DataFrame:
-    """Points folded to grid cells."""
+def scatter_map(df: DataFrame, lat: str, lon: str, size: str | None = None, color: str | None = None,
+                cell: float = 1.0) -> DataFrame:
+    """Points folded to grid cells, one row per colour in a cell."""
     def corner(x: str):
         return F.floor(c(x) / cell).cast("double") * cell
 
     aggs = [F.count("*").alias("points")] + ([F.sum(size).alias("size")] if size else [])
-    return df.groupBy(corner(lat).alias("lat"), corner(lon).alias("lon")).agg(*aggs)
+    shade = [c(color).alias("color")] if color else []
+    return df.groupBy(corner(lat).alias("lat"), corner(lon).alias("lon"), *shade).agg(*aggs)
 
 
 def _scatter_map(r: _Request) -> DataFrame:
-    return scatter_map(r.df, r.b["lat"], r.b["lon"], r.b.get("size"))
+    return scatter_map(r.df, r.b["lat"], r.b["lon"], r.b.get("size"), r.b.get("color"))
 
 
 def _boxplot(r: _Request) -> DataFrame:
@@ -204,19 +234,18 @@ def _histogram(r: _Request) -> DataFrame:
     """Equal-width bins between smallest and largest value; the largest belongs to the last bin."""
     x, bins = c(r.b["column"]).cast("double"), int(r.b.get("bins") or 10)
     base = r.df.filter(x.isNotNull())
-    low = base.agg(F.min(x)).scalar()
-    width = base.agg(F.nullif(F.max(x) - F.min(x), F.lit(0.0))).scalar()
-    place = F.coalesce(F.floor((x - low) / width * bins), F.lit(0)) + 1
+    bounds = base.agg(F.struct(F.min(x).alias("low"), F.nullif(F.max(x) - F.min(x), F.lit(0.0)).alias("width"))).scalar()
+    place = F.coalesce(F.floor((x - bounds["low"]) / bounds["width"] * bins), F.lit(0)) + 1
     return base.groupBy(F.least(F.lit(bins).cast("bigint"), place).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def word_cloud(df: DataFrame, text: str, size=None, row_limit: int = ROW_LIMIT) -> DataFrame:
+def word_cloud(df: DataFrame, text: str, size=None, row_limit: int | None = None) -> DataFrame:
     """Most frequent words of the whole texts."""
     words = df.select(F.explode_outer(F.split(F.lower(c(text)), r"[^\p{L}\p{Nd}]+")).alias("word"),
                       *([c(size).alias("_size")] if size else []))
     total = F.sum("_size") if size else F.count("*")
-    return (words.filter("word <> ''").groupBy("word").agg(total.alias("size"))
-            .orderBy(c("size").desc(), "word").limit(row_limit))
+    counted = words.filter("word <> ''").groupBy("word").agg(total.alias("size")).orderBy(c("size").desc(), "word")
+    return counted if row_limit is None else counted.limit(row_limit)
 
 
 def _word_cloud(r: _Request) -> DataFrame:
@@ -249,7 +278,7 @@ def _needed(dataset: Dataset, kind: str, bindings: dict, filters: list[Filter],
 
 
 def chart(dataset: Dataset, kind: str, *, filters: list[Filter] = (), time_range: str | None = None,
-          time_column: str | None = None, as_of: dt.date | None = None, row_limit: int = ROW_LIMIT,
+          time_column: str | None = None, as_of: dt.date | None = None, row_limit: int | None = None,
           base: DataFrame | None = None, **bindings) -> DataFrame:
     """Build the data behind one chart. ``base`` replaces loading (a dashboard shares one)."""
     check_bindings(kind, bindings)

@@ -113,7 +113,7 @@ def invoice_projection(t):
 
 @query("invoice_search", "invoice_id:l partner_id:l state:s amount_total:d invoice_date:s",
        """SELECT * FROM invoices WHERE state = 'posted' AND invoice_date >= DATE '1997-01-01' AND invoice_date <= DATE '1997-12-31'
- ORDER BY invoice_date DESC, invoice_id LIMIT 100""", "invoices")
+""", "invoices")
 def invoice_search(t):
     df = bl.invoice_search(t.view("invoices"), state="posted", date_from=dt.date(1997, 1, 1), date_to=dt.date(1997, 12, 31))
     return df.withColumn("invoice_date", F.col("invoice_date").cast("date"))
@@ -150,7 +150,7 @@ def ar_aging(t):
        "SELECT partner_id, SUM(amount_total) AS amount FROM overdue WHERE days > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
        "invoices", OVERDUE)
 def ar_top_overdue(t):
-    return bl.top_overdue(t.view("invoices"), AS_OF)
+    return bl.top_overdue(t.view("invoices"), AS_OF, limit=10)
 
 
 @query("ar_aging_trend", "month:s amount:d",

@@ -101,8 +101,8 @@ def parity_diff(t):
 
 @query("determinism_hash", "n:l xor:l total:s",
        """SELECT COUNT(*) AS n, BIT_XOR(d) AS xor, CAST(SUM(CAST(d AS HUGEINT)) AS VARCHAR) AS total FROM
- (SELECT CAST('0x' || SUBSTR(SHA256(CONCAT_WS('|', capability_id, domain, CAST(gap_level AS VARCHAR), smart_delta,
-  COALESCE(justification, ''))), 1, 15) AS BIGINT) AS d FROM parity) z""", P)
+ (SELECT CAST('0x' || SUBSTR(SHA256(CAST(TO_JSON(STRUCT_PACK(capability_id := capability_id, domain := domain, gap_level := gap_level,
+  smart_delta := smart_delta, justification := justification)) AS VARCHAR)), 1, 15) AS BIGINT) AS d FROM parity) z""", P)
 def determinism_hash(t):
     return cap.determinism_hash(t.view(P), ["capability_id", "domain", "gap_level", "smart_delta", "justification"])
 

@@ -8,10 +8,10 @@ from tallymark.operators import series
 from tallymark.plans import charts as ch
 from tallymark.plans.chart_catalog import VISUALS
 from tallymark.plans.dashboard import retail_dashboard
-from tallymark.plans.semantic import Dataset, Field, Filter, Metric, sales_dataset
+from tallymark.plans.semantic import Dataset, Field, Metric, sales_dataset
 from tallymark.registry.core import half_up, query
 from tallymark.registry.semantic import MARGIN, avg4
-from tallymark.session import materialize, spread
+from tallymark.session import materialize
 
 AS_OF = dt.date(1997, 6, 15)
 FS = "fact_sales"
@@ -23,10 +23,9 @@ def _chart(t, kind, **options):
 
 @query("chart_line", "time:s segment:s value:d",
        """SELECT CAST(DATE_TRUNC('month', order_date) AS DATE) AS time, segment, SUM(revenue) AS value FROM fact_sales
- WHERE channel = 'A' GROUP BY 1, 2""", FS)
+ GROUP BY 1, 2""", FS)
 def chart_line(t):
-    return _chart(t, "line", metric="total_revenue", time="order_date", group_by="segment", time_grain="P1M",
-                  filters=[Filter("channel", "A")])
+    return _chart(t, "line", metric="total_revenue", time="order_date", group_by="segment", time_grain="P1M")
 
 
 @query("chart_line_daily", "time:s value:d",
@@ -44,7 +43,7 @@ def chart_area(t):
 
 
 @query("chart_bar", "category:s value:d",
-       "SELECT category, SUM(profit) AS value FROM fact_sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000", FS)
+       "SELECT category, SUM(profit) AS value FROM fact_sales GROUP BY 1", FS)
 def chart_bar(t):
     return _chart(t, "bar", metric="total_profit", category="category")
 
@@ -77,8 +76,7 @@ def share_of_total(t):
 
 
 @query("chart_scatter", "quantity:d revenue:d channel:s",
-       """SELECT quantity, revenue, channel FROM fact_sales ORDER BY SHA256(CONCAT_WS('|', CAST(quantity AS VARCHAR),
- CAST(revenue AS VARCHAR), channel)), 1, 2, 3 LIMIT 1000""", FS)
+       "SELECT quantity, revenue, channel FROM fact_sales", FS)
 def chart_scatter(t):
     return _chart(t, "scatter", x="quantity", y="revenue", category="channel")
 
@@ -203,8 +201,7 @@ def chart_radar(t):
 
 
 @query("chart_table", "region:s segment:s total_revenue:d order_count:l",
-       """SELECT region, segment, SUM(revenue) AS total_revenue, COUNT(*) AS order_count FROM fact_sales GROUP BY 1, 2
- ORDER BY 3 DESC, 1, 2 LIMIT 1000""", FS)
+       """SELECT region, segment, SUM(revenue) AS total_revenue, COUNT(*) AS order_count FROM fact_sales GROUP BY 1, 2""", FS)
 def chart_table(t):
     return _chart(t, "table", columns=["region", "segment"], metrics=["total_revenue", "order_count"], order_by="total_revenue")
 
@@ -252,13 +249,13 @@ def chart_histogram(t):
 
 
 def documents_dataset(t) -> Dataset:
-    return Dataset(lambda names: spread(t.documents.select("doc_id", *names.split()), "doc_id").select(*names.split()),
+    return Dataset(lambda names: t.documents.select(*names.split()),
                    {"text": Field("VARCHAR"), "lang": Field("VARCHAR"), "n_chars": Field("BIGINT")})
 
 
 @query("chart_word_cloud", "word:s size:l",
        r"""SELECT word, COUNT(*) AS size FROM (SELECT UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[^\p{L}\p{Nd}]+')) AS word FROM documents) z
- WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000""")
+ WHERE word <> '' GROUP BY 1""")
 def chart_word_cloud(t):
     return ch.chart(documents_dataset(t), "word_cloud", text="text", size="count")
 

@@ -91,24 +91,44 @@ def init_if_absent(t):
 APPLY_CTE = """upd AS (SELECT company_id, clearance_request_id, CAST(MAX_BY(created_at, (created_at, event_id))
    FILTER (WHERE event_type = 'clearance_complete') AS DATE) AS nc,
  CAST(MAX_BY(created_at, (created_at, event_id)) FILTER (WHERE event_type = 'final_pay_executed') AS DATE) AS ne,
- MAX_BY(gross_pay, (created_at, event_id)) FILTER (WHERE event_type = 'final_pay_executed') AS ng, MAX(created_at) AS updated_at
+ MAX_BY(gross_pay, (created_at, event_id)) FILTER (WHERE event_type = 'final_pay_executed') AS ng,
+ MAX(created_at) FILTER (WHERE event_type IN ('created', 'clearance_complete', 'final_pay_executed')) AS updated_at
  FROM clearance_events GROUP BY 1, 2),
 base AS (SELECT user_id % 5 AS company_id, user_id AS clearance_request_id, user_id AS employee_id,
  CAST(MIN(ts) AS DATE) AS last_working_date, CAST(NULL AS DATE) AS clearance_date,
  CAST(NULL AS DATE) AS final_pay_executed_date FROM events GROUP BY 1, 2, 3),
 merged AS (SELECT b.* REPLACE (COALESCE(nc, clearance_date) AS clearance_date,
- COALESCE(ne, final_pay_executed_date) AS final_pay_executed_date), ng AS gross_final_pay, updated_at
+ COALESCE(ne, final_pay_executed_date) AS final_pay_executed_date), ng AS gross_final_pay, updated_at,
+ CAST(ng / 5 AS DECIMAL(18,2)) AS deductions_total, ng - CAST(ng / 5 AS DECIMAL(18,2)) AS net_final_pay
  FROM base b LEFT JOIN upd u ON u.company_id = b.company_id AND u.clearance_request_id = b.clearance_request_id),
 """
 
 
 @query("apply_clearance_events", "company_id:l clearance_request_id:l clearance_date:s final_pay_executed_date:s"
-       " gross_final_pay:d days_to_execute:l internal_sla_status:s updated_us:l",
+       " gross_final_pay:d deductions_total:d net_final_pay:d days_to_execute:l internal_sla_status:s updated_us:l",
        "SELECT *, EPOCH_US(updated_at) AS updated_us FROM s2", "clearance_events", APPLY_CTE + DAYS_CTE.format(src="merged"))
 def apply_clearance_events(t):
     opened = t.events.groupBy("user_id").agg({"ts": "min"}).selectExpr(
         "user_id % 5 AS company_id", "user_id AS clearance_request_id", "user_id AS employee_id",
         "CAST(`min(ts)` AS DATE) AS last_working_date", "CAST(NULL AS DATE) AS clearance_date",
         "CAST(NULL AS DATE) AS final_pay_executed_date")
-    df = cl.apply_clearance_events(opened, t.view("clearance_events"), AS_OF)
+    df = cl.apply_clearance_events(opened, paid_events(t), AS_OF)
     return df.selectExpr("*", "unix_micros(updated_at) AS updated_us")
+
+
+def paid_events(t):
+    """The events with a fifth of the pay as deductions."""
+    return t.view("clearance_events").selectExpr(
+        "*", "CAST(gross_pay / 5 AS DECIMAL(18,2)) AS deductions", "gross_pay - CAST(gross_pay / 5 AS DECIMAL(18,2)) AS net_pay")
+
+
+@query("clearance_audit", "company_id:l clearance_request_id:l event_id:l event_type:s new_values:s",
+       """SELECT company_id, clearance_request_id, event_id, event_type, CASE event_type
+ WHEN 'created' THEN '{"opened":"' || strftime(created_at, '%Y-%m-%d') || '"}'
+ WHEN 'clearance_complete' THEN '{"clearance_date":"' || strftime(created_at, '%Y-%m-%d') || '"}'
+ ELSE '{' || array_to_string(list_filter([
+   '"gross_pay":"' || CAST(gross_pay AS VARCHAR) || '"', '"deductions":"' || CAST(CAST(gross_pay / 5 AS DECIMAL(18,2)) AS VARCHAR) || '"',
+   '"net_pay":"' || CAST(gross_pay - CAST(gross_pay / 5 AS DECIMAL(18,2)) AS VARCHAR) || '"'], lambda x: x IS NOT NULL), ',') || '}' END AS new_values
+ FROM clearance_events WHERE event_type IN ('created', 'clearance_complete', 'final_pay_executed')""", "clearance_events")
+def clearance_audit(t):
+    return cl.clearance_audit(paid_events(t))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import textscan as ts
 from tallymark.registry.core import query
-from tallymark.session import spread, work_dir
+from tallymark.session import work_dir
 from tallymark.sources.corpus import corpus_scan
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -37,7 +37,7 @@ SPEC = ("id:s datastore_type:s instance_name:s host:s port:s database:s user:s s
 
 
 def _corpus(t):
-    return spread(t.view("corpus"), "path")
+    return t.view("corpus")
 
 
 def _all(t):
@@ -94,17 +94,17 @@ def env_compose(t):
  REGEXP_MATCHES(text, pat, 'i') AS changed FROM documents,
  (SELECT '\b(password|passwd|pwd|token|api[_-]?key|service[_-]?role|secret|private[_-]?key)\b\s*[:=]\s*(?:"[^"]*"|''[^'']*''|[^\s''",)]+)' AS pat) p""")
 def redact_corpus(t):
-    df = ts.redact_corpus(spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", mode="quoted")
+    df = ts.redact_corpus(t.documents.select("doc_id", "text"), "doc_id", mode="quoted")
     return df.select("doc_id", F.sha2("text", 256).alias("digest"), F.array_join("secret_fields", ",").alias("secret_fields"), "changed")
 
 
 @query("corpus_scan", "path:s digest:s",
        r"""SELECT path, SHA256(text) AS digest FROM (SELECT path, text, encode(text) AS b FROM corpus) z
- WHERE path NOT LIKE '%/src1/%' AND octet_length(b) <= 20000 AND NOT contains(text, CHR(0)) AND
- len(list_filter(regexp_extract_all(hex(b)[1:8192], '..'), lambda h: (h >= '09' AND h <= '0D') OR (h >= '20' AND h <= '7E')))
- >= 0.60 * LEAST(4096, octet_length(b))""", "corpus")
+ WHERE NOT contains(text, CHR(0)) AND
+ len(list_filter(regexp_extract_all(hex(b), '..'), lambda h: (h >= '09' AND h <= '0D') OR (h >= '20' AND h <= '7E')))
+ >= 0.60 * octet_length(b)""", "corpus")
 def scan_corpus(t):
     files = t.view("corpus").select("path", F.encode("text", "UTF-8").alias("content"))
     files = files.withColumn("length", F.octet_length("content"))
-    df = corpus_scan(files, excluded=("src1",), max_bytes=20000)
+    df = corpus_scan(files)
     return df.select("path", F.sha2("text", 256).alias("digest"))

@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+_APPLIED = "spark.tallymark.settings.applied"
 # Only at start: skip the call-site record PySpark makes for every Column call.
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -31,9 +32,10 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime options on a session somebody else created."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Set the runtime options, once, on a session somebody else created."""
+    if spark.conf.get(_APPLIED, None) is None:
+        for key, value in {**SETTINGS, _APPLIED: "true"}.items():
+            spark.conf.set(key, value)
     return spark
 
 
@@ -80,13 +82,3 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
-
-    For costly per-row work on a table of few file splits. A table with at least
-    one split per core is left alone, so a large one is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

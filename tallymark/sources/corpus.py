@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
-# Folders that are skipped, the size limit, and the binary test.
+# Folders that are skipped, and the binary test.
 EXCLUDED_DIRS = (".git", "node_modules", "dist", "build", ".venv", "__pycache__", ".next")
-MAX_BYTES = 5 * 1024 * 1024
-HEAD_BYTES = 4096
 TEXT_SHARE = 0.60
 LINE_BREAK = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"
 
@@ -20,23 +18,30 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
             .select("path", "length", "content"))
 
 
-def corpus_scan(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_DIRS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, text) of the files worth scanning.
-
-    Drops excluded folders, large files and probable binaries: a NUL byte
-    anywhere, or under 60 % printable ASCII among the first 4096 bytes. Bytes
-    that are no UTF-8 become replacement characters.
-    """
+def skip_reason(excluded: tuple[str, ...] = EXCLUDED_DIRS, max_bytes: int | None = None) -> Column:
+    """Why a file is not scanned, or null: an excluded folder, a size above ``max_bytes`` (no limit
+    unless given), a NUL byte, or under 60 % printable ASCII in the whole content."""
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    small = files.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, excluded))) & (c("length") <= max_bytes))
-    head = F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1")
-    printable = F.length(F.regexp_replace(head, r"[^\x09-\x0D\x20-\x7E]", ""))
-    is_text = printable.cast("double") / F.greatest(F.length(head), F.lit(1)) >= TEXT_SHARE
-    no_nul = ~F.decode("content", "ISO-8859-1").contains("\x00")
-    return (small.filter(no_nul & (is_text | (c("length") == 0)))
+    content = F.decode("content", "ISO-8859-1")
+    printable = F.length(F.regexp_replace(content, r"[^\x09-\x0D\x20-\x7E]", ""))
+    reason = F.when(F.arrays_overlap(folders, F.array(*map(F.lit, excluded))), "excluded folder")
+    if max_bytes is not None:
+        reason = reason.when(c("length") > max_bytes, "too large")
+    return reason.when(content.contains("\x00"), "binary").when(
+        printable.cast("double") < TEXT_SHARE * F.length(content), "not text")
+
+
+def corpus_scan(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
+    """(path, text) of the files worth scanning. Bytes that are no UTF-8 become replacement characters."""
+    return (files.filter(skip_reason(excluded, max_bytes).isNull())
             .select("path", F.make_valid_utf8(c("content").cast("string")).alias("text")))
 
 
+def corpus_skipped(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
+    """(path, reason) of the files that ``corpus_scan`` leaves out."""
+    return files.select("path", skip_reason(excluded, max_bytes).alias("reason")).filter("reason is not null")
+
+
 def lines(corpus: DataFrame) -> DataFrame:
     """(path, line_no, line), line numbers from 1."""
     # the outer form, because the plain one would split every text twice

@@ -6,6 +6,8 @@ documents, scanned files); they hold no operator logic.
 
 from __future__ import annotations
 
+from tallymark.operators.quality import SCHEMA_VERSIONS
+
 INTAKE_PAYLOAD = """CONCAT('{"id":"pg_', CAST(c_custkey AS VARCHAR(20)), '","properties":{',
  CASE c_custkey % 5 WHEN 0 THEN '"Name":{"title":[]},' WHEN 1 THEN '"Name":{"title":[{"plain_text":""}]},'
    WHEN 2 THEN '' ELSE CONCAT('"Name":{"title":[{"plain_text":"', c_name, '"}]},') END,
@@ -29,14 +31,6 @@ OCR_PAYLOAD = """CONCAT('{"tables":[{"type":"invoice","vendor":"V', CAST(o_custk
    ELSE '{"sku":"C","qty":3},{"sku":"D","qty":4},{"sku":"E","qty":5}' END,
  ']},{"type":"summary","vendor":"S","total":"1","date":"2000-01-01","items":[{"sku":"Z","qty":9}]}]}')"""
 
-# The schema version text each asset type must carry.
-SCHEMA_VERSIONS = {
-    "databases": "superset_database_v1",
-    "datasets": "superset_dataset_v1",
-    "charts": "superset_chart_v1",
-    "dashboards": "superset_dashboard_v1",
-}
-
 BUNDLE_TYPE = """CASE p_partkey % 4 WHEN 0 THEN 'databases' WHEN 1 THEN 'datasets'
  WHEN 2 THEN 'charts' ELSE 'dashboards' END"""
 

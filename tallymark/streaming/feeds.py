@@ -19,9 +19,6 @@ from tallymark.operators.quality import WORKFLOW_TYPES
 from tallymark.session import work_dir
 
 c = F.col
-# Batch limits of the change feed.
-BATCH_ROWS = 1000
-BATCH_MILLIS = 100
 
 
 def change_feed_source(spark: SparkSession, path: str, schema: str, max_files: int | None = None,
@@ -41,10 +38,10 @@ def change_feed_source(spark: SparkSession, path: str, schema: str, max_files: i
 
 
 def kafka_feed_source(spark: SparkSession, servers: str, topics: list[str], schema: str,
-                      max_rows: int = BATCH_ROWS) -> DataFrame:
-    """The production form: JSON change rows from one topic per table."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", ",".join(topics)).option("maxOffsetsPerTrigger", max_rows).load())
+                      max_rows: int | None = None) -> DataFrame:
+    """The production form: JSON change rows from one topic per table. ``max_rows`` bounds a micro-batch."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+    raw = (reader if max_rows is None else reader.option("maxOffsetsPerTrigger", max_rows)).load()
     return raw.select(c("topic").alias("table"), F.from_json(c("value").cast("string"), schema).alias("row")).select("table", "row.*")
 
 
@@ -119,6 +116,11 @@ def audit_rows(events: DataFrame) -> DataFrame:
         F.coalesce(c("workflow_type").isin(*WORKFLOW_TYPES), F.lit(False)).alias("accepted"))
 
 
+def split_audit(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined): rows of an undeclared workflow type are kept apart, not dropped."""
+    return log.filter("accepted").drop("accepted"), log.filter("NOT accepted").drop("accepted")
+
+
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 day", delay: str = "2 hours") -> DataFrame:
     """Counts per type and tumbling window; a window appears once the watermark has passed its end."""
     return (stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), kind)

@@ -6,6 +6,7 @@ python tests/run_checks.py [folder] [key ...]
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -18,7 +19,8 @@ from tests.compare import check_connection, compare  # noqa: E402
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("checks", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                   "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+                                                   "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+                                                   "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checks-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = check_connection(folder)
     wanted = [a for a in sys.argv[2:]]

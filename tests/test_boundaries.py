@@ -180,11 +180,11 @@ def test_scan_lines(spark):
 
 def test_bundle_messages_are_clean(spark):
     docs = spark.createDataFrame([
-        ("charts", "a", '{"version":"1.0","schema_version":"superset_chart_v1","slice_name":"s","viz_type":"v","params":{}}'),
+        ("charts", "a", '{"version":"1.0","schema_version":"chart_v1","slice_name":"s","viz_type":"v","params":{}}'),
         ("charts", "b", '{"version":"3","schema_version":"other","slice_name":"s","params":null}'), ("charts", "c", "[1]"), ("charts", "d", "{oops"),
         ("other", "e", '{"version":""}')], "asset_type string, file string, doc string")
     assert sorted(rows(quality.bundle_validate(docs), "file", "message")) == [
-        ("b", "Invalid schema_version: expected superset_chart_v1, got other"), ("b", "Missing required field: viz_type"),
+        ("b", "Invalid schema_version: expected chart_v1, got other"), ("b", "Missing required field: viz_type"),
         ("b", "Unsupported version: 3 (supported: 1.0)"), ("c", "Root must be a dictionary"), ("d", "Document is not valid JSON")]
 
 
