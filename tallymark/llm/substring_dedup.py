@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.suffix_array import common_prefixes, suffix_array
-from tallymark.session import materialize
+from tallymark.session import materialize, release
 
 LENGTH = 200
 GRAM = 64
@@ -274,16 +274,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows alike in id and text have the same places; their number keeps them apart.
     places = found.join(repeated, "anchor", "left_semi").groupBy(*key).agg(
         F.collect_set(F.struct("anchor", "start", "end")).alias("places"))
+    places = materialize(places, "places")
+    release(found, repeated)
     places = places.select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), "places")
     placed = texts.join(places, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     cut = materialize(placed.select(*key, "text", "places").mapInArrow(
         _cut_contexts, f"doc {id_type}, text_hash long, anchor long, start int, context_id binary, context binary"), "contexts")
+    release(places)
     counts = cut.groupBy("context_id").agg(F.count("*").alias("n"))
     distinct = cut.filter("context is not null").dropDuplicates(["context_id"]).select("anchor", "context_id", "context")
     contexts = materialize(distinct.join(counts, "context_id"), "distinct_contexts")
     spans = materialize(_repeats(contexts, length, shard_bytes), "repeats").withColumnRenamed("start", "from")
+    release(contexts)
     covered = cut.select(*key, "start", "context_id").join(spans, "context_id").groupBy(*key).agg(F.collect_set(F.struct(
         (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("end")).alias("end"))).alias("spans"))
+    covered = materialize(covered, "covered")
+    release(cut, spans)
     covered = covered.select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), "spans")
     joined = texts.join(covered, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return joined.select("doc", "text", "spans").mapInArrow(
