@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.decontaminate import leaks
 from tallymark.llm.exact_dedup import exact_groups
-from tallymark.llm.licenses import scan
+from tallymark.llm.licenses import TEMPLATES, scan
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
@@ -72,6 +72,49 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(files).drop("text")
 
 
+_TERMS = r"regexp_extract_all(lower({}), '[0-9]+(?:\.[0-9]+)*|[a-z]+')"
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(TEMPLATES))
+OP2_SQL = rf"""
+WITH files AS (
+  SELECT doc_id, coalesce(text, '') AS text, source || CASE
+    WHEN doc_id % 256 = 0 THEN '/LICENSE.' || doc_id // 256
+    WHEN doc_id % 16 = 0 THEN '/b' || doc_id // 256 || '/LICENSE.' || doc_id // 16
+    WHEN doc_id % 4 = 0 THEN '/b' || doc_id // 256 || '/c' || doc_id // 16 || '/COPYING.' || doc_id
+    ELSE '/b' || doc_id // 256 || '/c' || doc_id // 16 || '/' || doc_id || '.txt' END AS path FROM documents),
+templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, license, body)),
+template_terms AS (SELECT template, license, unnest({_TERMS.format('body')}) AS term FROM templates),
+known AS (SELECT DISTINCT term FROM template_terms),
+held AS (SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM files) AS words
+  JOIN known USING (term) GROUP BY term),
+total AS (SELECT count(*) AS n FROM files),
+weights AS (SELECT term, ln((total.n + 1.0) / (coalesce(held.n, 0) + 1.0)) + 1.0 AS idf FROM known LEFT JOIN held USING (term), total),
+vectors AS (SELECT template, license, term, count(*) * any_value(idf) AS w FROM template_terms JOIN weights USING (term) GROUP BY ALL),
+norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY template),
+passages AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'))) AS passage
+  FROM files),
+counted AS (SELECT doc_id, passage, term, count(*) AS tf FROM (
+  SELECT doc_id, passage, unnest({_TERMS.format('passage')}) AS term FROM passages) AS words GROUP BY ALL),
+valued AS (SELECT doc_id, passage, term, tf * coalesce(idf, ln(total.n + 1.0) + 1.0) AS v FROM counted LEFT JOIN weights USING (term), total),
+lengths AS (SELECT doc_id, passage, sqrt(sum(v * v)) AS length FROM valued GROUP BY doc_id, passage),
+dots AS (SELECT doc_id, passage, template, license, sum(v * w) AS dot FROM valued JOIN vectors USING (term) GROUP BY ALL),
+scored AS (SELECT doc_id, template, license, round(dot / length / norm, 6) AS score
+  FROM dots JOIN lengths USING (doc_id, passage) JOIN norms USING (template)),
+own AS (SELECT doc_id, first(license ORDER BY score DESC, template) AS license, max(score) AS score
+  FROM scored WHERE score >= 0.75 GROUP BY doc_id),
+placed AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '[^/]*$', '') AS dir, o.license, o.score,
+  regexp_matches(f.path, '/(LICENSE|COPYING)[.][^/]*$') AS is_licence FROM files f LEFT JOIN own o USING (doc_id)),
+ranks AS (SELECT license, min(template) AS rank FROM templates GROUP BY license),
+dirs AS (SELECT dir, first(license ORDER BY score DESC, rank) AS license FROM placed JOIN ranks USING (license) WHERE is_licence GROUP BY dir),
+nearest AS (SELECT p.dir, max_by(d.dir, length(d.dir)) AS above, max_by(d.license, length(d.dir)) AS license
+  FROM (SELECT DISTINCT dir FROM placed) p JOIN dirs d ON starts_with(p.dir, d.dir) GROUP BY p.dir)
+SELECT p.doc_id, p.path, coalesce(p.license, n.license) AS license, p.score AS license_score,
+  CASE WHEN p.license IS NOT NULL AND is_licence THEN 'file' WHEN p.license IS NOT NULL THEN 'header'
+    WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_origin,
+  CASE WHEN p.license IS NULL THEN n.above END AS license_dir
+FROM placed p LEFT JOIN nearest n USING (dir)
+"""
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return read_archives(write_archives(pages, archive_folder(spark))).drop("url")
@@ -163,6 +206,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
