@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,6 @@ def tenant_scope(df: DataFrame, column: str, tenant, strict: bool = False) -> Da
 
 def expired_rows(df: DataFrame, as_of, created: str, ttl_seconds: int = 86400, expires: str | None = None) -> DataFrame:
     """Rows past their expiry, or past ``created`` + TTL where no expiry is stored."""
-    limit = c(created) + F.make_dt_interval(secs=F.lit(ttl_seconds))
-    end = F.coalesce(c(expires), limit) if expires else limit
-    return df.filter(end <= F.lit(as_of))
+    # the columns stay bare, so both bounds can reach the scan
+    stale = c(created) <= F.lit(as_of - dt.timedelta(seconds=ttl_seconds))
+    return df.filter((c(expires) <= F.lit(as_of)) | (c(expires).isNull() & stale) if expires else stale)

@@ -90,11 +90,14 @@ def coverage_mismatch(t):
 @query("parity_diff", "capability_id:s change:s",
        """SELECT capability_id, CASE WHEN domain = 'PPM' AND gap_level = 3 THEN 'added' WHEN domain = 'Ops' AND gap_level = 0 THEN 'removed'
  ELSE 'changed' END AS change FROM parity WHERE (domain = 'PPM' AND gap_level = 3) OR (domain = 'Ops' AND gap_level = 0)
- OR (domain = 'HR' AND gap_level = 2)""", P)
+ OR (domain = 'HR' AND gap_level = 2)
+ UNION ALL SELECT capability_id || '_old', 'removed' FROM parity WHERE domain = 'PPM' AND gap_level = 3
+ UNION ALL SELECT capability_id || '_new', 'added' FROM parity WHERE domain = 'Ops' AND gap_level = 0""", P)
 def parity_diff(t):
     run = t.view(P)
-    before = run.filter("NOT (domain = 'PPM' AND gap_level = 3)")
-    after = run.filter("NOT (domain = 'Ops' AND gap_level = 0)").withColumn(
+    renamed = "CASE WHEN {} THEN concat(capability_id, '{}') ELSE capability_id END"
+    before = run.withColumn("capability_id", F.expr(renamed.format("domain = 'PPM' AND gap_level = 3", "_old")))
+    after = run.withColumn("capability_id", F.expr(renamed.format("domain = 'Ops' AND gap_level = 0", "_new"))).withColumn(
         "gap_level", F.expr("CASE WHEN domain = 'HR' AND gap_level = 2 THEN 1 ELSE gap_level END"))
     return cap.parity_diff(before, after)
 
@@ -134,7 +137,7 @@ def feature_request_queue(t):
  CASE WHEN url LIKE 'https:%' THEN 'tls' END AS tag FROM pages""")
 def catalog_union(t):
     nodes = t.pages.selectExpr("CONCAT('page_', page_id) AS id", "url")
-    plain = nodes.filter("url LIKE 'http:%'").withColumn("catalog", F.lit("plain"))
+    plain = nodes.filter("url IS NULL OR url NOT LIKE 'https:%'").withColumn("catalog", F.lit("plain"))
     secure = nodes.filter("url LIKE 'https:%'").withColumn("catalog", F.lit("secure")).withColumn("tag", F.lit("tls"))
     return cap.catalog_union(plain, secure)
 

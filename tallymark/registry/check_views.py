@@ -93,12 +93,12 @@ SELECT o.o_custkey AS project_id, l.l_orderkey * 10 + l.l_linenumber AS line_id,
   CASE WHEN l.l_linestatus = 'F' THEN -{_PRICE} ELSE {_PRICE} END AS amount
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "assets_bundle": f"""
-SELECT {payloads.ASSET_TYPE} AS asset_type, CONCAT('asset_', CAST(p_partkey AS VARCHAR)) AS name,
-  {payloads.ASSET_CONTENT.format(size='p_size')} AS content FROM part WHERE p_brand <> 'Brand#7'""",
+SELECT {payloads.ASSET_TYPE} AS asset_type, CONCAT(CASE WHEN p_brand = 'Brand#7' THEN 'old_' ELSE 'asset_' END, CAST(p_partkey AS VARCHAR)) AS name,
+  {payloads.ASSET_CONTENT.format(size='p_size')} AS content FROM part""",
     "assets_runtime": f"""
-SELECT {payloads.ASSET_TYPE} AS asset_type, CONCAT('asset_', CAST(p_partkey AS VARCHAR)) AS name,
+SELECT {payloads.ASSET_TYPE} AS asset_type, CONCAT(CASE WHEN p_brand = 'Brand#13' THEN 'new_' ELSE 'asset_' END, CAST(p_partkey AS VARCHAR)) AS name,
   {payloads.ASSET_CONTENT.format(size='CASE WHEN p_size = 10 THEN p_size + 1 ELSE p_size END')} AS content
-FROM part WHERE p_brand <> 'Brand#13'""",
+FROM part""",
     "bundle_docs": f"""
 SELECT {payloads.BUNDLE_TYPE} AS asset_type, CONCAT('f', CAST(p_partkey AS VARCHAR), '.yaml') AS file,
   {payloads.BUNDLE_DOC} AS doc FROM part""",
@@ -162,5 +162,5 @@ SELECT CONCAT('cap_', CAST(p_partkey AS VARCHAR)) AS capability_id, p_name AS ca
   CASE WHEN p_brand = 'Brand#9' THEN 'Minimal Custom' WHEN p_size % 4 = 0 THEN 'Config' WHEN p_size % 4 = 1 THEN 'OCA'
     WHEN p_size % 4 = 2 THEN 'Minimal Custom' ELSE 'External' END AS smart_delta FROM part""",
     "registry_entries": """
-SELECT DISTINCT p_brand AS repo, CONCAT('module_', p_name) AS module FROM part WHERE p_size BETWEEN 13 AND 19""",
+SELECT DISTINCT p_brand AS repo, CASE WHEN p_size BETWEEN 13 AND 19 THEN 'module_' || p_name ELSE 'addon_' || p_name END AS module FROM part""",
 }

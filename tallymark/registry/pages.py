@@ -73,9 +73,9 @@ def expand(t):
 
 @query("content_change", "page_id:l change:s",
        """SELECT page_id, CASE WHEN url LIKE '%/de/%' THEN 'removed' ELSE 'changed' END AS change FROM pages
- WHERE url LIKE '%/de/%' OR url LIKE '%/es/%'""")
+ WHERE url LIKE '%/de/%' OR url LIKE '%/es/%' UNION ALL SELECT -1 - page_id, 'added' FROM pages WHERE url LIKE '%/de/%'""")
 def content_change(t):
-    later = (t.pages.filter("url NOT LIKE '%/de/%'")
+    later = (t.pages.withColumn("page_id", F.expr("CASE WHEN url LIKE '%/de/%' THEN -1 - page_id ELSE page_id END"))
              .withColumn("html", F.expr("CASE WHEN url LIKE '%/es/%' THEN CONCAT(html, ' ') ELSE html END")))
     return pg.content_change(t.pages, later)
 

@@ -222,15 +222,15 @@ def ledger(t: Tables) -> DataFrame:
 
 
 def assets_bundle(t: Tables) -> DataFrame:
-    return t.part.filter("p_brand <> 'Brand#7'").selectExpr(
-        f"{payloads.ASSET_TYPE} AS asset_type", "CONCAT('asset_', p_partkey) AS name",
+    return t.part.selectExpr(
+        f"{payloads.ASSET_TYPE} AS asset_type", "CONCAT(CASE p_brand WHEN 'Brand#7' THEN 'old_' ELSE 'asset_' END, p_partkey) AS name",
         f"{payloads.ASSET_CONTENT.format(size='p_size')} AS content")
 
 
 def assets_runtime(t: Tables) -> DataFrame:
     size = "CASE WHEN p_size = 10 THEN p_size + 1 ELSE p_size END"
-    return t.part.filter("p_brand <> 'Brand#13'").selectExpr(
-        f"{payloads.ASSET_TYPE} AS asset_type", "CONCAT('asset_', p_partkey) AS name",
+    return t.part.selectExpr(
+        f"{payloads.ASSET_TYPE} AS asset_type", "CONCAT(CASE p_brand WHEN 'Brand#13' THEN 'new_' ELSE 'asset_' END, p_partkey) AS name",
         f"{payloads.ASSET_CONTENT.format(size=size)} AS content")
 
 
@@ -369,9 +369,9 @@ def parity(t: Tables) -> DataFrame:
 
 
 def registry_entries(t: Tables) -> DataFrame:
-    """Community module registry: module names known per repo."""
-    return t.part.filter("p_size BETWEEN 13 AND 19").selectExpr(
-        "p_brand AS repo", "CONCAT('module_', p_name) AS module").distinct()
+    """Community module registry: module names known per repo; parts of other sizes are known by another name."""
+    return t.part.selectExpr(
+        "p_brand AS repo", "CONCAT(CASE WHEN p_size BETWEEN 13 AND 19 THEN 'module_' ELSE 'addon_' END, p_name) AS module").distinct()
 
 
 VIEWS = {f.__name__: f for f in (
