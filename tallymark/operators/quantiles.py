@@ -10,6 +10,8 @@ from tallymark.session import materialize
 
 c = F.col
 CELLS_PER_OCTAVE = 512
+VALUES = 50_000  # different values that one window orders at most
+PARTS = 4096
 
 
 def _cell(x):
@@ -23,6 +25,36 @@ def _cell(x):
             .otherwise(inner).cast("bigint"))
 
 
+def _narrowed(needed: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Splits cells of more than ``VALUES`` different values between their own bounds, until no wanted one is larger.
+
+    Cells of a fixed width say nothing about data that lies close together; the
+    parts follow from the smallest and largest value of the cell itself.
+    """
+    x = c("v").cast("double")
+    cell = [*keys, "cell"]
+    while True:
+        sizes = needed.groupBy(*cell).agg(F.count("*").alias("values"), F.min(x).alias("low"), F.max(x).alias("high"))
+        large = materialize(sizes.filter((c("values") > VALUES) & (c("low") < c("high"))), "large")
+        if large.isEmpty():
+            return needed, wanted
+        joined = join_null_safe(needed, large, cell, "left")
+        # a value's own place keeps parts of one double apart from none: equal doubles share a part
+        part = F.coalesce(F.floor((x - c("low")) / (c("high") - c("low")) * PARTS), F.lit(0)).cast("bigint")
+        split = joined.withColumn("part_no", part).drop("values", "low", "high")
+        counts = split.groupBy(*cell, "part_no").agg(F.sum("n").alias("rows"), F.min("begin").alias("from"))
+        before = Window.partitionBy(*cell).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+        spans = counts.withColumn("from", c("from") + F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        spans = materialize(spans.select(*cell, "part_no", c("from").alias("begin"), (c("from") + c("rows")).alias("upto"),
+                                         F.xxhash64("cell", "part_no").alias("next")), "parts")
+        wanted = materialize(join_null_safe(wanted.drop("begin"), spans, cell)
+                             .filter("rank >= begin AND rank < upto").drop("cell", "part_no", "upto")
+                             .withColumnRenamed("next", "cell"), "ranks")
+        kept = join_null_safe(split.drop("begin"), spans.drop("upto"), [*cell, "part_no"])
+        kept = kept.drop("cell", "part_no").withColumnRenamed("next", "cell")
+        needed = materialize(join_null_safe(kept, wanted.select(*keys, "cell").distinct(), cell), "values")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group, e.g. ``{"q1": 0.25}``.
 
@@ -50,6 +82,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     needed = (join_null_safe(rows, wanted.select(*keys, "cell", "begin").distinct(), [*keys, "cell"])
               .groupBy(*keys, "cell", "begin", "v").agg(F.count("*").alias("n")))
+    needed, wanted = _narrowed(materialize(needed, "values"), wanted, keys)
     inside = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stepped = needed.withColumn("last", c("begin") + F.sum("n").over(inside)).select(
         *keys, "cell", c("v").cast("double").alias("v"), (c("last") - c("n")).alias("first"), "last")

@@ -52,6 +52,21 @@ def test_latest_snapshot_keeps_ties(spark):
     assert sorted(r.v for r in latest_snapshot(df, ["k"], "day", unique=True).collect()) == ["b", "c", "d"]
 
 
+def test_quantiles_of_values_close_together(spark, monkeypatch):
+    """Times in microseconds and tiny values fall into one cell of fixed width, which is split by its own bounds."""
+    monkeypatch.setattr("tallymark.operators.quantiles.VALUES", 20)
+    values = {"t": [1.7e15 + 37 * k for k in range(3000)], "s": [1e-7 * k * k for k in range(2000)], None: [5.0] * 40 + [5.0 + 1e-9],
+              "i": [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 0.999}).collect()}
+    for g in ("t", "s", None):
+        for name, p in (("low", 0.1), ("mid", 0.5), ("top", 0.999)):
+            assert got[g][name] == pytest.approx(float(np.quantile(values[g], p)), rel=1e-12, abs=1e-15)
+    assert (got["i"].mid, got["i"].top) == (2.0, float("inf"))
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
+    assert exact_quantiles(nan, [], "v", {"mid": 0.5}).first().mid == 2.0  # a NaN is the largest value
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.lognormal(3, 4, 5000).round(4), "flat": np.full(40, 7.5), "one": np.array([-3.25]), "two": np.array([1.0, 2.0]),
