@@ -179,7 +179,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
     found = texts.select("doc_id", F.col("grade").cast("long"), "text").mapInArrow(
         _featurised, "doc_id long, grade long, words array<int>, shapes array<int>, shares array<float>")
     rows = sorted(((r.doc_id, r.grade, np.array(r.words, np.int32), np.array(r.shapes, np.int32), np.array(r.shares, np.float32))
-                   for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2]), r[2].tolist()))
+                   for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
     return fit([r[1:] for r in rows], grades)
 
 
