@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallymark.session import materialize
 
 LEAST_COSINE = 0.75
+_NO_PATH = "\0"  # stands for a null path in joins
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([-._].*)?$|^copying([-._].*)?$|^notice([-._].*)?$"
 # The usual notices, by SPDX id.
 TEMPLATES = [
@@ -113,7 +114,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     inherit; a null path inherits nothing. Rows alike in path and text get equal
     results. Other columns stay; the four names replace columns alike in name.
     """
-    own = files.select(F.col(path_col).alias("path"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    known_path = F.coalesce(F.col(path_col), F.lit(_NO_PATH))
+    own = files.select(known_path.alias("path"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     order = {name: k for k, (name, _) in reversed(list(enumerate(templates)))}
     found = materialize(detect(own, templates, least), "licences")
     name = F.regexp_extract("path", "[^/]*$", 0)
@@ -123,7 +125,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
         .select("dir", F.col("best.license").alias("dir_license"))
     rooted = materialize(rooted, "licence_dirs")
     # Directories are few beside files: each looks its ancestors up once.
-    dirs = own.select(_directory(F.col("path")).alias("of")).filter("of is not null").distinct()
+    dirs = own.filter(F.col("path") != _NO_PATH).select(_directory(F.col("path")).alias("of")).distinct()
     parts = F.split("of", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(
         F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
@@ -133,7 +135,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     nearest = materialize(nearest, "nearest")
     found = found.select(F.col("path").alias("__path"), F.col("text_hash").alias("__hash"),
                          F.col("license").alias("__own"), F.col("score").alias("__score"))
-    joined = files.join(found, F.col(path_col).eqNullSafe(F.col("__path")) & (F.xxhash64(text_col) == F.col("__hash")), "left") \
+    joined = files.join(found, (known_path == F.col("__path")) & (F.xxhash64(text_col) == F.col("__hash")), "left") \
         .join(nearest, _directory(F.col(path_col)) == F.col("of"), "left")
     licence_file = F.regexp_extract(F.col(path_col), "[^/]*$", 0).rlike(LICENCE_FILE)
     has = F.col("__own").isNotNull()
