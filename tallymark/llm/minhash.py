@@ -22,10 +22,15 @@ from tallymark.session import materialize
 
 SHINGLE = 5
 SIDE, ROWS = 16, 3  # sub-keys in a collection, minhashes in a sub-key
-HASHES = 2 * SIDE * ROWS
-# Linked documents agree in 72 of the 96 minhashes or more on average; fewer than
-# 48 agreements have a chance of one in 10^8.
-LEAST_AGREEMENTS = HASHES // 2
+IN_KEYS = 2 * SIDE * ROWS
+HASHES = 2 * IN_KEYS  # the sketch has four bits of each, fifteen to a number
+# Documents of similarity 0.75 agree in 147 of 192 minhashes on average, four bits
+# being equal by chance in one of sixteen; the deviation is 5.9, and fewer than
+# 122 agreements have a chance of one in 10^5.
+LEAST_AGREEMENTS = 122
+_LANES = 15
+_NUMBERS = -(-HASHES // _LANES)
+STAR_ROUNDS = 2
 _PART = 4096
 _WORDS_KEPT = 1_000_000
 
@@ -34,6 +39,9 @@ _POSITION, _FACTOR, _SHIFT, _ROW = (_rng.integers(0, 2**64, n, dtype=np.uint64)
                                     for n in (SHINGLE, HASHES, HASHES, ROWS))
 
 
+_LANE = np.arange(0, 4 * _LANES, 4, dtype=np.uint64)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _WORDS_KEPT:
@@ -88,8 +96,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = minhashes(shingles)
             n.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            keys.append(_mixed((least.reshape(-1, ROWS) * _ROW).sum(axis=1, dtype=np.uint64)) if n[-1] else least[:0])
-            sketches.append((least >> np.uint64(56)).astype(np.uint8).view(np.uint64))
+            keys.append(_mixed((least[:IN_KEYS].reshape(-1, ROWS) * _ROW).sum(axis=1, dtype=np.uint64)) if n[-1] else least[:0])
+            bits = np.zeros(_NUMBERS * _LANES, np.uint64)
+            bits[:HASHES] = least >> np.uint64(60)
+            sketches.append((bits.reshape(_NUMBERS, _LANES) << _LANE).sum(axis=1, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
              _lists(keys), _lists(sketches)],
@@ -105,14 +115,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreements(a: str, b: str) -> Column:
-    """Minhashes in which two sketches agree: the zero bytes of their difference."""
-    def differing(x: Column, y: Column) -> Column:
-        diff = x.bitwiseXOR(y)
-        for step in (4, 2, 1):  # gather the bits of each byte in its lowest one
-            diff = diff.bitwiseOR(F.shiftrightunsigned(diff, step))
-        return F.bit_count(diff.bitwiseAND(F.lit(0x0101010101010101)))
+    """Minhashes in which two sketches agree. Written out number by number, so that it is compiled."""
+    rest, top = F.lit(0x0777777777777777), F.lit(0x0888888888888888)
+
+    def differing(k: int) -> Column:  # the top bit of each four is set if any bit differs
+        diff = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        return F.bit_count((diff.bitwiseAND(rest) + rest).bitwiseOR(diff).bitwiseAND(top))
 
-    return HASHES - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x)
+    return HASHES - sum((differing(k) for k in range(1, _NUMBERS)), differing(0))
 
 
 def _may_link(n: str, m: str, a: str, b: str) -> Column:
@@ -121,25 +131,32 @@ def _may_link(n: str, m: str, a: str, b: str) -> Column:
 
 
 def _table_keys(nodes: DataFrame) -> DataFrame:
-    """(node, key). A pair of sub-keys can repeat only if both do, so single ones go before they are combined."""
+    """(node, key, i, j) with the numbers of the sub-keys in ``key``.
+
+    A pair of sub-keys can repeat only if both do, so single ones go before they are combined.
+    """
     subkeys = materialize(nodes.select("node", F.posexplode("subkeys").alias("slot", "h")), "subkeys")
     repeated = materialize(subkeys.groupBy("slot", "h").count().filter("count > 1").drop("count"), "repeated")
     live = subkeys.join(repeated, ["slot", "h"], "left_semi").groupBy("node").agg(
         F.collect_list(F.struct("slot", "h")).alias("live"))
     keys = F.flatten(F.transform(
         F.filter("live", lambda x: x["slot"] < SIDE),
-        lambda x: F.transform(F.filter("live", lambda y: y["slot"] >= SIDE), lambda y: F.xxhash64(x, y))))
-    return live.select("node", F.explode(keys).alias("key"))
+        lambda x: F.transform(F.filter("live", lambda y: y["slot"] >= SIDE), lambda y: F.struct(
+            F.xxhash64(x, y).alias("key"), x["slot"].alias("i"), y["slot"].alias("j")))))
+    return live.select("node", F.explode(keys).alias("k")).select("node", "k.*")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets link. Sets are made only of documents in a pair."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select(
+def _shingle_sets(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents that share a table key with another one. The texts move once, for this."""
+    wanted = nodes.join(keys.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    sets = materialize(found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    return materialize(found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+    pairs = materialize(pairs, "pairs")
     sided = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = sided.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
@@ -147,30 +164,67 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
 
 
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between different shingle sets, enough of them for the components."""
+    """Links between different shingle sets, enough of them for the components.
+
+    An entry is what shares a table key. In each round every entry is held against
+    one of its documents, which is linear in its size, and components are joined;
+    entries within one component are done. Only what then still lies in different
+    components of an entry is compared pair by pair.
+    """
     keys = materialize(_table_keys(nodes), "keys")
-    tables = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"))
-                         .filter("a < last").drop("last"), "tables")
+    keys = materialize(keys.join(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                                 .filter("a < b").select("key"), "key", "left_semi"), "entries")
+    sets = _shingle_sets(nodes, keys, texts)
+    links = labels = None
+    for turn in range(STAR_ROUNDS):
+        if labels is None:
+            placed = keys.withColumn("component", F.col("node"))
+        else:
+            placed = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # The same order of the documents in every entry, so that a group meets few different heads.
+        order = F.struct((F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")).alias("order"), "node", "component")
+        heads = placed.groupBy("key").agg(F.min(order).alias("head"), F.min("component").alias("low"),
+                                          F.max("component").alias("high")).filter("low < high")
+        heads = materialize(heads.select("key", F.col("head.node").alias("a"), F.col("head.component").alias("other")), "heads")
+        near = placed.join(heads, "key").filter("component <> other").select(
+            F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+        found = _confirmed(_likely(near, nodes), sets)
+        if turn and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    return links.union(_confirmed(_across(keys, labels, nodes), sets))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+    right = nodes.select(F.col("node").alias("b"), "n", "sketch")
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("t"))
-    # First every document against the smallest one in its table entry: linear in the size of the entry.
-    near = keys.withColumnRenamed("node", "b").join(tables, "key").filter("a < b").select("a", "b").distinct()
-    near = near.join(nodes.select(F.col("node").alias("b"), "n", "sketch"), "b").join(left, "a")
-    first = _confirmed(near.filter(_may_link("n", "m", "sketch", "t")).select("a", "b"), nodes, texts)
-    labels = components(first)
-    # Then, where an entry still holds several components, the pairs across them that the sketches allow.
-    entries = keys.join(tables, "key").join(labels, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node")) \
-        .join(labels.select(F.col("node").alias("a"), F.col("component").alias("main")), "a", "left") \
-        .withColumn("main", F.coalesce("main", "a"))
-    entries = materialize(entries.join(nodes.select("node", "n", "sketch"), "node"), "entries")
-    outside = entries.filter("component <> main and node <> a").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("t"), F.col("component").alias("other"))
-    mixed = entries.filter("node <> a").select("key", F.col("node").alias("b"), "n", "sketch", "component", "main")
-    across = outside.join(mixed, "key").filter(
-        ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("component") != F.col("other"))
-        & _may_link("n", "m", "sketch", "t"))
-    pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.union(_confirmed(pairs, nodes, texts))
+    return pairs.join(right, "b").join(left, "a").filter(_may_link("n", "m", "sketch", "t")).select("a", "b")
+
+
+def _across(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of different components of an entry, each pair once."""
+    placed = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")) \
+        .filter("k > 1").select("key", F.col("main.component").alias("main"))
+    placed = placed.join(materialize(mixed, "mixed"), "key").join(nodes.select("node", "n", "sketch", "subkeys"), "node")
+    placed = materialize(placed, "mixed_entries")
+    # Everything outside the largest component of an entry, against all of the entry.
+    outside = placed.filter("component <> main").select(
+        "key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("t"),
+        F.col("component").alias("other"), F.col("subkeys").alias("own"))
+    inside = placed.select("key", F.col("node").alias("b"), "n", "sketch", "component", "main", "subkeys", "i", "j")
+    # A pair that shares several keys counts in the one of its first common sub-keys.
+    def first_common(slots: range) -> Column:
+        return F.coalesce(*[F.when(F.get("own", F.lit(k)) == F.get("subkeys", F.lit(k)), k) for k in slots])
+
+    once = (first_common(range(SIDE)) == F.col("i")) & (first_common(range(SIDE, 2 * SIDE)) == F.col("j"))
+    new = (F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = outside.join(inside, "key").filter(
+        (F.col("component") != F.col("other")) & new & once & _may_link("n", "m", "sketch", "t"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
