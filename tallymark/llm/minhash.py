@@ -31,6 +31,9 @@ LEAST_AGREEMENTS = 122
 _LANES = 15
 _NUMBERS = -(-HASHES // _LANES)
 STAR_ROUNDS = 2
+# Sets of up to so many shingles travel as 16-bit prints into the pair-wise join. Prints that
+# coincide can hide a common shingle; four at once have a chance of one in 5000 at most.
+SMALL, HIDDEN = 256, 4
 _PART = 4096
 _WORDS_KEPT = 1_000_000
 
@@ -90,20 +93,21 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
-        n, digests, keys, sketches = [], [], [], []
+        n, digests, keys, sketches, prints = [], [], [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             shingles = shingle_set(text, hashes)
             least = minhashes(shingles)
             n.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             keys.append(_mixed((least[:IN_KEYS].reshape(-1, ROWS) * _ROW).sum(axis=1, dtype=np.uint64)) if n[-1] else least[:0])
+            prints.append(np.unique(shingles.astype(np.uint16).view(np.int16)) if 0 < n[-1] <= SMALL else None)
             bits = np.zeros(_NUMBERS * _LANES, np.uint64)
             bits[:HASHES] = least >> np.uint64(60)
             sketches.append((bits.reshape(_NUMBERS, _LANES) << _LANE).sum(axis=1, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-             _lists(keys), _lists(sketches)],
-            names=["doc_id", "text_hash", "n", "digest", "subkeys", "sketch"])
+             _lists(keys), _lists(sketches), pa.array(prints, pa.list_(pa.int16()))],
+            names=["doc_id", "text_hash", "n", "digest", "subkeys", "sketch", "prints"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,21 +213,23 @@ def _across(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")) \
         .filter("k > 1").select("key", F.col("main.component").alias("main"))
-    placed = placed.join(materialize(mixed, "mixed"), "key").join(nodes.select("node", "n", "sketch", "subkeys"), "node")
+    placed = placed.join(materialize(mixed, "mixed"), "key").join(nodes.select("node", "n", "sketch", "subkeys", "prints"), "node")
     placed = materialize(placed, "mixed_entries")
     # Everything outside the largest component of an entry, against all of the entry.
     outside = placed.filter("component <> main").select(
         "key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("t"),
-        F.col("component").alias("other"), F.col("subkeys").alias("own"))
-    inside = placed.select("key", F.col("node").alias("b"), "n", "sketch", "component", "main", "subkeys", "i", "j")
+        F.col("component").alias("other"), F.col("subkeys").alias("own"), F.col("prints").alias("marks"))
+    inside = placed.select("key", F.col("node").alias("b"), "n", "sketch", "component", "main", "subkeys", "i", "j", "prints")
     # A pair that shares several keys counts in the one of its first common sub-keys.
     def first_common(slots: range) -> Column:
         return F.coalesce(*[F.when(F.get("own", F.lit(k)) == F.get("subkeys", F.lit(k)), k) for k in slots])
 
     once = (first_common(range(SIDE)) == F.col("i")) & (first_common(range(SIDE, 2 * SIDE)) == F.col("j"))
     new = (F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))
+    common = F.size(F.array_intersect("marks", "prints")) + HIDDEN
+    near = F.col("marks").isNull() | F.col("prints").isNull() | (common * 100 >= (F.col("n") + F.col("m") - common) * 75)
     pairs = outside.join(inside, "key").filter(
-        (F.col("component") != F.col("other")) & new & once & _may_link("n", "m", "sketch", "t"))
+        (F.col("component") != F.col("other")) & new & once & _may_link("n", "m", "sketch", "t") & near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -246,14 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        _sketches, f"doc_id {id_type}, text_hash long, n long, digest binary, subkeys array<long>, sketch array<long>")
+        _sketches, f"doc_id {id_type}, text_hash long, n long, digest binary, subkeys array<long>, sketch array<long>, prints array<short>")
         .withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = rows.filter("n > 0")
     shared = materialize(some.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("k"))
                          .filter("k > 1").drop("k"), "copies")
     nodes = some.join(shared.withColumnRenamed("node", "head"), "digest", "left") \
         .filter("head is null or head = row").withColumn("node", F.col("row"))
-    nodes = materialize(nodes.select("node", "doc_id", "text_hash", "n", "subkeys", "sketch"), "nodes")
+    nodes = materialize(nodes.select("node", "doc_id", "text_hash", "n", "subkeys", "sketch", "prints"), "nodes")
     labels = materialize(components(_links(nodes, texts)), "components")
     placed = rows.select("row", "doc_id", "text_hash", "n", "digest").join(shared, "digest", "left") \
         .withColumn("grouped", F.col("node").isNotNull() & (F.col("n") > 0)) \
