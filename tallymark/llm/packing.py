@@ -23,15 +23,22 @@ from tallymark.session import materialize
 SIZE = 2048
 END = 0  # the id after each document
 ROWS_IN_BUCKET = 100_000
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 800_000
+_LATIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
 _STEM_AND_TAIL = re.compile(rb"([a-z0-9]+)([-.,!?;:%$#&*]+)")
 
 
+# The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+_ALPHABET = {byte: 256 + n for n, byte in enumerate(
+    byte for byte in range(256) if not (0x21 <= byte <= 0x7E or 0xA1 <= byte <= 0xAC or 0xAE <= byte <= 0xFF))}
+
+
 class _WordIds(dict):
-    """Ids by word in UTF-8, ASCII letters in lower case, learnt from the tokenizer.
+    """Word in UTF-8, ASCII letters in lower case, -> number; its ids lie in ``flat`` from ``start`` on.
 
     The tokenizer drops white space and lowers letters, and no token of it spans
-    white space or a letter and a sign after it, so a text's ids are those of its parts in order.
+    white space or a letter and a sign after it, so a text's ids are those of its
+    parts in order. When it is full, the words that were seen least often go.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,25 +47,80 @@ class _WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         (self.bar,) = self._encoded(["|"])[0]
+        self.flat = np.empty(0, np.uint32)
+        self.start, self.length, self.seen = np.zeros((3, 0), np.int64)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > _WORDS_KEPT:
-            self.clear()
-        split = {w: m.groups() for w in words if w not in self and (m := _STEM_AND_TAIL.fullmatch(w))}
-        new = [w for w in {*words, *chain.from_iterable(split.values())} - split.keys() if w not in self]
-        barred = [w for w in new if b"|" in w]
-        plain = [w for w in new if b"|" not in w]
-        self.update(zip(barred, self._encoded([w.decode() for w in barred])))
+    def _forget(self, room: int) -> None:
+        least = 2
+        while np.count_nonzero(self.seen >= least) > max(0, _WORDS_KEPT // 2 - room):
+            least *= 2
+        kept = [(w, self.flat[self.start[n]:self.start[n] + self.length[n]]) for w, n in self.items() if self.seen[n] >= least]
+        counts = self.seen[self.seen >= least]
+        self.clear()
+        self.flat = np.empty(0, np.uint32)
+        self.start, self.length, self.seen = np.zeros((3, 0), np.int64)
+        self._enter([w for w, _ in kept], [ids for _, ids in kept], counts)
+
+    def _enter(self, words: list[bytes], ids: list, counts: np.ndarray) -> None:
+        first = len(self)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.seen = np.concatenate([self.seen, counts])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        self.update(zip(words, range(first, first + len(words))))
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of words: letter by letter from the model where a word is small Latin letters, else as the tokenizer has it."""
+        out, other = {}, []
+        for word in words:
+            if _LATIN.fullmatch(text := word.decode()):
+                spelt = text if text.isascii() else word.decode("latin-1").translate(_ALPHABET)
+                out[word] = [token.id for token in self.model.tokenize(spelt)]
+            else:
+                other.append(word)
+        barred = [w for w in other if b"|" in w]
+        plain = [w for w in other if b"|" not in w]
+        out.update(zip(barred, self._encoded([w.decode() for w in barred])))
         if plain:  # one text with bars between the words costs less than many small ones
             ids = np.array(self._encoded([" | ".join(w.decode() for w in plain)])[0], np.int64)
             cuts = np.flatnonzero(ids == self.bar)
             for w, a, b in zip(plain, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self[w] = ids[a:b].tolist()
-        self.update((w, self[stem] + self[tail]) for w, (stem, tail) in split.items())
+                out[w] = ids[a:b].tolist()
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + 2 * len(new) > _WORDS_KEPT and self:
+            self._forget(2 * len(new))
+            new = [w for w in words if w not in self]
+        split = {w: m.groups() for w in new if (m := _STEM_AND_TAIL.fullmatch(w))}
+        parts = {part for pair in split.values() for part in pair if part not in self}
+        ids = self._ids([*parts, *(w for w in new if w not in split and w not in parts)])
+
+        def part_ids(part: bytes):
+            return ids[part] if part in ids else self.flat[self.start[n := self[part]]:self.start[n] + self.length[n]].tolist()
+
+        ids.update([(w, part_ids(stem) + part_ids(tail)) for w, (stem, tail) in split.items()])
+        self._enter(list(ids), list(ids.values()), np.zeros(len(ids), np.int64))
+
+    def encoded(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of each text, given as words, in one array for all of them."""
+        self.learn(set(chain.from_iterable(texts)))
+        n_words = np.fromiter(map(len, texts), np.int64, len(texts))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(n_words.sum()))
+        self.seen += np.bincount(numbers, minlength=len(self.seen))
+        lengths = self.length[numbers]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.start[numbers] - (ends - lengths), lengths)
+        flat = self.flat[shift + np.arange(len(shift))]
+        cuts = np.concatenate([[0], ends])[np.cumsum(n_words)]
+        return np.split(flat, cuts[:-1])
 
 
 def _pieces(tokenizer: str, size: int, with_ids: bool):
@@ -67,9 +129,8 @@ def _pieces(tokenizer: str, size: int, with_ids: bool):
         for batch in batches:
             docs, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             texts = [(t or b"").lower().split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            known.learn(set(chain.from_iterable(texts)))
-            for at, words in enumerate(texts):
-                own = np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), [END]), "<u4")
+            for at, own in enumerate(known.encoded(texts) if texts else []):
+                own = np.append(own, np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(own), size)):
                     part = own[start:start + size]
                     docs.append(at)
