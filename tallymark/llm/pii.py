@@ -34,6 +34,11 @@ def _joined(parts: list[str]) -> str:
 FOUND = _joined([DATE, EMAIL, IBAN, IP, SSN, PHONE, CARD])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _round_digest(key: str, kind: str, turn: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other.cast("string")), 256)
 
@@ -63,10 +68,10 @@ def permuted_text(value: Column, key: str, kind: str, undo: bool = False) -> Col
     sign = -1 if undo else 1
 
     def moved(part: Column, other: Column, turn: Column) -> Column:
-        digest = _round_digest(key, kind, turn, other)
-        chars = F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: _moved(
-            F.substr(part, i, F.lit(1)), sign * _hex(digest, 2 * ((i - 1) % 32) + 1, 2)))
-        return F.when(F.length(part) > 0, F.array_join(chars, "")).otherwise(part)
+        chars = _let(_round_digest(key, kind, turn, other), lambda digest: F.array_join(F.transform(
+            F.sequence(F.lit(1), F.length(part)), lambda i: _moved(
+                F.substr(part, i, F.lit(1)), sign * _hex(digest, 2 * ((i - 1) % 32) + 1, 2))), ""))
+        return F.when(F.length(part) > 0, chars).otherwise(part)
 
     def step(halves: Column, turn: Column) -> Column:
         a, b = halves["a"], halves["b"]
@@ -98,13 +103,16 @@ def permuted_number(value: Column, a: int, b: int, key: str, kind: str, undo: bo
 
 def _filled(pattern: Column, values: Column, place: str) -> Column:
     """``pattern`` with its characters of the class ``place`` taken from ``values`` in order."""
-    def step(acc: Column, char: Column) -> Column:
-        hit = char.rlike(place)
-        return F.struct(F.when(hit, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
-                        F.concat(acc["out"], F.when(hit, F.substr(values, acc["i"], F.lit(1))).otherwise(char)).alias("out"))
-
     start = F.struct(F.lit(1).alias("i"), F.lit("").alias("out"))
-    return F.aggregate(F.split(pattern, ""), start, step, lambda acc: acc["out"])
+
+    def filled(known: Column) -> Column:
+        def step(acc: Column, char: Column) -> Column:
+            hit = char.rlike(place)
+            return F.struct(F.when(hit, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.concat(
+                acc["out"], F.when(hit, F.substr(known, acc["i"], F.lit(1))).otherwise(char)).alias("out"))
+        return F.aggregate(F.split(pattern, ""), start, step, lambda acc: acc["out"])
+
+    return _let(values, filled)
 
 
 def _digits(value: Column) -> Column:
@@ -113,13 +121,13 @@ def _digits(value: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """The Luhn sum; a multiple of ten for a valid number."""
-    n = F.length(digits)
+    def summed(known: Column) -> Column:
+        def weighted(i: Column) -> Column:
+            twice = F.substr(known, i, F.lit(1)).cast("int") * (1 + (F.length(known) - i) % 2)
+            return F.when(twice > 9, twice - 9).otherwise(twice)
+        return F.aggregate(F.sequence(F.lit(1), F.length(known)), F.lit(0), lambda total, i: total + weighted(i))
 
-    def weighted(i: Column) -> Column:
-        twice = F.substr(digits, i, F.lit(1)).cast("int") * (1 + (n - i) % 2)
-        return F.when(twice > 9, twice - 9).otherwise(twice)
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda total, i: total + weighted(i))
+    return _let(digits, summed)
 
 
 def mod97(text: Column) -> Column:
@@ -133,36 +141,45 @@ def mod97(text: Column) -> Column:
 
 
 def _card(value: Column, key: str, undo: bool) -> Column:
-    digits = _digits(value)
-    body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", undo)
-    check = (F.pmod(10 - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))).cast("string")
-    return F.when(luhn(digits) % 10 == 0, _filled(value, F.concat(body, check), _DIGIT))
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+
+    def changed(digits: Column) -> Column:
+        body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", undo)
+        return F.when(luhn(digits) % 10 == 0, _filled(value, _let(body, checked), _DIGIT))
+
+    return _let(_digits(value), changed)
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
     """The country code stays: one digit for 1 and 7, else two, whatever the punctuation."""
-    digits = _digits(value)
-    code = F.when(digits.rlike("^[17]"), 1).otherwise(2)
-    new = F.concat(F.substr(digits, F.lit(1), code), permuted_text(F.substr(digits, code + 1), key, "phone", undo))
-    return F.when(F.length(digits).between(8, 15), _filled(value, new, _DIGIT))
+    def changed(digits: Column) -> Column:
+        code = F.when(digits.rlike("^[17]"), 1).otherwise(2)
+        new = F.concat(F.substr(digits, F.lit(1), code), permuted_text(F.substr(digits, code + 1), key, "phone", undo))
+        return F.when(F.length(digits).between(8, 15), _filled(value, new, _DIGIT))
+
+    return _let(_digits(value), changed)
 
 
 def _iban(value: Column, key: str, undo: bool) -> Column:
     compact = F.regexp_replace(value, " ", "")
     country, rest = F.substr(compact, F.lit(1), F.lit(2)), F.substr(compact, F.lit(5))
-    new = permuted_text(rest, key, "iban", undo)
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+
+    def checked(new: Column) -> Column:
+        return F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+
     valid = (mod97(F.concat(rest, F.substr(compact, F.lit(1), F.lit(4)))) == 1) & F.length(compact).between(15, 34)
-    return F.when(valid, _filled(value, F.concat(country, check, new), "^[0-9A-Z]$"))
+    return F.when(valid, _filled(
+        value, _let(permuted_text(rest, key, "iban", undo), checked), "^[0-9A-Z]$"))
 
 
 def _ip(value: Column, key: str, undo: bool) -> Column:
     parts = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total * 256 + x)
     new = permuted_number(number, 1 << 16, 1 << 16, key, "ip", undo)
-    return F.when(F.forall(parts, lambda x: x <= 255), F.array_join(
+    return F.when(F.forall(parts, lambda x: x <= 255), _let(new, lambda known: F.array_join(
         F.transform(F.array(F.lit(24), F.lit(16), F.lit(8), F.lit(0)),
-                    lambda k: F.floor(new / F.pow(F.lit(2), k)).cast("long") % 256), "."))
+                    lambda k: F.floor(known / F.pow(F.lit(2), k)).cast("long") % 256), ".")))
 
 
 def _ssn(value: Column, key: str, undo: bool) -> Column:
@@ -217,7 +234,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
     their names. ``undo`` restores the texts.
     """
     text = F.col(text_col)
-    found = docs.withColumn("__found", F.when(text.rlike(FOUND), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))))
+    # Every kind has a digit or an at sign; most texts have neither and stop at that plain search.
+    found = docs.withColumn("__found", F.when(text.rlike("[0-9@]") & text.rlike(FOUND), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))))
     found = found.withColumn("__new", F.transform("__found", lambda v: pseudonym(v, key, undo)))
     put = F.zip_with("__found", "__new", lambda old, new: F.coalesce(new, old))
     rest = F.zip_with(F.split(text, FOUND, -1), put, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
