@@ -34,12 +34,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
+    """One document of each group of near duplicates stays, that with the smallest id. Rows alike in id and text are told apart."""
     prepared(spark)
-    gone = materialize(near_duplicates(docs).filter(~F.col("kept")).select("doc_id", "text_hash"), "near_copies")
-    gone = gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")),
-                     "left_anti").select(*COLUMNS)
+    numbered = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    gone = materialize(near_duplicates(numbered, row_col="row").filter(~F.col("kept")).select("row"), "near_copies")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

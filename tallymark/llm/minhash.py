@@ -105,9 +105,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[:HASHES] = least >> np.uint64(60)
             sketches.append((bits.reshape(_NUMBERS, _LANES) << _LANE).sum(axis=1, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+            [batch.column("doc_id"), batch.column("text_hash"), batch.column("row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
              _lists(keys), _lists(sketches), pa.array(prints, pa.list_(pa.int16()))],
-            names=["doc_id", "text_hash", "n", "digest", "subkeys", "sketch", "prints"])
+            names=["doc_id", "text_hash", "row", "n", "digest", "subkeys", "sketch", "prints"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +233,8 @@ def _across(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept, and with ``row_col`` also row.
 
     Words are runs without white space, with A-Z in lower case. A set holds the
     distinct runs of five words; with one to four words, all of them as one; none
@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id that can be reached; the row with it is kept. Rows alike in id and set tie,
     and exactly one row of a component is kept. A null id comes last, and names a
     component only where no other id is in it. A null text counts as empty; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. ``row_col`` names a column
+    of distinct numbers by which the rows can be told apart; it is returned as ``row``.
 
     Equal sets become one node. Nodes that share a table key are candidates; the
     sizes and the minhash sketch strike out hopeless ones, and the rest are
@@ -251,9 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(
-        _sketches, f"doc_id {id_type}, text_hash long, n long, digest binary, subkeys array<long>, sketch array<long>, prints array<short>")
-        .withColumn("row", F.monotonically_increasing_id()), "sketches")
+    numbered = texts.withColumn("row", F.monotonically_increasing_id()) if row_col is None else docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"),
+        F.col(row_col).cast("long").alias("row"))
+    rows = materialize(numbered.mapInArrow(
+        _sketches, f"doc_id {id_type}, text_hash long, row long, n long, digest binary, subkeys array<long>, "
+                   "sketch array<long>, prints array<short>"), "sketches")
     some = rows.filter("n > 0")
     shared = materialize(some.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("k"))
                          .filter("k > 1").drop("k"), "copies")
@@ -274,4 +278,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = placed.join(groups, "component", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
                       F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      (~F.col("grouped") | (F.col("row") == F.col("best"))).alias("kept"))
+                      (~F.col("grouped") | (F.col("row") == F.col("best"))).alias("kept"), *(["row"] if row_col else []))

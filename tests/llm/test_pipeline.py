@@ -28,3 +28,14 @@ def test_stages(spark, tmp_path):
     assert kept == sorted(kept, reverse=True) and kept[0] < 200
     whole = corpus_pipeline.run(spark, FOLDER)
     assert whole.columns == docs.columns and whole.count() == docs.count()
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    """Repeated rows and rows without an id: one of each group stays, and every row without words."""
+    text, other, third = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, text), (3, text), (5, text), (None, other), (None, other), (7, third), (8, None), (8, None), (None, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each(spark, docs, FOLDER)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted(
+        [("3", text), ("None", other), ("7", third), ("8", "None"), ("8", "None"), ("None", " ")])
