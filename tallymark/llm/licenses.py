@@ -1,10 +1,9 @@
 """Licence detection by sparse TF-IDF cosine, and inheritance from the nearest directory.
 
 Every line and every paragraph of a file, also of a whole licence file, is held
-against template texts. Only terms of the templates need counting over the
-corpus: they alone carry the products, and any other term of a passage lengthens
-it with the largest weight. Passages without a telling term cannot reach the
-threshold and go before any shuffle.
+against template texts. Each term weighs by how many files hold it, also one that
+is in no template: it lengthens a passage. Passages without a telling term cannot
+reach the threshold and go before any shuffle.
 """
 
 from __future__ import annotations
@@ -50,16 +49,13 @@ def _passages(files: DataFrame) -> DataFrame:
     return files.select("path", "text_hash", F.explode(parts).alias("passage"))
 
 
-def _weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, float]:
-    """(term, idf) of the template terms over all files, and the idf of a term that no file holds."""
-    known = sorted({t for row in templates.select(terms(F.col("body")).alias("t")).toLocalIterator() for t in row.t})
+def _weights(files: DataFrame) -> tuple[DataFrame, float]:
+    """(term, idf) of every term that a file holds, and the idf of a term that no file holds."""
     total = files.count()
-    held = files.select(F.explode(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, known)))).alias("term"))
-    counts = held.groupBy("term").agg(F.count("*").alias("n"))
-    spark = files.sparkSession
-    every = spark.createDataFrame([(t,) for t in known], "term string")
-    idf = F.log((F.lit(total) + 1.0) / (F.coalesce("n", F.lit(0)) + 1.0)) + 1.0
-    return materialize(every.join(counts, "term", "left").select("term", idf.alias("idf")), "weights"), math.log(total + 1.0) + 1.0
+    held = files.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    idf = F.log((F.lit(total) + 1.0) / (F.col("n") + 1.0)) + 1.0
+    return materialize(held.groupBy("term").agg(F.count("*").alias("n")).select("term", idf.alias("idf")), "weights"), \
+        math.log(total + 1.0) + 1.0
 
 
 def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
@@ -67,10 +63,10 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     spark = files.sparkSession
     known = spark.createDataFrame([(k, name, body) for k, (name, body) in enumerate(templates)],
                                   "template int, license string, body string")
-    weights, most = _weights(files, known)
+    weights, most = _weights(files)
     counted = known.select("template", "license", F.explode(terms(F.col("body"))).alias("term")) \
-        .groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(weights, "term") \
-        .select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("w"), "idf")
+        .groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left") \
+        .select("template", "license", "term", (F.col("tf") * F.coalesce("idf", F.lit(most))).alias("w"))
     vectors = counted.groupBy("template", "license").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("w", "term")).alias("parts")).collect()
     # A passage that holds none of a template's heavy terms keeps at most the light ones' share of its length.
@@ -85,7 +81,7 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     passages = _passages(files).filter(candidate).withColumn("passage_id", F.xxhash64("passage"))
     found = passages.select("path", "text_hash", "passage_id", F.explode(terms(F.col("passage"))).alias("term")) \
         .groupBy("path", "text_hash", "passage_id", "term").agg(F.count("*").alias("tf"))
-    found = found.join(weights, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(most)))
+    found = found.join(weights, "term").withColumn("v", F.col("tf") * F.col("idf"))
     lengths = found.groupBy("path", "text_hash", "passage_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     norms = spark.createDataFrame([(r.template, r.license, r.norm, p.term, p.w) for r in vectors for p in r.parts],
                                   "template int, license string, norm double, term string, w double")

@@ -415,3 +415,10 @@ def test_licences(spark):
         ("q/LICENSE", None, "none", None), ("q/x.py", None, "none", None), ("LICENSE", None, "none", None)])
     assert sorted(r.license_origin for r in got.collect() if r.path is None) == ["header", "none"]
     assert licenses.scan(table(spark, [], files.schema)).count() == 0
+
+
+def test_ordinary_words_do_not_hide_a_notice(spark):
+    """Every word weighs by the files that hold it, also one that is in no template."""
+    rows = [(f"a/{k}.txt", "it is all under the sun") for k in range(200)] + [("b/x.py", "It is all released under the MIT License.")]
+    got = licenses.scan(table(spark, rows, "path string, text string")).filter("license is not null").collect()
+    assert [(r.path, r.license, r.license_origin) for r in got] == [("b/x.py", "MIT", "header")] and got[0].license_score > 0.95
