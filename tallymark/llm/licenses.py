@@ -1,7 +1,7 @@
 """Licence detection by sparse TF-IDF cosine, and inheritance from the nearest directory.
 
-Every line and every paragraph of a file, also of a whole licence file, is held
-against template texts. Each term weighs by how many files hold it, also one that
+Every line and every paragraph of a file, also of a whole licence file and of a
+comment without its signs, is held against template texts. Each term weighs by how many files hold it, also one that
 is in no template: it lengthens a passage. Passages without a telling term cannot
 reach the threshold and go before any shuffle.
 """
@@ -18,8 +18,8 @@ from tallymark.session import materialize
 LEAST_COSINE = 0.75
 _NO_PATH = "\0"  # stands for a null path in joins
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([-._].*)?$|^copying([-._].*)?$|^notice([-._].*)?$"
-# The usual notices, by SPDX id.
-TEMPLATES = [
+# The usual notices, by SPDX id; standard headers, titles and texts follow.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
@@ -35,6 +35,68 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_GNU = [("GPL", "GNU General Public License", {"2": "June 1991", "3": "29 June 2007"}),
+        ("LGPL", "GNU Lesser General Public License", {"2.1": "February 1999", "3": "29 June 2007"}),
+        ("AGPL", "GNU Affero General Public License", {"3": "19 November 2007"})]
+
+
+def _gnu_wordings() -> list[tuple[str, str]]:
+    """Titles, the standard header and the short notices of each version."""
+    out = []
+    for short, name, versions in _GNU:
+        for version, date in versions.items():
+            spdx = f"{short}-{version}" + ("" if "." in version else ".0")
+            out += [(spdx, f"{name} Version {version}, {date}"), (spdx, f"{name} Version {version}"), (spdx, f"Licensed under the {name} v{version}.")]
+            for thing in ("program", "library", "software", "work"):
+                for end in (f"either version {version} of the License, or (at your option) any later version.",
+                            f"version {version} of the License.", f"version {version}."):
+                    out.append((spdx, f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the {name} "
+                                      f"as published by the Free Software Foundation, {end}"))
+                out += [(spdx, f"This {thing} is licensed under the {name}, version {version}."),
+                        (spdx, f"This {thing} is licensed under the terms of the {name}, version {version} or later.")]
+    return out
+
+
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+             "conditions are met:")
+_BSD_2 = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+          "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+          "in the documentation and/or other materials provided with the distribution.")
+_BSD_3 = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+          "from this software without specific prior written permission.")
+_MIT_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+              "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+              "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+              "subject to the following conditions:")
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+TEMPLATES = NOTICES + _gnu_wordings() + [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", NOTICES[1][1] + " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", _MIT_GRANT),
+    ("MIT", f"{_MIT_GRANT} {_MIT_REST}"),
+    ("BSD-2-Clause", f"{_BSD_HEAD} 1. {_BSD_2}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} 1. {_BSD_2} 3. {_BSD_3}"),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "ISC License"),
+    ("ISC", NOTICES[12][1] + ", provided that the above copyright notice and this permission notice appear in all copies."),
+]
+WHOLE_TERMS = 4  # a template of up to so many different terms counts only where a passage holds all of them
+# The sign that opens a comment line, and comments in brackets.
+_SIGNS = r"(?im)^[ \t]*(?:/?\*+/?|//+|#+|;+|--+|%+|'+|!+|<!--+|dnl\b|rem\b)[ \t]*([^\n]*)$"
+_BLOCKS = r"(?s)/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|'{3}.*?'{3}"
 
 
 def terms(text: Column) -> Column:
@@ -43,9 +105,15 @@ def terms(text: Column) -> Column:
 
 
 def _passages(files: DataFrame) -> DataFrame:
-    """(path, text_hash, passage): the distinct lines and paragraphs of each file."""
+    """(path, text_hash, passage): the distinct lines and paragraphs of each file, and those of its comments.
+
+    A comment line goes between the signs 1 and 2, and 3 joins those that follow one another; runs end where code begins.
+    """
     text = F.coalesce("text", F.lit(""))
-    parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")))
+    marked = F.regexp_replace(F.regexp_replace(text, _SIGNS, "\x01$1\x02"), "\x02\n\x01", "\x03")
+    runs = F.split(marked, "[\x01\x02]|\x03[ \t\r]*(?=\x03)|\n[ \t\r]*\n")
+    blocks = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0)), lambda b: F.split(b, r"\n[ \t\r*#]*\n")))
+    parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), runs, blocks))
     return files.select("path", "text_hash", F.explode(parts).alias("passage"))
 
 
@@ -83,10 +151,11 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
         .groupBy("path", "text_hash", "passage_id", "term").agg(F.count("*").alias("tf"))
     found = found.join(weights, "term").withColumn("v", F.col("tf") * F.col("idf"))
     lengths = found.groupBy("path", "text_hash", "passage_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    norms = spark.createDataFrame([(r.template, r.license, r.norm, p.term, p.w) for r in vectors for p in r.parts],
-                                  "template int, license string, norm double, term string, w double")
-    dots = found.join(norms, "term").groupBy("path", "text_hash", "passage_id", "template", "license", "norm").agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"))
+    norms = spark.createDataFrame([(r.template, r.license, r.norm, len(r.parts) if len(r.parts) <= WHOLE_TERMS else 0, p.term, p.w)
+                                   for r in vectors for p in r.parts],
+                                  "template int, license string, norm double, whole int, term string, w double")
+    dots = found.join(norms, "term").groupBy("path", "text_hash", "passage_id", "template", "license", "norm", "whole").agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.count("*").alias("held")).filter("held >= whole")
     scored = dots.join(lengths, ["path", "text_hash", "passage_id"]) \
         .withColumn("score", F.round(F.col("dot") / F.col("length") / F.col("norm"), 6)).filter(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("score"), "template", "license"))

@@ -422,3 +422,33 @@ def test_ordinary_words_do_not_hide_a_notice(spark):
     rows = [(f"a/{k}.txt", "it is all under the sun") for k in range(200)] + [("b/x.py", "It is all released under the MIT License.")]
     got = licenses.scan(table(spark, rows, "path string, text string")).filter("license is not null").collect()
     assert [(r.path, r.license, r.license_origin) for r in got] == [("b/x.py", "MIT", "header")] and got[0].license_score > 0.95
+
+
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version."""
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_standard_headers_and_titles(spark):
+    """Standard notices wrapped over comment lines, directly before code, and the titles of licence files."""
+    def commented(text, sign):
+        return "\n".join(f"{sign} {line}" for line in text.split("\n"))
+
+    rows = [("a/x.py", commented(GPL_HEADER.format(3), "#") + "\nimport os", "GPL-3.0"),
+            ("a/y.c", "/*\n" + commented(GPL_HEADER.format(2), " *") + "\n */\nint main;", "GPL-2.0"),
+            ("a/z.c", "/* " + MIT_GRANT + " */\nint x;", "MIT"), ("b/x.js", "/*\n" + commented(MIT_GRANT, " *") + "\n */", "MIT"),
+            ("c/LICENSE", "   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright", "GPL-3.0"),
+            ("d/LICENSE", "MIT License\n\nCopyright (c) 2020", "MIT"), ("e/LICENSE", "Apache License\nVersion 2.0, January 2004\n", "Apache-2.0"),
+            ("f/x.lua", "-- This program is licensed under the GNU General\n-- Public License, version 3.\nlocal x", "GPL-3.0"),
+            ("g/x.txt", "MIT", None), ("h/x.txt", "version 2", None)]
+    files = table(spark, [r[:2] for r in rows] + [(f"z/{k}.txt", "the software of this program is in a file or a copy") for k in range(50)],
+                  "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(files).filter("path not like 'z/%'").collect()}
+    assert got == {p: name for p, _, name in rows}
