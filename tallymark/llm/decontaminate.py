@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallymark.session import materialize
 
 WINDOW = 5
-PERCENT = 75  # of an item's windows, or of its template words for a short item
+PERCENT = 75  # of an item's windows; an item of fewer than five template words is one window of its own width
 BLOCK_ITEMS = 20_000  # items that travel to the tasks at once; more are taken in further blocks
 # Units by their usual signs, for the typed placeholder.
 UNITS = frozenset("""
@@ -32,6 +32,11 @@ tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent meter m
 kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres second seconds
 minute minutes hour hours day days week weeks month months year years celsius fahrenheit degree degrees
 """.split())
+# Spelt-out numbers; one that is joined by a hyphen is taken apart below.
+NUMBER_WORDS = dict(zip("""
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+""".split(), range(20))) | dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10))) | {
+    "hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
 _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*%?[$€£]?")
 _NUMBER_WITH_UNIT = re.compile(r"([$€£]?\d+(?:[.,]\d+)*)([a-zµ°/]+|%)")
@@ -40,6 +45,16 @@ _AFTER_END = frozenset(".!?:;'\")]")
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
+def _spelt(low: str) -> str | None:
+    """The digits of a spelt-out number: of ``three``, ``twenty`` or ``twenty-three``."""
+    if low in NUMBER_WORDS:
+        return str(NUMBER_WORDS[low])
+    tens, hyphen, ones = low.partition("-")
+    if hyphen and 20 <= NUMBER_WORDS.get(tens, 0) < 100 and 0 < NUMBER_WORDS.get(ones, 0) < 10:
+        return str(NUMBER_WORDS[tens] + NUMBER_WORDS[ones])
+    return None
+
+
 def _parts(word: str) -> tuple[list[tuple[str, str]], bool]:
     """[(kind, lower-case value)] of a raw word, and whether a capital starts it. Kinds: a placeholder or '' for a plain word."""
     bare = _EDGE.sub("", word)
@@ -48,6 +63,8 @@ def _parts(word: str) -> tuple[list[tuple[str, str]], bool]:
         return [], False
     if _NUMBER.fullmatch(bare):
         return [(NUM, low)], False
+    if (digits := _spelt(low)) is not None:
+        return [(NUM, digits)], False
     if (m := _NUMBER_WITH_UNIT.fullmatch(low)) and (m[2] in UNITS or m[2] == "%"):
         return [(NUM, m[1]), (UNIT, m[2])], False
     return [("", low)], bare[0].isupper()
@@ -79,7 +96,7 @@ class _Lexicon(dict):
         codes, size, number, unit, capital, ends = [], [], [], [], [], []
         for word in new:
             bare = word.rstrip(".,!?;:&*#|")
-            if bare.isalpha():  # most words; the same as the general way below
+            if bare.isalpha() and bare.lower() not in NUMBER_WORDS:  # most words; the same as the general way below
                 low = bare.lower()
                 parts, upper = [("", low)], bare[0].isupper()
             else:
@@ -127,12 +144,11 @@ def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside
 _UNIT_CODE, _NAME_CODE = (np.uint64(xxhash.xxh64_intdigest(k)) for k in (UNIT, NAME))
 
 
-def window_hashes(codes: np.ndarray) -> np.ndarray:
-    """One hash per window of five template words; fewer words are one window."""
-    if not len(codes):
-        return np.empty(0, np.uint64)
-    width = min(WINDOW, len(codes))
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """One hash per window of ``width`` template words."""
     n = len(codes) - width + 1
+    if not width or n < 1:
+        return np.empty(0, np.uint64)
     total = np.full(n, width, np.uint64)
     for k in range(width):
         total = total * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
@@ -160,11 +176,12 @@ class _Items:
             for names in (True, False):
                 for inside in (True, False):
                     codes, at, second, _ = _template(raw, known, names, inside)
-                    own = window_hashes(codes)
+                    own = window_hashes(codes, min(WINDOW, len(codes)))
                     if len(own):
                         self.values[item], self.n[item] = _values(raw, at, second), len(own)
                     entries.update((h, item, place) for place, h in enumerate(own.tolist()))
         entries = sorted(entries)
+        self.widths = sorted({min(WINDOW, len(v)) for v in self.values.values()})
         self.hashes = np.array([h for h, _, _ in entries], np.uint64)
         self.owners = np.array([item for _, item, _ in entries], np.int64)
         self.places = np.array([place for _, _, place in entries], np.int64)
@@ -181,9 +198,14 @@ class _Items:
 def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> list[tuple[int, int, int, int, bool]]:
     """(item, hit windows, first template word, last one, same values) for each item that the text holds."""
     codes, at_raw, second, slot = _template(raw, known)
-    entry, at = items.hits(window_hashes(codes))
+    own = [window_hashes(codes, width) for width in items.widths]
+    if not own:
+        return []
+    starts = np.concatenate([np.arange(len(h)) for h in own])
+    entry, at = items.hits(np.concatenate(own))
     if not len(entry):
         return []
+    at = starts[at]
     item, n = np.unique(items.owners[entry], return_counts=True)
     needed = np.array([items.n[k] for k in item.tolist()])
     likely = item[100 * n >= percent * needed]
@@ -203,12 +225,14 @@ def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> li
             there, back, hit, kept = {}, {}, set(), []
             for w, p in sorted(set(zip(window[near].tolist(), place[near].tolist()))):
                 pairs = [(items.values[own][p + k], values[w + k]) for k in range(width) if slot[w + k]]
+                if width < WINDOW and len(pairs) == width and any(a != b for a, b in pairs):
+                    continue  # other values throughout and no plain word: nothing is shared but the kinds
                 if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs) and len({a for a, _ in pairs}) == len({b for _, b in pairs}):
                     there.update(pairs)
                     back.update((b, a) for a, b in pairs)
                     hit.add(p)
                     kept.append(w)
-            if 100 * len(hit) >= percent * items.n[own]:
+            if hit and 100 * len(hit) >= percent * items.n[own]:
                 found = (len(hit), -min(kept), max(kept) + width - 1, all(a == b for a, b in there.items()))
                 best = max(best, found) if best else found
         if best:
@@ -242,7 +266,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
 
     An item is held from ``percent`` of its template windows on, in one stretch
     and with consistent slots; ``same_values`` is false where it was asked again
-    with other numbers, units or names. The words count the template words of the
+    with other numbers, units or names. An item of fewer than five template words is
+    held where all of them stand in a row, and one that is nothing but numbers, units
+    and names only with its own values. A spelt-out number counts as its digits, word
+    by word: ``two hundred`` is two numbers. The words count the template words of the
     whole text from 0. Of several stretches the one with most windows counts, then
     the first. Null and empty texts or items match nothing. Rows alike in id and
     text give equal rows; items with one id are one item, of which the last text

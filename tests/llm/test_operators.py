@@ -452,3 +452,15 @@ def test_standard_headers_and_titles(spark):
                   "path string, text string")
     got = {r.path: r.license for r in licenses.scan(files).filter("path not like 'z/%'").collect()}
     assert got == {p: name for p, _, name in rows}
+
+
+def test_short_items_inside_documents(spark):
+    """Items of fewer than five template words are found inside a text, and numbers may be spelt out."""
+    items = [(1, "What is 12 + 7?"), (2, "Tom has three apples and Anna has twenty more apples"), (3, "12 7"), (4, "capital of France"), (5, "4")]
+    rows = [(1, "A quiz says: what is 12 + 7? Nobody answered it."), (2, "A quiz says: what is 30 + 9? Nobody answered it."),
+            (3, "so Tom has 5 apples and Anna has 9 more apples at home"), (4, "the codes 12 7 are printed on every single box"),
+            (5, "the codes 13 8 are printed on every single box"), (6, "what is 12"), (7, "it is the capital of France indeed"),
+            (8, "so Tom has three apples and Anna has twenty more apples at home"), (9, "so Tom has 3 apples and Anna has 20 more apples at home")]
+    got = decontaminate.leaks(table(spark, rows), table(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.same_values) for r in got} == {
+        (1, 1, True), (1, 3, True), (2, 1, False), (3, 2, False), (4, 3, True), (7, 4, True), (8, 2, True), (9, 2, True)}
