@@ -50,7 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every token piece of every document in a training sequence."""
     prepared(spark)
-    return best_fit(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit(docs, public_tokenizers.path("word_bpe_49k.json"), special=True)
 
 
 STAGES = [

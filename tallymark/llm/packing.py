@@ -41,12 +41,15 @@ class _WordIds(dict):
     parts in order. When it is full, the words that were seen least often go.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.untouched = Tokenizer.from_file(path) if special else None
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}) if special else []
+        self.added = re.compile(b"|".join(re.escape(a.encode()) for a in added)) if added else None
+        self.tokenizer.encode_special_tokens = True  # the words of other texts hold none of their strings
         self.model = self.tokenizer.model
         (self.bar,) = self._encoded(["|"])[0]
         self.flat = np.empty(0, np.uint32)
@@ -109,6 +112,13 @@ class _WordIds(dict):
         ids.update([(w, part_ids(stem) + part_ids(tail)) for w, (stem, tail) in split.items()])
         self._enter(list(ids), list(ids.values()), np.zeros(len(ids), np.int64))
 
+    def documents(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text in UTF-8. One that holds an added token goes whole through the tokenizer as it was loaded."""
+        whole = [self.added is not None and self.added.search(t) is not None for t in texts]
+        out = iter(self.encoded([t.lower().split() for t, w in zip(texts, whole) if not w]) if not all(whole) else [])
+        return [np.array(self.untouched.encode(t.decode(), add_special_tokens=False).ids, np.uint32) if w else next(out)
+                for t, w in zip(texts, whole)]
+
     def encoded(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The ids of each text, given as words, in one array for all of them."""
         self.learn(set(chain.from_iterable(texts)))
@@ -123,13 +133,13 @@ class _WordIds(dict):
         return np.split(flat, cuts[:-1])
 
 
-def _pieces(tokenizer: str, size: int, with_ids: bool):
+def _pieces(tokenizer: str, size: int, with_ids: bool, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(tokenizer)
+        known = _WordIds(tokenizer, special)
         for batch in batches:
             docs, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
-            texts = [(t or b"").lower().split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for at, own in enumerate(known.encoded(texts) if texts else []):
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for at, own in enumerate(known.documents(texts)):
                 own = np.append(own, np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(own), size)):
                     part = own[start:start + size]
@@ -150,11 +160,11 @@ def _pieces(tokenizer: str, size: int, with_ids: bool):
 
 
 def tokenised(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of at most ``size`` ids."""
+              id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of at most ``size`` ids. ``special`` as in ``best_fit``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return texts.mapInArrow(_pieces(tokenizer, size, with_ids), schema + (", ids array<long>" if with_ids else ""))
+    return texts.mapInArrow(_pieces(tokenizer, size, with_ids, special), schema + (", ids array<long>" if with_ids else ""))
 
 
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -254,11 +264,13 @@ def pack(pieces: DataFrame, size: int = SIZE, rows_in_bucket: int = ROWS_IN_BUCK
 
 
 def best_fit(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """All documents as token pieces, packed into as few sequences as the method finds.
 
     A document is its ids and then id 0; only one longer than ``size`` is cut. A
     null or empty text, or one without a token, is the single id 0. A null id is
-    kept. Repeated rows are documents of their own; other columns are ignored.
+    kept. Repeated rows are documents of their own; other columns are ignored. With
+    ``special`` the strings of the file's added tokens stand for those tokens, as in
+    the tokenizer as it is loaded; else they are ordinary text.
     """
-    return pack(tokenised(docs, tokenizer, size, with_ids, id_col, text_col), size)
+    return pack(tokenised(docs, tokenizer, size, with_ids, id_col, text_col, special), size)

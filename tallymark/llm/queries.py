@@ -146,7 +146,7 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

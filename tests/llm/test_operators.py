@@ -464,3 +464,17 @@ def test_short_items_inside_documents(spark):
     got = decontaminate.leaks(table(spark, rows), table(spark, items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.same_values) for r in got} == {
         (1, 1, True), (1, 3, True), (2, 1, False), (3, 2, False), (4, 3, True), (7, 4, True), (8, 2, True), (9, 2, True)}
+
+
+def test_packing_with_the_tokenizer_as_loaded(spark):
+    """The strings of added tokens stand for those tokens, also in the registered query's way."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|startoftext|>Hello", "x<|endoftext|>y <|ENDOFTEXT|>", "<|EndOfText|>", "no such <|end", *TEXTS, words(9, 3000) + "<|endoftext|>"]
+    got = packing.best_fit(table(spark, list(enumerate(texts))), TOKENIZER, with_ids=True, special=True).collect()
+    held = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        held[r.doc_id] += r.ids
+    assert held[0] == [320, 49407, 321, 0]
+    assert dict(held) == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
