@@ -31,9 +31,9 @@ LEAST_AGREEMENTS = 122
 _LANES = 15
 _NUMBERS = -(-HASHES // _LANES)
 STAR_ROUNDS = 2
-# Sets of up to so many shingles travel as 16-bit prints into the pair-wise join. Prints that
-# coincide can hide a common shingle; four at once have a chance of one in 5000 at most.
-SMALL, HIDDEN = 256, 4
+# Sets of up to so many shingles travel as 16-bit prints into the pair-wise join. A common shingle is hidden
+# only by prints that coincide in both sets, so no more are than the set with fewer such prints has.
+SMALL = 256
 _PART = 4096
 _WORDS_KEPT = 1_000_000
 
@@ -226,7 +226,8 @@ def _across(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
     once = (first_common(range(SIDE)) == F.col("i")) & (first_common(range(SIDE, 2 * SIDE)) == F.col("j"))
     new = (F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))
-    common = F.size(F.array_intersect("marks", "prints")) + HIDDEN
+    hidden = F.least(F.col("m") - F.size("marks"), F.col("n") - F.size("prints"))
+    common = F.size(F.array_intersect("marks", "prints")) + hidden
     near = F.col("marks").isNull() | F.col("prints").isNull() | (common * 100 >= (F.col("n") + F.col("m") - common) * 75)
     pairs = outside.join(inside, "key").filter(
         (F.col("component") != F.col("other")) & new & once & _may_link("n", "m", "sketch", "t") & near)

@@ -478,3 +478,13 @@ def test_packing_with_the_tokenizer_as_loaded(spark):
         held[r.doc_id] += r.ids
     assert held[0] == [320, 49407, 321, 0]
     assert dict(held) == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+
+
+def test_prints_that_coincide_hide_no_pair(spark):
+    """Two sets of 100 shingles with 90 in common, of which ten hide behind the prints of others."""
+    subkeys, sketch = list(range(2 * minhash.SIDE)), [0] * minhash._NUMBERS
+    nodes = table(spark, [(1, 100, sketch, subkeys, list(range(90))), (2, 100, sketch, subkeys, [*range(80), *range(200, 210)])],
+                  "node long, n long, sketch array<long>, subkeys array<long>, prints array<short>")
+    keys = table(spark, [(1, 5, 0, 16), (2, 5, 0, 16)], "node long, key long, i int, j int")
+    labels = table(spark, [], "node long, component long")
+    assert [tuple(r) for r in minhash._across(keys, labels, nodes).collect()] == [(1, 2)]
