@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.decontaminate import leaks
 from tallymark.llm.exact_dedup import exact_groups
+from tallymark.llm.fill_middle import fill_in_middle, restored
 from tallymark.llm.licenses import TEMPLATES, scan
 from tallymark.llm.line_dedup import line_dedup
 from tallymark.llm.minhash import near_duplicates
 from tallymark.llm.packing import best_fit
 from tallymark.llm.pii import pseudonymise
 from tallymark.llm.quality import GOOD, GRADES, classify, graded, train
+from tallymark.llm.simhash import simhash_duplicates
 from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.llm.warc import archive_folder, read_archives, write_archives
+from tallymark.llm.whitening import whiten
 from tallymark.session import apply_settings
 
 
@@ -192,6 +195,35 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_duplicates(_table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+hashed AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+  ('0x' || h[25:32])::BIGINT AS h4 FROM texts),
+formed AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+parts AS (SELECT *, left(text, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -203,6 +235,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
@@ -210,4 +245,5 @@ ORACLE_SQL = {
     "op3_warc": OP3_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
