@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.sources.views import PERCENT
@@ -28,13 +28,17 @@ def budget_audit(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     has to order all changes of one key.
     """
     first = changes.groupBy(*keys).agg(F.min(order).alias("_first"))
+    return budget_audit_rows(changes.join(first, keys), order, c(order) == c("_first"))
+
+
+def budget_audit_rows(changes: DataFrame, order: str, is_first: Column) -> DataFrame:
     gap = c("actual_amount") - c("planned_amount")
     pct = F.when(c("planned_amount") > 0, gap * 100 / F.when(c("planned_amount") > 0, c("planned_amount"))).otherwise(0)
     doc = F.struct(c("planned_amount").alias("planned"), c("actual_amount").alias("actual"),
                    pct.cast(PERCENT).alias("variance_pct"))
-    return changes.join(first, keys).select(
+    return changes.select(
         "company_id", F.lit("budget_sync").alias("workflow_type"), c("project_id").cast("string").alias("source_record_id"),
-        c(order), F.when(c(order) == c("_first"), "created").otherwise("updated").alias("action"),
+        c(order), F.when(is_first, "created").otherwise("updated").alias("action"),
         F.to_json(doc).alias("metadata"))
 
 

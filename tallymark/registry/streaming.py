@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import changes as chg
 from tallymark.registry.core import query
-from tallymark.registry.windows import AUDIT_CTE, AUDIT_KEYS, AUDIT_SPEC, AUDIT_SQL, budget_changes
+from tallymark.registry.windows import AUDIT_CTE, AUDIT_KEYS, AUDIT_SPEC, audit_sql, budget_changes
+from tallymark.session import materialize, work_dir
 from tallymark.sources import views
 from tallymark.sources.tables import SCHEMAS
 from tallymark.streaming import feeds
@@ -40,20 +40,21 @@ def stream_upsert(t):
     return feeds.stream_upsert(events_stream(t), ["user_id"], ["ts", "event_id"])
 
 
-@query("stream_budget_audit", AUDIT_SPEC, AUDIT_SQL, "", AUDIT_CTE)
-def stream_budget_audit(t):
-    """Each micro-batch of orders is stored as budget changes; the audit reads the stored changes.
-
-    The change id is the order key, so a replayed batch cannot add audit rows.
-    """
-    source = Streamed(t, "orders")
+ARRIVALS = 4
 
-    def changes(batch):
-        source.__dict__["orders"] = batch
-        return budget_changes(source)
 
-    folder, schema = feeds.run_batches(source.orders, "budget", changes)
-    return chg.budget_audit(feeds.read_batches(t.spark, folder, schema), AUDIT_KEYS, "change_id")
+@query("stream_budget_audit", AUDIT_SPEC,
+       audit_sql(f"change_id * {ARRIVALS} // (SELECT MAX(o_orderkey) + 1 FROM orders) DESC, change_id"), "", AUDIT_CTE)
+def stream_budget_audit(t):
+    """The orders arrive in four ranges of their keys, the last one first; the job is started for each."""
+    last = t.orders.agg(F.max("o_orderkey")).first()[0] or 0
+    part = F.expr(f"o_orderkey * {ARRIVALS} DIV {last + 1}")
+    feed, folder = work_dir(t.spark, "orders_feed"), work_dir(t.spark, "budget_audit")
+    for arrival in reversed(range(ARRIVALS)):
+        t.orders.filter(part == arrival).write.mode("append").parquet(feed)
+        stream = feeds.change_feed_source(t.spark, feed, SCHEMAS["orders"], time_column=None)
+        audit = feeds.stream_budget_audit(stream, lambda batch: budget_changes(t, batch), AUDIT_KEYS, "change_id", folder)
+    return audit
 
 
 @query("stream_large_invoice", "invoice_id:l partner_id:l amount_total:d state:s",
@@ -69,11 +70,33 @@ def stream_drift_alert(t):
     return feeds.append_stream(views.drift_log(Streamed(t, "events")), "drift", feeds.drift_alerts)
 
 
-@query("stream_audit_log", "event_id:l company_id:l workflow_type:s source_system:s metadata:s accepted:b",
-       """SELECT event_id, company_id, workflow_type, source_system, '{"props":"' || REPLACE(props, '"', '\\"') || '"}' AS metadata,
- workflow_type <> 'unknown_flow' AS accepted FROM workflow_events""".replace("\\\\", "\\"), "workflow_events")
+AUDIT_LOG_SQL = """SELECT event_id, company_id, workflow_type, source_system, '{"props":"' || REPLACE(props, '"', '\\"') || '"}' AS metadata,
+ workflow_type <> 'unknown_flow' AS accepted FROM workflow_events""".replace("\\\\", "\\")
+
+
+def _audited(t):
+    return feeds.stream_audit_log(views.workflow_events(Streamed(t, "events")))
+
+
+@query("stream_audit_log", "event_id:l company_id:l workflow_type:s source_system:s metadata:s accepted:b", AUDIT_LOG_SQL, "workflow_events")
 def stream_audit_log(t):
-    return feeds.append_stream(views.workflow_events(Streamed(t, "events")), "audit", feeds.audit_rows)
+    """Both tables of the job, told apart by where they were found."""
+    out = _audited(t)
+    return out.read("accepted").withColumn("accepted", F.lit(True)).unionByName(out.read("quarantine").withColumn("accepted", F.lit(False)))
+
+
+@query("stream_audit_quarantine", "event_id:l company_id:l workflow_type:s source_system:s metadata:s",
+       f"SELECT * FROM ({AUDIT_LOG_SQL}) a WHERE NOT accepted", "workflow_events")
+def stream_audit_quarantine(t):
+    return _audited(t).read("quarantine")
+
+
+@query("stream_audit_ledger", "sink:s rows:l",
+       f"""SELECT CASE WHEN accepted THEN 'accepted' ELSE 'quarantine' END AS sink, COUNT(*) AS rows FROM ({AUDIT_LOG_SQL}) a GROUP BY 1""",
+       "workflow_events")
+def stream_audit_ledger(t):
+    """What the ledger states for all batches, against a count of the events."""
+    return _audited(t).ledger().groupBy("sink").agg(F.sum("rows").alias("rows"))
 
 
 @query("stream_windowed_counts", "day:s event_type:s n:l",
@@ -85,14 +108,20 @@ def stream_windowed_counts(t):
     return counts.withColumn("day", F.col("window_start").cast("date"))
 
 
-@query("scheduled_snapshot", "user_id:l event_id:l event_type:s value:d",
-       """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) z WHERE rn = 1""")
+ON_TIME = "ts < {kind}'2024-01-16 00:00:00' AND event_id % 10 <> 0"
+
+
+@query("scheduled_snapshot", "run:l user_id:l event_id:l event_type:s value:d",
+       f"""SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM
+ (SELECT 1 AS run, * FROM events WHERE {ON_TIME.format(kind="TIMESTAMP ")} UNION ALL SELECT 2, * FROM events) z) y WHERE rn = 1""")
 def scheduled_snapshot(t):
-    """The same job started twice on one folder: the second start finds nothing new and changes nothing."""
-    from tallymark.session import work_dir
-
-    folder = work_dir(t.spark, "daily")
-    feeds.run_batches(events_stream(t), "daily", lambda b: chg.upsert_latest(b, ["user_id"], ["ts", "event_id"]), folder=folder)
-    feeds.run_batches(events_stream(t), "daily", lambda b: chg.upsert_latest(b, ["user_id"], ["ts", "event_id"]), folder=folder)
-    schema = t.view("events_ts").schema
-    return chg.upsert_latest(feeds.read_batches(t.spark, folder, schema), ["user_id"], ["ts", "event_id"])
+    """The daily job started twice on one folder; newer and late events arrive in between. The table after either start."""
+    feed, folder = work_dir(t.spark, "daily_feed"), work_dir(t.spark, "daily")
+    on_time = F.expr(ON_TIME.format(kind="TIMESTAMP_NTZ"))
+    runs = []
+    for run, arrived in enumerate((on_time, ~on_time), 1):
+        t.events.filter(arrived).write.mode("append").parquet(feed)
+        stream = feeds.change_feed_source(t.spark, feed, SCHEMAS["events"])
+        runs.append(materialize(feeds.stream_upsert(stream, ["user_id"], ["ts", "event_id"], folder), "daily")
+                    .withColumn("run", F.lit(run)))
+    return runs[0].unionByName(runs[1])

@@ -15,10 +15,18 @@ def upsert_latest(t):
     return chg.upsert_latest(t.view("events_ts"), ["user_id"], ["ts", "event_id"])
 
 
-def budget_changes(t):
-    """Each order writes its month's budget row: planned is the order's price, actual its list price."""
-    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).alias("gross"))
-    return (t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+def lines_of(lines, orders):
+    """The lines of ``orders``. The range of their keys is a literal of the scan, so row groups outside it are not read."""
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    near = lines.filter(F.col("l_orderkey").between(low, high))
+    return near.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+
+
+def budget_changes(t, orders=None):
+    """Each order writes its month's budget row: planned is the order's price, actual its list price. ``orders``: only these."""
+    lines = t.lineitem if orders is None else lines_of(t.lineitem, orders)
+    per_order = lines.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).alias("gross"))
+    return ((t.orders if orders is None else orders).join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
             .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .select(F.col("c_nationkey").alias("company_id"), F.col("o_custkey").alias("project_id"),
                     F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("snapshot_date"), F.col("o_orderkey").alias("change_id"),
@@ -31,10 +39,18 @@ AUDIT_CTE = """bc AS (SELECT c_nationkey AS company_id, o_custkey AS project_id,
  CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(20,2)) AS actual_amount
  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
  GROUP BY c_nationkey, o_custkey, o_orderdate, o_orderkey, o_totalprice)"""
-AUDIT_SQL = f"""SELECT company_id, 'budget_sync' AS workflow_type, CAST(project_id AS VARCHAR) AS source_record_id, change_id,
- CASE WHEN ROW_NUMBER() OVER (PARTITION BY company_id, project_id, snapshot_date ORDER BY change_id) = 1 THEN 'created'
+AUDIT_TEXT = f"""SELECT company_id, 'budget_sync' AS workflow_type, CAST(project_id AS VARCHAR) AS source_record_id, change_id,
+ CASE WHEN ROW_NUMBER() OVER (PARTITION BY company_id, project_id, snapshot_date ORDER BY {{arrival}}) = 1 THEN 'created'
  ELSE 'updated' END AS action, '{{"planned":' || planned_amount || ',"actual":' || actual_amount || ',"variance_pct":'
  || CAST(CASE WHEN planned_amount > 0 THEN {PCT} ELSE 0 END AS DECIMAL(20,2)) || '}}' AS metadata FROM bc"""
+
+
+def audit_sql(arrival: str) -> str:
+    """The audit rows, if changes arrive in this order."""
+    return AUDIT_TEXT.replace("{arrival}", arrival)
+
+
+AUDIT_SQL = audit_sql("change_id")
 AUDIT_SPEC = "company_id:l workflow_type:s source_record_id:s change_id:l action:s metadata:s"
 AUDIT_KEYS = ["company_id", "project_id", "snapshot_date"]
 

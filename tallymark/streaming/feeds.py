@@ -1,9 +1,9 @@
 """Change feeds as Structured Streaming jobs.
 
 Every job runs with ``availableNow`` by default: it processes what is new and
-stops, and a scheduler outside starts it again. Each micro-batch goes to its own
-``batch_id=N`` folder, so a replayed batch overwrites itself instead of adding
-rows. State lives in files of the shared folder, never on one machine.
+stops, and a scheduler outside starts it again on the same folder, where the
+stream's checkpoint and the tables of ``stores`` lie. State lives in files of the
+shared folder, never on one machine.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallymark.operators.changes import upsert_latest
+from tallymark.operators.changes import budget_audit_rows, upsert_latest
 from tallymark.operators.quality import WORKFLOW_TYPES
-from tallymark.session import work_dir
+from tallymark.session import materialize, release, work_dir
+from tallymark.streaming.stores import FOLD_EVERY, Outputs, Snapshot
 
 c = F.col
 
@@ -45,25 +46,11 @@ def kafka_feed_source(spark: SparkSession, servers: str, topics: list[str], sche
     return raw.select(c("topic").alias("table"), F.from_json(c("value").cast("string"), schema).alias("row")).select("table", "row.*")
 
 
-def run_batches(stream: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame],
-                trigger: dict | None = None, folder: str | None = None) -> tuple[str, StructType]:
-    """Apply ``transform`` to every micro-batch and keep each result in its own folder."""
-    spark = stream.sparkSession
-    folder = folder or work_dir(spark, label)
-    schema = transform(spark.createDataFrame([], stream.schema)).schema
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
-
-    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+def run_job(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], trigger: dict | None = None) -> None:
+    """Give every new micro-batch and its number to ``step``, then stop; the next start goes on from there."""
+    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(**(trigger or {"availableNow": True})).start())
     query.awaitTermination()
-    return folder, schema
-
-
-def read_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The stored batches, without the folder name's batch id."""
-    return spark.read.schema(schema).parquet(f"{folder}/data").select(*schema.names)
 
 
 def append_stream(stream: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df,
@@ -78,22 +65,46 @@ def append_stream(stream: DataFrame, label: str, transform: Callable[[DataFrame]
     return stream.sparkSession.read.schema(out.schema).parquet(f"{folder}/data")
 
 
-def stream_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
-    """Latest row per key.
+def stream_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None,
+                  fold_every: int = FOLD_EVERY) -> DataFrame:
+    """Latest row per key, kept in a versioned snapshot; start it again on its folder to take in what is new.
+
+    Neither a late row nor a replayed batch changes the outcome, as the last write is told by ``order``.
+    """
+    spark = stream.sparkSession
+    folder = folder or work_dir(spark, "upsert")
+    table = Snapshot(spark, f"{folder}/table", stream.schema, lambda df: upsert_latest(df, keys, order), fold_every)
+    run_job(stream, folder, table.apply)
+    return table.read()
+
+
+def stream_budget_audit(stream: DataFrame, changes: Callable[[DataFrame], DataFrame], keys: list[str], order: str,
+                        folder: str | None = None) -> DataFrame:
+    """An audit row per budget change, as a trigger on the table writes it: the first change of a key to arrive creates it.
 
-    A micro-batch is folded to one row per key before it is stored, and the
-    table is the fold over the stored batches. The work per batch follows the
-    batch, not the table; ``compact`` folds old batches when they pile up.
+    ``changes`` turns a micro-batch into change rows. The keys that have been
+    created, and the batch that did it, are a snapshot; a batch looks up only its
+    own keys. A replayed batch ignores what it has itself stored, so it writes the
+    same rows into its own folder again.
     """
-    folder, schema = run_batches(stream, "upsert", lambda batch: upsert_latest(batch, keys, order), folder=folder)
-    return upsert_latest(read_batches(stream.sparkSession, folder, schema), keys, order)
+    spark = stream.sparkSession
+    folder = folder or work_dir(spark, "budget_audit")
+    empty = changes(spark.createDataFrame([], stream.schema))
+    created = StructType([f for f in empty.schema if f.name in keys]).add("first_batch", "long")
+    known = Snapshot(spark, f"{folder}/known", created, lambda df: df.groupBy(*keys).agg(F.min("first_batch").alias("first_batch")))
+    audit = budget_audit_rows(empty, order, F.lit(True)).schema
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(changes(batch), "changes")
+        first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+        new = materialize(first.join(known.read().filter(c("first_batch") < batch_id), keys, "left_anti"), "created")
+        is_first = F.coalesce(c(order) == c("_first"), F.lit(False))
+        budget_audit_rows(rows.join(new, keys, "left"), order, is_first).write.mode("overwrite").parquet(f"{folder}/audit/batch_id={batch_id}")
+        known.apply(new.select(*keys, F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
+        release(rows, new)
 
-def compact(df: DataFrame, keys: list[str], order: list[str], label: str = "compact") -> DataFrame:
-    """Fold a table of stored batches into a new folder, leaving the old one readable."""
-    path = work_dir(df.sparkSession, label)
-    upsert_latest(df, keys, order).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    run_job(stream, folder, step)
+    return spark.read.schema(audit).parquet(f"{folder}/audit").select(*audit.names)
 
 
 def stream_large_invoices(stream: DataFrame, minimum: int = 10000) -> DataFrame:
@@ -116,9 +127,22 @@ def audit_rows(events: DataFrame) -> DataFrame:
         F.coalesce(c("workflow_type").isin(*WORKFLOW_TYPES), F.lit(False)).alias("accepted"))
 
 
-def split_audit(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined): rows of an undeclared workflow type are kept apart, not dropped."""
-    return log.filter("accepted").drop("accepted"), log.filter("NOT accepted").drop("accepted")
+AUDIT_SINKS = ("accepted", "quarantine")
+
+
+def split_audit(log: DataFrame) -> DataFrame:
+    """Names the sink of each row: rows of an undeclared workflow type are kept apart, not dropped."""
+    return log.withColumn("sink", F.when(c("accepted"), AUDIT_SINKS[0]).otherwise(AUDIT_SINKS[1])).drop("accepted")
+
+
+def stream_audit_log(stream: DataFrame, folder: str | None = None) -> Outputs:
+    """Workflow events into two tables, accepted and quarantined, under one ledger."""
+    spark = stream.sparkSession
+    folder = folder or work_dir(spark, "audit")
+    schema = split_audit(audit_rows(spark.createDataFrame([], stream.schema))).drop("sink").schema
+    out = Outputs(spark, folder, schema, AUDIT_SINKS)
+    run_job(stream, folder, lambda batch, batch_id: out.write(batch_id, split_audit(audit_rows(batch))))
+    return out
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 day", delay: str = "2 hours") -> DataFrame:
