@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.ranges import RANGE, carried, into_ranges
 from tallymark.sources.views import PERCENT
 
 c = F.col
@@ -42,24 +45,24 @@ def budget_audit_rows(changes: DataFrame, order: str, is_first: Column) -> DataF
         F.to_json(doc).alias("metadata"))
 
 
-def timeline(events: DataFrame, keys: list[str], time: str, tie: str, kind: str, chunk: str = "hour") -> DataFrame:
+def timeline(events: DataFrame, keys: list[str], time: str, tie: str, kind: str) -> DataFrame:
     """Each event with its predecessor's kind and the microseconds since it.
 
-    A plain lag would sort all events of a key in one task. Here the lag runs
-    per (key, time chunk); only a chunk's first event looks further back, at the
-    last event of the key's previous chunk. Chunk summaries are one row each.
-    Keys and times are declared NOT NULL.
+    A plain lag would sort all events of a key in one task. Here the events are
+    dealt into ranges by key, time and ``tie``, so that a hot key, or a hot moment
+    of it, is spread; the lag runs inside each range, and its first event looks at
+    the last one of the range before. Keys and times are declared NOT NULL.
     """
-    df = events.withColumn("_chunk", F.date_trunc(chunk, c(time)))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(time, tie)
+    order = [*keys, time, tie]
+    ranged = into_ranges(events, [c(x) for x in order], "timeline")
+    local = Window.partitionBy(RANGE, *keys).orderBy(time, tie)
     here = F.struct(c(time).alias("t"), c(kind).alias("k"))
-    near = df.withColumn("_near", F.lag(here).over(local))
-
-    summary = df.groupBy(*keys, "_chunk").agg(F.max_by(here, F.struct(time, tie)).alias("_end"))
-    order = Window.partitionBy(*keys).orderBy("_chunk")
-    before = summary.select(*keys, "_chunk", F.lag("_end").over(order).alias("_far"))
-    prev = F.coalesce("_near", "_far")
-    return (near.join(before, [*keys, "_chunk"], "left")
-            .withColumn("previous", prev["k"])
-            .withColumn("micros_since", F.unix_micros(time) - F.unix_micros(prev["t"]))
-            .drop("_chunk", "_near", "_far"))
+    last = ranged.groupBy(RANGE).agg(F.max(F.struct(*order, kind)).alias("last"))
+    same_key = reduce(lambda a, b: a & b, (c(f"before.{k}") == c(k) for k in keys))
+    far = F.when(same_key, F.struct(c(f"before.{time}").alias("t"), c(f"before.{kind}").alias("k")))
+    prev = F.coalesce(F.lag(here).over(local), far)
+    return (ranged.join(carried(last, "last"), RANGE)
+            .withColumn("_prev", prev)
+            .withColumn("previous", c("_prev.k"))
+            .withColumn("micros_since", F.unix_micros(time) - F.unix_micros("_prev.t"))
+            .drop(RANGE, "before", "_prev"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators.joins import join_null_safe
+from tallymark.operators.ranks import global_rank
 from tallymark.sources.views import MONEY
 
 c = F.col
@@ -37,16 +37,8 @@ def portfolio_rollup(portfolios: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def portfolio_rank(portfolios: DataFrame) -> DataFrame:
-    """Rank by score without one global sort.
-
-    The window runs over the distinct scores (whole-number inputs from 0 to 100
-    give at most 2,001 of them), and the rank is joined back.
-    """
-    scored = portfolio_score(portfolios)
-    per_score = scored.groupBy("total_score").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(c("total_score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = per_score.select("total_score", (F.coalesce(above, F.lit(0)) + 1).alias("score_rank"))
-    return join_null_safe(scored, ranks, ["total_score"]).orderBy(c("priority").desc(), "name")
+    """Rank by score, whatever number of different scores there are."""
+    return global_rank(portfolio_score(portfolios), "total_score", "score_rank").orderBy(c("priority").desc(), "name")
 
 
 def state_map(portfolios: DataFrame, label: str = "status_label", current: str = "state") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Hierarchies stored as (id, parent_id)."""
+"""Hierarchies stored as (id, parent_id), expanded by pointer jumping."""
 
 from __future__ import annotations
 
@@ -10,46 +10,50 @@ from tallymark.session import materialize
 c = F.col
 
 
-def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """(id, ancestor, hops) for every node and ancestor, hops >= 1, plus cycle detection.
+def _jumped(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """Every node once, with its way to the top and the nodes below it; whether some nodes have no top.
 
-    Known paths double each round, so a chain of depth d needs log2(d) joins;
-    each round is written to the shared folder and read back. A node that
-    turns up among its own ancestors is on a cycle and raises an error.
+    After r rounds a node knows its ancestor 2^r steps above (``jump``, null once
+    the way is complete), the labels up to there and how many nodes lie less than
+    2^r steps below it. A round joins each node with the one it points to and adds
+    the sizes that point to it, so it writes one row per node, and a hierarchy of
+    depth d takes log2(d) rounds. Every node above the deepest one has another
+    depth, so each round completes some as long as any can be completed: a round
+    that completes none leaves only nodes on a cycle or below one.
     """
-    edges = nodes.filter(c(parent_col).isNotNull()).select(c(id_col).alias("id"), c(parent_col).alias("parent"))
-    known = materialize(edges.select("id", c("parent").alias("ancestor"), F.lit(1).alias("hops")), "tree")
-    fresh, reach = known, 1
-    while True:
-        if not fresh.filter(c("id") == c("ancestor")).isEmpty():
-            raise ValueError("the hierarchy contains a cycle")
-        # join only the furthest known step of each node: everything nearer is already listed
-        tips = known.filter(c("hops") == reach).select("id", c("ancestor").alias("via"))
-        longer = known.select(c("id").alias("via"), "ancestor", (c("hops") + reach).alias("hops"))
-        fresh = materialize(tips.join(longer, "via").select("id", "ancestor", "hops"), "tree")
-        if fresh.isEmpty():
-            return known
-        known = known.unionByName(fresh)
-        reach *= 2
+    open_ = nodes.filter("jump is not null").count()
+    while open_:
+        moving = nodes.filter("jump is not null")
+        above = nodes.select(c("id").alias("jump"), c("jump").alias("next"), c("hops").alias("more_hops"), c("trail").alias("up"))
+        moved = moving.join(above, "jump").select(
+            "id", c("next").alias("jump"), (c("hops") + c("more_hops")).alias("hops"), F.concat_ws(" > ", "up", "trail").alias("trail"), "size")
+        gained = moving.groupBy(c("jump").alias("id")).agg(F.sum("size").alias("gained"))
+        whole = moved.unionByName(nodes.filter("jump is null")).join(gained, "id", "left")
+        nodes = materialize(whole.select("id", "jump", "hops", "trail", (c("size") + F.coalesce("gained", F.lit(0))).alias("size")), "tree")
+        before, open_ = open_, nodes.filter("jump is not null").count()
+        if open_ == before:
+            return nodes, True
+    return nodes, False
 
 
 def tree_expand(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", label: str = "label") -> DataFrame:
-    """Depth, root-to-node path, leaf flag, subtree size and orphan flag per node.
+    """Depth, root-to-node path, leaf flag, subtree size, orphan flag and cycle flag per node.
 
-    A path holds one label per level, so collecting it per node is bounded by
-    the depth; subtree sizes are plain counts per ancestor.
+    A node whose parent is not among the nodes is an orphan and starts a tree of its
+    own. A node on a cycle, or below one, has ``is_cycle`` and neither depth, path
+    nor subtree size. Ids are unique; a null label leaves its place in the path out.
     """
     base = nodes.select(c(id_col).alias("id"), c(parent_col).alias("parent_id"), c(label).alias("label"))
-    links = ancestors(base)
-    labelled = links.join(base.select(c("id").alias("ancestor"), c("label").alias("up")), "ancestor")
-    paths = labelled.groupBy("id").agg(
-        F.count("*").alias("depth"),
-        F.transform(F.sort_array(F.collect_list(F.struct("hops", "up")), asc=False), lambda s: s["up"]).alias("trail"))
-    sizes = links.groupBy(c("ancestor").alias("id")).agg(F.count("*").alias("below"))
-    parents = base.select(c("id").alias("parent_id"), F.lit(True).alias("has_parent"))
-    return (base.join(paths, "id", "left").join(sizes, "id", "left").join(parents, "parent_id", "left")
-            .select("id", "parent_id", "label", F.coalesce("depth", F.lit(0)).alias("depth"),
-                    F.array_join(F.concat(F.coalesce("trail", F.array().cast("array<string>")), F.array("label")), " > ")
-                    .alias("path"),
-                    c("below").isNull().alias("is_leaf"), (F.coalesce("below", F.lit(0)) + 1).alias("subtree_size"),
-                    (c("parent_id").isNotNull() & c("has_parent").isNull()).alias("is_orphan")))
+    ids = base.select(c("id").alias("parent_id"), c("id").alias("jump"))
+    start = base.filter("parent_id is not null").join(ids, "parent_id", "left").unionByName(
+        base.filter("parent_id is null").withColumn("jump", c("parent_id")))
+    start = materialize(start.select("id", "jump", F.lit(1).cast("bigint").alias("hops"), c("label").alias("trail"),
+                                     F.lit(1).cast("bigint").alias("size")), "tree")
+    done, cyclic = _jumped(start)
+    parents = base.select(c("parent_id").alias("id")).filter("id is not null").distinct().withColumn("has_child", F.lit(True))
+    topped = F.col("jump").isNull() if cyclic else F.lit(True)
+    roots = start.filter("jump is null").select("id", F.lit(True).alias("top"))
+    return (base.join(done, "id").join(parents, "id", "left").join(roots, "id", "left")
+            .select("id", "parent_id", "label", F.when(topped, c("hops") - 1).alias("depth"), F.when(topped, c("trail")).alias("path"),
+                    c("has_child").isNull().alias("is_leaf"), F.when(topped, c("size")).alias("subtree_size"),
+                    (c("parent_id").isNotNull() & c("top").isNotNull()).alias("is_orphan"), (~topped).alias("is_cycle")))

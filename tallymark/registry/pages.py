@@ -54,19 +54,19 @@ def crawl_stats(t):
     return pg.crawl_stats(t.pages)
 
 
-@query("tree_expand", "id:s parent_id:s depth:l stated_depth:l path:s subtree_size:l is_leaf:b is_orphan:b",
+@query("tree_expand", "id:s parent_id:s depth:l stated_depth:l path:s subtree_size:l is_leaf:b is_orphan:b is_cycle:b",
        """SELECT k.id, k.parent_id, w.depth, k.depth AS stated_depth, w.path, (SELECT COUNT(*) FROM down x WHERE x.root = k.id) AS subtree_size,
- NOT EXISTS (SELECT 1 FROM kept z WHERE z.parent_id = k.id) AS is_leaf, k.parent_id IS NOT NULL AND NOT EXISTS
- (SELECT 1 FROM kept z WHERE z.id = k.parent_id) AS is_orphan FROM kept k JOIN walk w ON w.id = k.id""", "",
+ NOT EXISTS (SELECT 1 FROM moved z WHERE z.parent_id = k.id) AS is_leaf, k.parent_id IS NOT NULL AND NOT EXISTS
+ (SELECT 1 FROM moved z WHERE z.id = k.parent_id) AS is_orphan, false AS is_cycle FROM moved k JOIN walk w ON w.id = k.id""", "",
        TREE_CTE + """,
-kept AS (SELECT * FROM nodes WHERE title <> 'fr'),
-walk AS (SELECT id, 0 AS depth, CAST(title AS VARCHAR) AS path FROM kept k WHERE parent_id IS NULL
-   OR NOT EXISTS (SELECT 1 FROM kept z WHERE z.id = k.parent_id)
- UNION ALL SELECT k.id, w.depth + 1, w.path || ' > ' || k.title FROM kept k JOIN walk w ON k.parent_id = w.id),
-down AS (SELECT id AS root, id FROM kept UNION ALL SELECT d.root, k.id FROM kept k JOIN down d ON k.parent_id = d.id)""")
+moved AS (SELECT * REPLACE (CASE WHEN title = 'fr' THEN id || '#moved' ELSE id END AS id) FROM nodes),
+walk AS (SELECT id, 0 AS depth, CAST(title AS VARCHAR) AS path FROM moved k WHERE parent_id IS NULL
+   OR NOT EXISTS (SELECT 1 FROM moved z WHERE z.id = k.parent_id)
+ UNION ALL SELECT k.id, w.depth + 1, w.path || ' > ' || k.title FROM moved k JOIN walk w ON k.parent_id = w.id),
+down AS (SELECT id AS root, id FROM moved UNION ALL SELECT d.root, k.id FROM moved k JOIN down d ON k.parent_id = d.id)""")
 def expand(t):
-    # without the 'fr' category nodes their pages are orphans
-    nodes = pg.page_tree(t.pages).filter("title <> 'fr'")
+    # the 'fr' category nodes get another id, so their pages are orphans
+    nodes = pg.page_tree(t.pages).withColumn("id", F.when(F.col("title") == "fr", F.concat("id", F.lit("#moved"))).otherwise(F.col("id")))
     stated = nodes.select("id", F.col("depth").alias("stated_depth"))
     return tree_expand(nodes, label="title").join(stated, "id")
 

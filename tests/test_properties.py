@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import changes, quality
+from tallymark.operators import changes, quality, ranks, tree
 from tallymark.operators.capability import determinism_hash
 from tallymark.operators.finance import latest_snapshot
 from tallymark.operators.quantiles import exact_quantiles
@@ -31,18 +31,62 @@ def test_upsert_does_not_depend_on_order(spark):
     assert got[0] == got[1] == sorted(want.values())
 
 
-@pytest.mark.parametrize("chunk", ["minute", "hour", "day"])
-def test_timeline_equals_a_plain_lag(spark, chunk):
-    rng = random.Random(2)
-    start = dt.datetime(2024, 1, 1)
-    data = [(rng.choice([1, 1, 1, 1, 2, 3]), start + dt.timedelta(seconds=rng.randrange(0, 40000, 7)), i, rng.choice("abc")) for i in range(600)]
-    df = spark.createDataFrame(data, "k int, t timestamp, id int, kind string")
-    got = {r.id: (r.previous, r.micros_since) for r in changes.timeline(df, ["k"], "t", "id", "kind", chunk).collect()}
-    for k in (1, 2, 3):
+def plain_lag(data):
+    """{id: (kind before, microseconds since)} by sorting all events of a key."""
+    want = {}
+    for k in {r[0] for r in data}:
         ordered = sorted((r for r in data if r[0] == k), key=lambda r: (r[1], r[2]))
         for before, r in zip([None, *ordered], ordered):
-            want = (None, None) if before is None else (before[3], int((r[1] - before[1]).total_seconds() * 1_000_000))
-            assert got[r[2]] == want
+            want[r[2]] = (None, None) if before is None else (before[3], int((r[1] - before[1]).total_seconds() * 1_000_000))
+    return want
+
+
+TIMED = "k int, t timestamp, id int, kind string"
+
+
+@pytest.mark.parametrize("step", [7, 5000])
+def test_timeline_equals_a_plain_lag(spark, step):
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    data = [(rng.choice([1, 1, 1, 1, 2, 3]), start + dt.timedelta(seconds=rng.randrange(0, 40000, step)), i, rng.choice("abc")) for i in range(600)]
+    df = spark.createDataFrame(data, TIMED)
+    assert {r.id: (r.previous, r.micros_since) for r in changes.timeline(df, ["k"], "t", "id", "kind").collect()} == plain_lag(data)
+    assert changes.timeline(df.filter("false"), ["k"], "t", "id", "kind").collect() == []
+
+
+def test_timeline_of_one_key_in_one_second_is_spread(spark, monkeypatch):
+    """All events of a hot key share one moment; no range, and so no task, gets more than a part of them."""
+    sizes = []
+    real = changes.into_ranges
+
+    def seen(*arguments):
+        out = real(*arguments)
+        sizes.extend(r["count"] for r in out.groupBy("_range").count().collect())
+        return out
+
+    monkeypatch.setattr(changes, "into_ranges", seen)
+    moment = dt.datetime(2024, 1, 1)
+    data = [(1, moment, i, "abc"[i % 3]) for i in range(8000)] + [(2, moment, 9000 + i, "z") for i in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r.previous, r.micros_since) for r in changes.timeline(spark.createDataFrame(data, TIMED), ["k"], "t", "id", "kind").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_lag(data)
+    assert len(sizes) == 8 and max(sizes) < 2 * len(data) / 8
+
+
+def test_ranks_of_fractional_scores(spark):
+    rng = random.Random(6)
+    scores = [round(rng.random() * 40, rng.randrange(1, 9)) for _ in range(3000)] + [7.25] * 900 + [None] * 5
+    df = spark.createDataFrame(list(enumerate(scores)), "id int, score double")
+    got = {r.id: r["rank"] for r in ranks.global_rank(df, "score", "rank").collect()}
+    known = sorted((x for x in scores if x is not None), reverse=True)
+    place = {}
+    for at, x in enumerate(known, 1):
+        place.setdefault(x, at)
+    assert got == {k: place.get(x, len(known) + 1) for k, x in enumerate(scores)}
+    assert ranks.global_rank(df.filter("false"), "score", "rank").collect() == []
 
 
 def test_latest_snapshot_keeps_ties(spark):
@@ -100,10 +144,42 @@ def test_tree_against_a_walk(spark):
         assert (r.subtree_size, r.is_leaf, r.is_orphan) == (sizes[k], sizes[k] == 1, k == 500)
 
 
-def test_cycle_is_an_error(spark):
-    nodes = spark.createDataFrame([("a", "c", "a"), ("b", "a", "b"), ("c", "b", "c"), ("d", "a", "d")], "id string, parent_id string, label string")
-    with pytest.raises(ValueError, match="cycle"):
-        tree_expand(nodes)
+def test_cycles_are_returned_as_rows(spark):
+    """A ring of three, a tail below it, a node that is its own parent, and a whole tree beside them."""
+    parents = {"a": "c", "b": "a", "c": "b", "d": "a", "e": "d", "s": "s", "r": None, "x": "r", "y": "x", "o": "gone"}
+    nodes = spark.createDataFrame([(k, p, k) for k, p in parents.items()], "id string, parent_id string, label string")
+    got = {r.id: r for r in tree_expand(nodes).collect()}
+    assert set(got) == set(parents)
+    for k in "abcdes":
+        assert got[k].is_cycle and (got[k].depth, got[k].path, got[k].subtree_size) == (None, None, None)
+    assert {k: (got[k].depth, got[k].path, got[k].subtree_size, got[k].is_orphan) for k in "rxyo"} == {
+        "r": (0, "r", 3, False), "x": (1, "r > x", 2, False), "y": (2, "r > x > y", 1, False), "o": (0, "o", 1, True)}
+    assert [k for k in got if got[k].is_leaf] and not got["d"].is_leaf and got["e"].is_leaf
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Every round writes one row per node, and a chain of n nodes takes log2(n) of them."""
+    rounds = []
+    real = tree.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(tree, "materialize", counted)
+    n = 700
+    nodes = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "CONCAT('n', id) AS label")
+    got = {r.id: r for r in tree_expand(nodes).collect()}
+    assert set(rounds) == {n} and len(rounds) <= 12
+    assert all(got[k].depth == k and got[k].subtree_size == n - k for k in range(n))
+    assert got[n - 1].path == " > ".join(f"n{k}" for k in range(n))
+
+
+def test_a_root_with_most_of_the_nodes(spark):
+    nodes = spark.range(5000).selectExpr("id", "CASE WHEN id > 0 THEN IF(id % 3 = 0, id - 1, 0) END AS parent_id", "'x' AS label")
+    got = {r.id: r for r in tree_expand(nodes).collect()}
+    assert len(got) == got[0].subtree_size == 5000 and got[2].subtree_size == 2 and got[3].depth == 2
 
 
 def test_anomaly_flags_a_spike(spark):
