@@ -4,9 +4,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import join_null_safe
 from tallymark.plans import semantic as sm
+from tallymark.plans import sketches
 from tallymark.plans.periods import time_range_filter
 from tallymark.registry.core import half_up, query
+from tallymark.session import materialize
 from tallymark.sources.warehouse import external_table_scan
 
 AS_OF = dt.date(1997, 6, 15)
@@ -36,6 +39,46 @@ for _key, _name, _sql in (
         lambda t, name=_name: _metric(t, name))
 
 
+BOUND = sketches.error_bound()
+
+
+def daily_sketches(t):
+    """Customers per day, region and segment as stored sketches; the queries below unite them along other lines."""
+    return materialize(sketches.distinct_sketches(sm.sales_dataset(t), "unique_customers", "order_date", ["region", "segment"]), "sketches")
+
+
+def _within(exact: str = "exact", value: str = "value"):
+    return F.abs(F.col(value) - F.col(exact)) <= F.col(exact) * F.lit(BOUND)
+
+
+@query("metric_approx_distinct", "region:s exact:l bound:d united_within:b metric_within:b",
+       f"""SELECT region, COUNT(DISTINCT customer_id) AS exact, {BOUND!r} AS bound, true AS united_within, true AS metric_within
+ FROM fact_sales GROUP BY 1""", "fact_sales")
+def metric_approx_distinct(t):
+    """Sketches per day united by region, and the approximate metric itself, both within the stated bound of the exact count."""
+    data = sm.sales_dataset(t)
+    m = data.metric("unique_customers", approx=True)
+    rows = data.load(["region", *m.uses]).groupBy("region").agg(data.metric("unique_customers").column("exact"), m.column("direct"))
+    both = join_null_safe(rows, sketches.united(daily_sketches(t), "region"), ["region"])
+    return both.select("region", "exact", F.lit(BOUND).alias("bound"), _within().alias("united_within"),
+                       _within(value="direct").alias("metric_within"))
+
+
+@query("sketch_rollup", "segment:s month:s exact:l within:b",
+       """SELECT segment, CAST(DATE_TRUNC('month', order_date) AS DATE) AS month, COUNT(DISTINCT customer_id) AS exact, true AS within
+ FROM fact_sales GROUP BY 1, 2""", "fact_sales")
+def sketch_rollup(t):
+    """The same stored sketches per segment and month, kept in two parts as if one of them had come later."""
+    stored = daily_sketches(t)
+    late = F.dayofmonth("day") > 20
+    again = sketches.merged(stored.filter(~late).unionByName(stored.filter(late)).unionByName(stored.filter(F.dayofmonth("day") < 5)))
+    found = sketches.united(again, "segment", F.trunc("day", "MM").alias("month"))
+    exact = sm.sales_dataset(t).load(["segment", "order_date", "customer_id"]).groupBy("segment", F.trunc("order_date", "MM").alias("month")) \
+        .agg(F.countDistinct("customer_id").alias("exact"))
+    both = join_null_safe(exact, found, ["segment", "month"])
+    return both.withColumn("within", _within())
+
+
 @query("adhoc_filters", "segment:s n:l revenue:d",
        """SELECT segment, COUNT(*) AS n, SUM(revenue) AS revenue FROM fact_sales WHERE region = 'ASIA' AND channel IN ('A', 'R')
  AND quantity >= 10 AND brand <> 'Brand#1' AND category LIKE '%O%' AND segment IS NOT NULL GROUP BY 1""", "fact_sales")

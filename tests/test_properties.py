@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import changes, quality, ranks, tree
+from tallymark.operators import changes, quality, quantiles, ranks, tree
 from tallymark.operators.capability import determinism_hash
 from tallymark.operators.finance import latest_snapshot
-from tallymark.operators.quantiles import exact_quantiles
+from tallymark.operators.quantiles import boxplot, exact_quantiles
 from tallymark.operators.series import kpi_anomaly, share_of_total
 from tallymark.operators.tree import tree_expand
 from tallymark.registry import queries
@@ -111,19 +111,55 @@ def test_quantiles_of_values_close_together(spark, monkeypatch):
     assert exact_quantiles(nan, [], "v", {"mid": 0.5}).first().mid == 2.0  # a NaN is the largest value
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("accuracy,slacks", [(5000, None), (40, None), (4, [0.0])])
+def test_quantiles_equal_numpy(spark, accuracy, slacks):
+    """A coarse sketch keeps more values; one whose bounds leave nothing misses, and the gap is read again."""
     rng = np.random.default_rng(3)
     groups = {"hot": rng.lognormal(3, 4, 5000).round(4), "flat": np.full(40, 7.5), "one": np.array([-3.25]), "two": np.array([1.0, 2.0]),
               "neg": -rng.exponential(1000, 300).round(2), "mix": np.array([-1e9, 0.0, 0.0, 1e-3, 5.0, 1e12])}
     groups[None] = np.array([4.0, 8.0, 9.0])
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None)], "g string, v double").repartition(5)
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q99": 0.99, "q4": 1.0}
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, accuracy, slacks).collect()}
     for g, vs in groups.items():
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(float(np.quantile(vs, p)), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("accuracy,slacks", [(5000, None), (30, None), (3, [0.0])])
+def test_boxplot_equals_numpy(spark, accuracy, slacks):
+    rng = np.random.default_rng(8)
+    groups = {"hot": rng.lognormal(1, 1, 4000).round(3), "normal": rng.normal(0, 5, 900), "flat": np.full(30, 2.5), "one": np.array([4.0]),
+              "far": np.array([0.0, 1, 2, 3, 4, 500, -500]), "wide": np.array([-1.7e308, 0.0, 1.0, 1.7e308]), None: np.array([1.0, 2.0, 9.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None)], "g string, v double").repartition(4)
+    got = {r.g: r for r in boxplot(df, "g", "v", accuracy, slacks).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        r = got[g]
+        if g != "wide":
+            q1, q3 = (float(np.quantile(vs, p)) for p in (0.25, 0.75))
+            assert (r.q1, r.q3) == (pytest.approx(q1, rel=1e-12, abs=1e-12), pytest.approx(q3, rel=1e-12, abs=1e-12))
+        low, high = r.q1 - 1.5 * (r.q3 - r.q1), r.q3 + 1.5 * (r.q3 - r.q1)
+        inside = [v for v in vs if low <= v <= high]
+        assert (r.whisker_low, r.whisker_high, r.outliers, r.n_points) == (min(inside), max(inside), len(vs) - len(inside), len(vs))
+
+
+def test_boxplot_keeps_no_copy_of_the_column(spark, monkeypatch):
+    """What the second pass leaves is a small share of the rows."""
+    stored = []
+    real = quantiles.materialize
+
+    def seen(df, label):
+        out = real(df, label)
+        stored.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(quantiles, "materialize", seen)
+    df = spark.range(200_000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(xxhash64(id) AS DOUBLE) AS v")
+    boxplot(df, "g", "v", 1000).collect()
+    assert "folded" in dict(stored) and max(n for _, n in stored) < 0.05 * 200_000
+
+
 def test_tree_against_a_walk(spark):
     rng = random.Random(4)
     parents = {0: None, **{i: rng.choice([0, max(0, i - 1), rng.randrange(i)]) for i in range(1, 200)}, 500: 499}
