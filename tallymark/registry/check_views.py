@@ -33,10 +33,10 @@ FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.
 GROUP BY c.c_nationkey, c.c_custkey, {_MONTH}""",
     "budget": f"""
 SELECT c.c_nationkey AS company_id, c.c_custkey AS project_id, MAX(c.c_name) AS project_name, {_MONTH} AS snapshot_date,
-  CAST(CASE WHEN c.c_custkey % 30 = 0 THEN 0 ELSE SUM({_PRICE}) END AS DECIMAL(20,2)) AS planned_amount,
+  CAST(CASE WHEN c.c_custkey % 30 = 0 THEN 0 ELSE SUM({_PRICE}) FILTER (WHERE o.o_orderstatus <> 'P') END AS DECIMAL(20,2)) AS planned_amount,
   CAST(SUM({_PRICE} * (1 + 5 * {_TAX} - 4 * {_DISC})) AS DECIMAL(20,2)) AS actual_amount, MIN(o.o_orderkey) AS first_order
 FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-WHERE o.o_orderstatus <> 'P' GROUP BY c.c_nationkey, c.c_custkey, {_MONTH}""",
+GROUP BY c.c_nationkey, c.c_custkey, {_MONTH}""",
     "capacity": """
 SELECT user_id % 5 AS company_id, user_id AS resource_id,
   CASE WHEN user_id % 17 = 0 THEN NULL ELSE CONCAT('user_', CAST(user_id % 100 AS VARCHAR)) END AS resource_name,

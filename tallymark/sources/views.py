@@ -96,8 +96,8 @@ def order_sums(t: Tables) -> DataFrame:
         total(price * cents("l_tax")).alias("taxed"))
 
 
-def _by_project_month(t: Tables, orders: DataFrame, *extra) -> DataFrame:
-    monthly = (orders.select("o_orderkey", "o_custkey", _month("o_orderdate").alias("month"))
+def _by_project_month(t: Tables, *extra) -> DataFrame:
+    monthly = (t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", _month("o_orderdate").alias("month"))
                .join(order_sums(t), F.col("o_orderkey") == F.col("l_orderkey"))
                .groupBy("o_custkey", "month")
                .agg(*[F.sum(s).cast("decimal(30,0)").alias(s) for s in ("price", "discounted", "taxed")], *extra))
@@ -105,14 +105,14 @@ def _by_project_month(t: Tables, orders: DataFrame, *extra) -> DataFrame:
     return monthly.join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
 
-def _amount(price: int, discount: int = 0, tax: int = 0):
+def _amount(price: int, discount: int = 0, tax: int = 0, of: str = "price"):
     """sum(price * (p + d*discount + x*tax)) from the whole-unit sums."""
-    units = 100 * price * F.col("price") + discount * F.col("discounted") + tax * F.col("taxed")
+    units = 100 * price * F.col(of) + discount * F.col("discounted") + tax * F.col("taxed")
     return (units.cast("decimal(34,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(MONEY)
 
 
 def evm(t: Tables) -> DataFrame:
-    return _by_project_month(t, t.orders).select(
+    return _by_project_month(t).select(
         F.col("c_nationkey").alias("company_id"), F.col("o_custkey").alias("project_id"),
         F.col("c_name").alias("project_name"), F.col("month").alias("calculation_date"),
         _amount(2).alias("bac"), _amount(1, discount=-1).alias("pv"), _amount(1, tax=-2).alias("ev"),
@@ -120,11 +120,13 @@ def evm(t: Tables) -> DataFrame:
 
 
 def budget(t: Tables) -> DataFrame:
-    df = _by_project_month(t, t.orders.filter("o_orderstatus <> 'P'"), F.min("o_orderkey").alias("first_order"))
+    """Every month with orders; what is still pending (status P) is spent without a plan, and a month of only that has a null plan."""
+    planned = F.sum(F.when(F.col("o_orderstatus") != "P", F.col("price"))).cast("decimal(30,0)")
+    df = _by_project_month(t, F.min("o_orderkey").alias("first_order"), planned.alias("planned"))
     return df.select(
         F.col("c_nationkey").alias("company_id"), F.col("o_custkey").alias("project_id"),
         F.col("c_name").alias("project_name"), F.col("month").alias("snapshot_date"),
-        F.when(F.col("o_custkey") % 30 == 0, F.lit(0).cast(MONEY)).otherwise(_amount(1)).alias("planned_amount"),
+        F.when(F.col("o_custkey") % 30 == 0, F.lit(0).cast(MONEY)).otherwise(_amount(1, of="planned")).alias("planned_amount"),
         _amount(1, discount=-4, tax=5).alias("actual_amount"), "first_order")
 
 
