@@ -130,7 +130,7 @@ def stable_id(*fields: Column) -> Column:
     return F.substring(F.sha2(F.lower(joined), 256), 1, 16)
 
 
-# File kinds and the pattern of the lower-cased path for each. The first that fits counts, so kinds known by their
+# File kinds and the pattern of the lower-cased path for each. The first that fits counts, so kinds known by their
 # folder or name stand before those known by their ending. A deployment adds rules of its own in front.
 DETECTOR_RULES = (
     ("env_file", r"(^|/)\.env[^/]*$|\.env$"),
@@ -144,7 +144,7 @@ DETECTOR_RULES = (
     ("toml_config", r"\.toml$"),
     ("config", r"\.(json|yaml|yml|ini|cfg)$"),
 )
-# Path tags and the pattern of each.
+# Path tags and the pattern of each.
 PATH_TAGS = {"ci": r"/\.github/|/ci/", "local": "/dev|development|local", "odoo": "odoo", "prod": "/prod|production",
              "staging": "/staging|stage", "supabase": "supabase"}
 

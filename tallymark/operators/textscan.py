@@ -23,6 +23,7 @@ FAMILIES = {
     "DB_*": {"host": "DB_HOST", "port": "DB_PORT", "database": "DB_NAME", "user": "DB_USER", "password": "DB_PASSWORD"},
     "PG*": {"host": "PGHOST", "port": "PGPORT", "database": "PGDATABASE", "user": "PGUSER", "password": "PGPASSWORD"},
 }
+# The columns of the report in their order.
 COLUMNS = ("id", "datastore_type", "instance_name", "host", "port", "database", "user", "ssl_mode", "url_redacted",
            "secrets_present", "secret_fields", "file_path", "line_start", "line_end", "snippet_redacted", "detector", "tags")
 
@@ -79,6 +80,7 @@ def line_hits(rows: DataFrame, driver_suffix: bool = False) -> DataFrame:
              " CASE WHEN startswith(lower(x), 'sqlite:///') THEN 'sqlite_url' ELSE 'sqlite' END, 'raw', x)),"
              f" transform(slice(regexp_extract_all(line, r'{HOSTED_PATTERN}', 0), 1, 1),"
              " x -> named_struct('kind', 'hosted', 'raw', x)))")
+    # Fixed values in the text below: the names that findings are reported under.
     hits = (unfold(rows.filter(_mentions_url("line")), ["path", "line_no", "line"], F.expr(found), "h").select("path", "line_no", "line", "h.*"))
     return hits.selectExpr(
         "path", "line_no", "line", "kind", "raw",

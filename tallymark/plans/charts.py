@@ -88,12 +88,6 @@ def _scatter(r: _Request) -> DataFrame:
     return r.cut(r.df.select(*[r.b[k] for k in ("x", "y", "category", "size") if r.b.get(k)]))
 
 
-def point_sample(points: DataFrame, rows: int) -> DataFrame:
-    """``rows`` points chosen by the hash of their values, for a display that cannot show all of them."""
-    order = F.sha2(F.to_json(F.struct(*points.columns), {"ignoreNullFields": "false"}), 256)
-    return points.orderBy(order).limit(rows)
-
-
 def _bubble(r: _Request) -> DataFrame:
     keys = [r.b["category"]] if r.b.get("category") else []
     return r.df.groupBy(*keys).agg(F.avg(r.b["x"]).alias("x"), F.avg(r.b["y"]).alias("y"), F.sum(r.b["size"]).alias("size"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import textscan as ts
 from tallymark.registry.core import query
 from tallymark.session import work_dir
-from tallymark.sources.corpus import corpus_scan
+from tallymark.sources.corpus import corpus_scan, lines
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 DETECTOR = """CASE WHEN doc_id % 7 = 0 THEN 'env_file' WHEN path LIKE '%/.github/workflows/%' THEN 'ci' WHEN path LIKE '%/k8s/%' THEN 'k8s_manifest'
@@ -98,6 +98,57 @@ def redact_corpus(t):
     return df.select("doc_id", F.sha2("text", 256).alias("digest"), F.array_join("secret_fields", ",").alias("secret_fields"), "changed")
 
 
+WORDS = r"\b(password|passwd|pwd|token|api[_-]?key|service[_-]?role|secret|private[_-]?key)\b\s*[:=]\s*"
+PLAIN_VALUE, QUOTED_VALUE = r"""[^\s'",)]+""", r"""(?:"[^"]*"|'[^']*'|[^\s'",)]+)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def redacted_sql(text: str, value: str) -> str:
+    """Check SQL: user passwords and token parameters of URLs are masked, then key = value secrets."""
+    url = rf"REGEXP_REPLACE({text}, '([a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@''" + r'"' + rf")]*):[^\s@/''" + r'"' + r")]*@', '\1:***REDACTED***@', 'g')"
+    query = rf"REGEXP_REPLACE({url}, '(://[^\s''" + r'"' + r")]*[?&]token)=[^\s&''" + r'"' + r")]+', '\1=***REDACTED***', 'g')"
+    return rf"REGEXP_REPLACE({query}, {_quoted(WORDS + value)}, '\1=***REDACTED***', 'gi')"
+
+
+@query("redact_urls", "doc_id:l digest:s secret_fields:s changed:b",
+       rf"""SELECT doc_id, SHA256({redacted_sql('text', QUOTED_VALUE)}) AS digest, ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(fields)), ',') AS secret_fields,
+ len(fields) > 0 AS changed FROM (SELECT doc_id, text, REGEXP_EXTRACT_ALL(text, {_quoted('(?i)' + WORDS + QUOTED_VALUE)}, 1)
+  || CASE WHEN REGEXP_MATCHES(text, '://[^\s/@]*:[^\s/@]*@') THEN ['url_password'] ELSE [] END
+  || CASE WHEN REGEXP_MATCHES(text, '://\S*[?&]token=') THEN ['query:token'] ELSE [] END AS fields FROM corpus) z""", "corpus")
+def redact_urls(t):
+    """Whole files, whose connection strings carry passwords and tokens."""
+    df = ts.redact_corpus(_corpus(t).select("doc_id", "text"), "doc_id", mode="quoted")
+    return df.select("doc_id", F.sha2("text", 256).alias("digest"), F.array_join("secret_fields", ",").alias("secret_fields"), "changed")
+
+
+@query("findings_snippets", "id:s file_path:s line_start:l snippet_redacted:s",
+       rf"""SELECT id, file_path, line_start, CASE WHEN length(snip) > 240 THEN left(snip, 240) || '…' ELSE snip END AS snippet_redacted FROM
+ (SELECT f.id, f.file_path, f.line_start, {redacted_sql("TRIM(REGEXP_SPLIT_TO_ARRAY(c.text, '" + BREAK + "')[f.line_start])", PLAIN_VALUE)} AS snip
+  FROM first_found f JOIN corpus c ON c.path = f.file_path) z""", "corpus", RAW_CTE)
+def findings_snippets(t):
+    """The line of every finding as the JSON report stores it: read from the file again, masked and cut."""
+    findings = ts.dedupe_earliest(_all(t))
+    paths = ts.findings_sink(findings, work_dir(t.spark, "report"))
+    return t.spark.read.schema(findings.schema).json(paths["json"])
+
+
+@query("datastore_mentions", "path:s line_no:l kind:s raw:s",
+       rf"""SELECT path, line_no, kind, raw FROM (SELECT path, line_no, UNNEST(
+  list_transform(REGEXP_EXTRACT_ALL(line, '(?i)\b(?:{ts.DB_SCHEMES})://[^\s''")]+'), lambda x: {{'kind': 'url', 'raw': x}})
+  || list_transform(REGEXP_EXTRACT_ALL(line, '(?i)\bsqlite:///[^\s''")]+|\b\w[\w./-]*\.sqlite3?\b'),
+    lambda x: {{'kind': CASE WHEN LOWER(x) LIKE 'sqlite:///%' THEN 'sqlite_url' ELSE 'sqlite' END, 'raw': x}})
+  || list_transform(REGEXP_EXTRACT_ALL(line, '(?i)\bhttps://[a-z0-9-]{{10,}}\.supabase\.co\b')[1:1], lambda x: {{'kind': 'hosted', 'raw': x}}),
+  recursive := true) FROM
+ (SELECT path, UNNEST(l) AS line, UNNEST(RANGE(1, len(l) + 1)) AS line_no FROM
+  (SELECT path, REGEXP_SPLIT_TO_ARRAY(text, '{BREAK}') AS l FROM corpus) split) numbered) hits""", "corpus")
+def datastore_mentions(t):
+    """URLs, SQLite files and hosted projects in every line of the documents' own text and what is appended."""
+    return ts.line_hits(lines(_corpus(t).select("path", "text")))
+
+
 @query("corpus_scan", "path:s digest:s",
        r"""SELECT path, SHA256(text) AS digest FROM (SELECT path, text, encode(text) AS b FROM corpus) z
  WHERE NOT contains(text, CHR(0)) AND
