@@ -14,13 +14,25 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.session import materialize
+from tallymark.session import materialize, release
 
 WHITE = r"[\x20\x09-\x0D]+"
-# A cut falls after three characters whose code is 5 modulo 8, at least 256 and
-# at most 4096 characters after the one before.
-_CUT = "".join(f"\\x{{{code:x}}}" for code in range(0x20, 0x250) if code % 8 == 5)
-CHUNK = rf"(?s).{{256,4096}}?(?<=[{_CUT}]{{3}})|.{{1,4096}}"
+
+
+def _every(step: int, low: int, high: int) -> str:
+    """A character class: one eighth of the code points from ``low`` on, in runs that are ``step`` apart."""
+    width = max(step // 8, 1)
+    return "".join(f"\\x{{{at:x}}}" + (f"-\\x{{{at + width - 1:x}}}" if width > 1 else "") for at in range(low + 5 * width, high, step))
+
+
+# A cut falls after three characters of a class that holds an eighth of every script, at least 256 and at most 4096
+# characters after the one before. Letters of alphabets count by themselves, ideographs, syllables and signs in runs.
+# Each range has its own part, so that a letter is not compared with those of other scripts.
+_PARTS = ((r"\x{100}-\x{10FF}", _every(8, 0x100, 0x1100)), (r"\x{3040}-\x{30FF}", _every(8, 0x3040, 0x3100)),
+          (r"\x{1100}-\x{303F}\x{3100}-\x{1EFFF}", _every(512, 0x1100, 0x3040) + _every(512, 0x3100, 0x1F000)),
+          (r"\x{1F000}-\x{1FFFF}", _every(64, 0x1F000, 0x20000)), (r"\x{20000}-\x{10FFFF}", _every(4096, 0x20000, 0x110000)))
+_CUT = "[" + _every(8, 0x20, 0x100) + "".join(f"[[{span}]&&[{own}]]" for span, own in _PARTS) + "]"
+CHUNK = f"(?s).{{253,4093}}?{_CUT}{{3}}|.{{1,4096}}"
 
 
 def normalised(text: Column) -> Column:
@@ -62,11 +74,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("norm", normalised(F.col("text")))
-    seed = verified_seed(texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")), identify)
-    recipes = materialize(texts.select(
+    # cutting is the dear part, so it is done once and the pieces are stored
+    cut = materialize(texts.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.length("text").alias("n_points"),
-        F.sha2("norm", 256).alias("text_sha256"),
-        F.transform(chunks(F.col("norm")), lambda c: identify(c, seed)).alias("recipe")), "recipes")
+        F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks")), "chunks")
+    seed = verified_seed(cut.select(F.explode("chunks").alias("chunk")), identify)
+    recipes = materialize(cut.withColumn("recipe", F.transform("chunks", lambda c: identify(c, seed))).drop("chunks"), "recipes")
+    release(cut)
     order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     groups = recipes.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
     shared = materialize(groups.filter("group_size > 1").select(

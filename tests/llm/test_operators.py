@@ -488,3 +488,14 @@ def test_prints_that_coincide_hide_no_pair(spark):
     keys = table(spark, [(1, 5, 0, 16), (2, 5, 0, 16)], "node long, key long, i int, j int")
     labels = table(spark, [], "node long, component long")
     assert [tuple(r) for r in minhash._across(keys, labels, nodes).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("first,last", [(0x61, 0x7A), (0x430, 0x44F), (0x4E00, 0x9FA4), (0x3041, 0x3096), (0xAC00, 0xD7A2), (0x1F300, 0x1F5FF)])
+def test_cuts_of_every_script_move_with_the_text(spark, first, last):
+    """One inserted character changes the chunk that holds it, and no later one."""
+    rng = random.Random(first)
+    text = "".join(chr(rng.randint(first, last)) for _ in range(20_000))
+    a, b = (r.c for r in table(spark, [(1, text), (2, text[:9000] + "Z" + text[9000:])]).select(
+        exact_dedup.chunks(F.col("text")).alias("c")).collect())
+    assert "".join(a) == text and len(a) > 10 and len(set(a) - set(b)) <= 2 and a[-1] == b[-1]
+    assert all(256 <= len(x) <= 4096 for x in a[:-1])
