@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -133,9 +134,15 @@ class _WordIds(dict):
         return np.split(flat, cuts[:-1])
 
 
+@lru_cache(maxsize=2)
+def _table(path: str, special: bool) -> _WordIds:
+    """The words of a worker process, which outlives its tasks: the file is loaded and a word is met once for all of them."""
+    return _WordIds(path, special)
+
+
 def _pieces(tokenizer: str, size: int, with_ids: bool, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(tokenizer, special)
+        known = _table(tokenizer, special)
         for batch in batches:
             docs, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]

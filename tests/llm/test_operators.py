@@ -499,3 +499,19 @@ def test_cuts_of_every_script_move_with_the_text(spark, first, last):
         exact_dedup.chunks(F.col("text")).alias("c")).collect())
     assert "".join(a) == text and len(a) > 10 and len(set(a) - set(b)) <= 2 and a[-1] == b[-1]
     assert all(256 <= len(x) <= 4096 for x in a[:-1])
+
+
+# Those that hold thousands of values take time for each of them and repeat less often; 2,000 turns used to end the process.
+ENDLESS = ["x@a" + ".b" * 100_000, "x" * 100_000 + "@a.bc", "x@" + "a" * 100_000, "x@a." + "b" * 100_000, "4" * 100_000, "@" * 100_000,
+           "DE89" + " 3704" * 4000, "1.2." * 4000, "+49" + " 123" * 4000, "1234 " * 4000, "123-45-" * 4000, "2020-01-02-" * 4000,
+           "+1(" * 4000, "a.b@c-d." * 4000]
+
+
+def test_pseudonyms_in_endless_repeats(spark):
+    got = pii.pseudonymise(table(spark, list(enumerate(ENDLESS))).repartition(8), key="k").collect()
+    assert len(got) == len(ENDLESS) and all(len(r.text) == len(ENDLESS[r.doc_id]) for r in got if r.doc_id < 6)
+
+
+def test_words_outlive_a_task():
+    assert packing._table(TOKENIZER, True) is packing._table(TOKENIZER, True)
+    assert packing._table(TOKENIZER, True) is not packing._table(TOKENIZER, False)
