@@ -9,6 +9,7 @@ reach the threshold and go before any shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,7 @@ TEMPLATES = NOTICES + _gnu_wordings() + [
     ("ISC", "ISC License"),
     ("ISC", NOTICES[12][1] + ", provided that the above copyright notice and this permission notice appear in all copies."),
 ]
+CLASSES = 16  # of template terms by weight, in the bound that keeps hopeless passages from being compared
 WHOLE_TERMS = 4  # a template of up to so many different terms counts only where a passage holds all of them
 # The sign that opens a comment line, and comments in brackets.
 _SIGNS = r"(?im)^[ \t]*(?:/?\*+/?|//+|#+|;+|--+|%+|'+|!+|<!--+|dnl\b|rem\b)[ \t]*([^\n]*)$"
@@ -126,6 +128,50 @@ def _weights(files: DataFrame) -> tuple[DataFrame, float]:
         math.log(total + 1.0) + 1.0
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _may_reach(found: Column, vectors: list, least: float) -> Column:
+    """Whether the terms ``found`` of a passage can reach the cosine ``least`` with a template: false only if they cannot.
+
+    A passage without any of a template's heavy terms keeps at most the light ones'
+    share of the template's length. And every term has an idf of 1 at least, so what
+    is in no template adds at least its count to the squared length of the passage,
+    while the templates' terms add to the product what their weights say. Terms of
+    like weight form a class, which counts its largest product and least length.
+    """
+    telling, product, square = set(), {}, {}
+    for row in vectors:
+        light = 0.0
+        for part in sorted(row.parts, key=lambda p: (p.w, p.term)):
+            light += part.w * part.w
+            if math.sqrt(light) >= least * row.norm * (1 - 1e-9):
+                telling.add(part.term)
+            product[part.term] = max(product.get(part.term, 0.0), part.idf * part.w / row.norm)
+            square[part.term] = part.idf * part.idf
+    order = sorted(product, key=lambda term: (product[term], term))
+    if not order:
+        return F.lit(False)
+    size = -(-len(order) // CLASSES) or 1
+    classes = [order[at:at + size] for at in range(0, len(order), size)]
+
+    def total(known: Column, of: Callable[[list[str]], float]) -> Column:
+        def value(x: Column) -> Column:
+            out = F.lit(of(classes[-1]))
+            for group in reversed(classes[:-1]):
+                out = F.when(x.isin(group), of(group)).otherwise(out)
+            return out
+        return F.aggregate(known, F.lit(0.0), lambda s, x: s + value(x))
+
+    def bound(known: Column) -> Column:
+        length = total(known, lambda group: min(square[t] for t in group)) + (F.size(found) - F.size(known))
+        return total(known, lambda group: max(product[t] for t in group)) >= F.sqrt(length) * (least * (1 - 1e-9))
+
+    return F.exists(found, lambda x: x.isin(sorted(telling))) & _let(F.filter(found, lambda x: x.isin(order)), bound)
+
+
 def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """(path, text_hash, license, score): the best template of each file in which one reaches ``least``."""
     spark = files.sparkSession
@@ -134,19 +180,11 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     weights, most = _weights(files)
     counted = known.select("template", "license", F.explode(terms(F.col("body"))).alias("term")) \
         .groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left") \
-        .select("template", "license", "term", (F.col("tf") * F.coalesce("idf", F.lit(most))).alias("w"))
+        .withColumn("idf", F.coalesce("idf", F.lit(most))).select("template", "license", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     vectors = counted.groupBy("template", "license").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("w", "term")).alias("parts")).collect()
-    # A passage that holds none of a template's heavy terms keeps at most the light ones' share of its length.
-    telling = set()
-    for row in vectors:
-        light = 0.0
-        for w, term in sorted((p.w, p.term) for p in row.parts):
-            light += w * w
-            if math.sqrt(light) >= least * row.norm * (1 - 1e-9):
-                telling.add(term)
-    candidate = F.arrays_overlap(terms(F.col("passage")), F.array(*map(F.lit, sorted(telling))))
-    passages = _passages(files).filter(candidate).withColumn("passage_id", F.xxhash64("passage"))
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("w", "term", "idf")).alias("parts")).collect()
+    passages = _passages(files).filter(_let(terms(F.col("passage")), lambda t: _may_reach(t, vectors, least))) \
+        .withColumn("passage_id", F.xxhash64("passage"))
     found = passages.select("path", "text_hash", "passage_id", F.explode(terms(F.col("passage"))).alias("term")) \
         .groupBy("path", "text_hash", "passage_id", "term").agg(F.count("*").alias("tf"))
     found = found.join(weights, "term").withColumn("v", F.col("tf") * F.col("idf"))
@@ -200,12 +238,15 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     nearest = materialize(nearest, "nearest")
     found = found.select(F.col("path").alias("__path"), F.col("text_hash").alias("__hash"),
                          F.col("license").alias("__own"), F.col("score").alias("__score"))
-    joined = files.join(found, (known_path == F.col("__path")) & (F.xxhash64(text_col) == F.col("__hash")), "left") \
-        .join(nearest, _directory(F.col(path_col)) == F.col("of"), "left")
+    # the keys are made before the joins, so a text that the caller does not ask for is not moved
+    keyed = files.withColumns({"__known_path": known_path, "__text_hash": F.xxhash64(text_col), "__of": _directory(F.col(path_col))})
+    joined = keyed.join(found, (F.col("__known_path") == F.col("__path")) & (F.col("__text_hash") == F.col("__hash")), "left") \
+        .join(nearest, F.col("__of") == F.col("of"), "left")
     licence_file = F.regexp_extract(F.col(path_col), "[^/]*$", 0).rlike(LICENCE_FILE)
     has = F.col("__own").isNotNull()
     return joined.withColumns({
         "license": F.coalesce("__own", "__inherited"), "license_score": F.col("__score"),
         "license_origin": F.when(has & F.coalesce(licence_file, F.lit(False)), "file").when(has, "header")
         .when(F.col("__inherited").isNotNull(), "inherited").otherwise("none"),
-        "license_dir": F.when(~has, F.col("__dir"))}).drop("__path", "__hash", "__own", "__score", "of", "__dir", "__inherited")
+        "license_dir": F.when(~has, F.col("__dir"))}).drop(
+            "__path", "__hash", "__own", "__score", "of", "__dir", "__inherited", "__known_path", "__text_hash", "__of")
