@@ -183,22 +183,26 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
         .withColumn("idf", F.coalesce("idf", F.lit(most))).select("template", "license", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     vectors = counted.groupBy("template", "license").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("w", "term", "idf")).alias("parts")).collect()
-    passages = _passages(files).filter(_let(terms(F.col("passage")), lambda t: _may_reach(t, vectors, least))) \
-        .withColumn("passage_id", F.xxhash64("passage"))
-    found = passages.select("path", "text_hash", "passage_id", F.explode(terms(F.col("passage"))).alias("term")) \
-        .groupBy("path", "text_hash", "passage_id", "term").agg(F.count("*").alias("tf"))
+    passage_id = F.struct(F.xxhash64("passage").alias("a"), F.xxhash64(F.lit(1), "passage").alias("b"))
+    passages = materialize(_passages(files).filter(_let(terms(F.col("passage")), lambda t: _may_reach(t, vectors, least)))
+                           .withColumn("passage_id", passage_id), "passages")
+    # a notice that many files share is compared once
+    found = passages.select("passage_id", "passage").distinct().select("passage_id", F.explode(terms(F.col("passage"))).alias("term")) \
+        .groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
     found = found.join(weights, "term").withColumn("v", F.col("tf") * F.col("idf"))
-    lengths = found.groupBy("path", "text_hash", "passage_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    lengths = found.groupBy("passage_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     norms = spark.createDataFrame([(r.template, r.license, r.norm, len(r.parts) if len(r.parts) <= WHOLE_TERMS else 0, p.term, p.w)
                                    for r in vectors for p in r.parts],
                                   "template int, license string, norm double, whole int, term string, w double")
-    dots = found.join(norms, "term").groupBy("path", "text_hash", "passage_id", "template", "license", "norm", "whole").agg(
+    dots = found.join(norms, "term").groupBy("passage_id", "template", "license", "norm", "whole").agg(
         F.sum(F.col("v") * F.col("w")).alias("dot"), F.count("*").alias("held")).filter("held >= whole")
-    scored = dots.join(lengths, ["path", "text_hash", "passage_id"]) \
+    scored = dots.join(lengths, "passage_id") \
         .withColumn("score", F.round(F.col("dot") / F.col("length") / F.col("norm"), 6)).filter(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("score"), "template", "license"))
-    return scored.groupBy("path", "text_hash").agg(best.alias("best")).select(
-        "path", "text_hash", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
+    scored = materialize(scored.groupBy("passage_id").agg(best.alias("own")), "scored")
+    return passages.select("path", "text_hash", "passage_id").join(scored, "passage_id") \
+        .groupBy("path", "text_hash").agg(F.min("own").alias("best")).select(
+            "path", "text_hash", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
 
 
 def _directory(path: Column) -> Column:
