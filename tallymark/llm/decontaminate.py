@@ -272,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
     by word: ``two hundred`` is two numbers. The words count the template words of the
     whole text from 0. Of several stretches the one with most windows counts, then
     the first. Null and empty texts or items match nothing. Rows alike in id and
-    text give equal rows; items with one id are one item, of which the last text
+    text give equal rows; items with one id are one item, of which the largest text
     counts. Other columns are ignored; empty tables give no rows.
 
     The benchmark is a stated query set: it travels to the tasks in blocks of
@@ -289,7 +289,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
     def scanned(rows):
         return texts.mapInArrow(_scan(spark.sparkContext.broadcast(rows), percent), schema)
 
-    items = benchmark.select(item_col, item_text_col).filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()) \
+        .groupBy(F.col(item_col).alias("item")).agg(F.max(item_text_col).alias("body"))
     for row in items.toLocalIterator():
         block.append(tuple(row))
         if len(block) == block_items:
