@@ -170,12 +170,14 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
     """Fits on at most ``sample`` rated documents, those with the smallest hash of the id.
 
     ``ratings`` has ``doc_id`` and ``grade`` (0 to grades - 1); rows with a null
-    in either are left out, and of several ratings of one id the lowest counts.
+    in either are left out, and of several ratings of one id the lowest counts, and
+    of several rows of one id the one with the largest text.
     Without any rating every score is 0.
     """
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id") \
+        .groupBy("doc_id", "grade").agg(F.max("text").alias("text"))
     found = texts.select("doc_id", F.col("grade").cast("long"), "text").mapInArrow(
         _featurised, "doc_id long, grade long, words array<int>, shapes array<int>, shares array<float>")
     rows = sorted(((r.doc_id, r.grade, np.array(r.words, np.int32), np.array(r.shapes, np.int32), np.array(r.shares, np.float32))

@@ -515,3 +515,23 @@ def test_pseudonyms_in_endless_repeats(spark):
 def test_words_outlive_a_task():
     assert packing._table(TOKENIZER, True) is packing._table(TOKENIZER, True)
     assert packing._table(TOKENIZER, True) is not packing._table(TOKENIZER, False)
+
+
+def test_items_with_one_id_are_the_largest_text(spark):
+    """The longer text first, the shorter one first, and both in blocks of one item."""
+    long, short = "zebra " + words(1, 30), "apple pear plum"
+    docs = table(spark, [(1, "before " + long + " after"), (2, words(9, 40))])
+    for rows in ([(7, long), (7, short)], [(7, short), (7, long)], [(7, long), (7, long), (8, None), (None, long)]):
+        for block in (1, 100):
+            found = decontaminate.leaks(docs, table(spark, rows, "item_id long, text string"), block_items=block).collect()
+            assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]
+
+
+def test_a_repeated_id_stays_within_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades: taken.append(len(rows)))
+    docs = table(spark, [(1, f"text number {k}") for k in range(3000)] + [(k, "another") for k in range(2, 30)])
+    ratings = table(spark, [(k, k % 3) for k in range(1, 30)], "doc_id long, grade int")
+    quality.train(docs, ratings, 3, sample=10)
+    quality.train(docs, ratings.filter("doc_id = 1"), 3, sample=10)
+    assert taken == [10, 1]
