@@ -150,12 +150,19 @@ def _table_keys(nodes: DataFrame) -> DataFrame:
     return live.select("node", F.explode(keys).alias("k")).select("node", "k.*")
 
 
-def _shingle_sets(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents that share a table key with another one. The texts move once, for this."""
+def _shingle_sets(nodes: DataFrame, keys: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, shingles), one row per node, of those that share a table key with another one. The texts move once, for this.
+
+    Where several rows are alike in id and text (``repeated``), one of their texts is taken on the map side.
+    """
     wanted = nodes.join(keys.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    return materialize(found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    alike = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    several = materialize(wanted.join(repeated, alike, "left_semi"), "several")
+    one = materialize(wanted.join(several.select("node"), "node", "left_anti"), "single")
+    found = texts.join(one, alike).select("node", "text").union(
+        texts.join(several, alike).groupBy("node").agg(F.first("text").alias("text")))
+    return materialize(found.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,7 +174,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.filter(shared * 100 >= (F.size("x") + F.size("y") - shared) * 75).select("a", "b"), "confirmed")
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Links between different shingle sets, enough of them for the components.
 
     An entry is what shares a table key. In each round every entry is held against
@@ -178,7 +185,7 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     keys = materialize(_table_keys(nodes), "keys")
     keys = materialize(keys.join(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
                                  .filter("a < b").select("key"), "key", "left_semi"), "entries")
-    sets = _shingle_sets(nodes, keys, texts)
+    sets = _shingle_sets(nodes, keys, texts, repeated)
     links = labels = None
     for turn in range(STAR_ROUNDS):
         if labels is None:
@@ -265,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = some.join(shared.withColumnRenamed("node", "head"), "digest", "left") \
         .filter("head is null or head = row").withColumn("node", F.col("row"))
     nodes = materialize(nodes.select("node", "doc_id", "text_hash", "n", "subkeys", "sketch", "prints"), "nodes")
-    labels = materialize(components(_links(nodes, texts)), "components")
+    repeated = materialize(some.groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count"), "repeated_rows")
+    labels = materialize(components(_links(nodes, texts, repeated)), "components")
     placed = rows.select("row", "doc_id", "text_hash", "n", "digest").join(shared, "digest", "left") \
         .withColumn("grouped", F.col("node").isNotNull() & (F.col("n") > 0)) \
         .withColumn("node", F.when(F.col("grouped"), F.col("node")).otherwise(F.col("row")))

@@ -145,6 +145,27 @@ def test_near_duplicates_edges(spark):
     assert Counter((r.component_id, r.kept) for r in got) == {(3, True): 1, (3, False): 2, (8, True): 1, (None, True): 1}
 
 
+def test_repeated_rows_do_not_multiply(spark, monkeypatch):
+    """Hundreds of rows alike in id and text are one set and one link, with a null id as well."""
+    one, other = words(7, 60), words(7, 60) + " more"
+    rows = [(1, one)] * 200 + [(2, other)] * 200 + [(None, one + " again")] * 50 + [(5, words(8, 60))]
+    sizes = []
+
+    def counted(function):
+        def run(*args):
+            out = function(*args)
+            sizes.append((function.__name__, out.count(), out.distinct().count()))
+            return out
+        return run
+
+    for name in ("_shingle_sets", "_confirmed"):
+        monkeypatch.setattr(minhash, name, counted(getattr(minhash, name)))
+    got = minhash.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == {
+        (1, 1, True): 1, (1, 1, False): 199, (2, 1, False): 200, (None, 1, False): 50, (5, 5, True): 1}
+    assert sizes[0] == ("_shingle_sets", 3, 3) and all(n == different <= 3 for _, n, different in sizes)
+
+
 def test_pairs_across_components_are_each_made_once(spark):
     """With no star round but the first, the pair-wise step has to find what the heads miss."""
     rows = near_rows()
