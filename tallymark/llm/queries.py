@@ -120,7 +120,7 @@ FROM placed p LEFT JOIN nearest n USING (dir)
 
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
-    return read_archives(write_archives(pages, archive_folder(spark))).drop("url")
+    return read_archives(write_archives(pages, archive_folder(spark))).drop("url", "record_id")
 
 
 OP3_SQL = """

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 import zlib
@@ -314,6 +317,73 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(empty).count() == 0
 
 
+def _warc_record(kind, head, block, version="WARC/1.0", **fields):
+    lines = [version, f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), *head, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("zipped_index", [False, True])
+@pytest.mark.parametrize("most", [1, 200, 1 << 20])
+def test_archives_of_other_writers(spark, tmp_path, zipped_index, most):
+    """Two archives, one not compressed, an index by URL that repeats and leaves out records, other types and digests."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunks = http.replace(b"Content-Type", b"Transfer-Encoding: chunked\r\nContent-Type") + b"5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    body = b"a body\r\n\r\nwith an empty line" * 40
+    in_32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = {
+        "info": ("one.warc.gz", _warc_record("warcinfo", ["Content-Type: application/warc-fields"], b"software: other\r\n")),
+        "z": ("one.warc.gz", _warc_record("response", ["Content-Type: application/http; msgtype=response"], http + body,
+                                          WARC_Record_ID="<urn:z>", WARC_Target_URI="http://z/", WARC_Payload_Digest=f"sha1:{in_32}")),
+        "request": ("one.warc.gz", _warc_record("request", ["Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n")),
+        "unlisted": ("one.warc.gz", _warc_record("response", [], http + b"not in the index", WARC_Target_URI="http://unlisted/")),
+        "again": ("one.warc.gz", _warc_record("revisit", ["Content-Type: application/http"], http, WARC_Target_URI="http://m/",
+                                              WARC_Payload_Digest=f"sha1:{in_32.lower()}")),
+        "chunked": ("two.warc", _warc_record("response", ["Content-Type: application/http"], chunks, WARC_Target_URI="http://b/",
+                                             WARC_Payload_Digest="sha256:" + hashlib.sha256(b"hello world").hexdigest())),
+        "dns": ("two.warc", _warc_record("response", ["Content-Type: text/dns"], b"20200101\r\n\r\n1.2.3.4", WARC_Target_URI="dns:a")),
+        "lost": ("two.warc", _warc_record("revisit", [], b"", WARC_Target_URI="http://c/", WARC_Payload_Digest="md5:" + "AB" * 16)),
+        "meta": ("two.warc", _warc_record("metadata", [], b"x: y\r\n")),
+    }
+    archives, lines = {"one.warc.gz": b"", "two.warc": b""}, ["!meta 0 {\"format\": \"cdxj-gzip-1.0\"}", ""]
+    for name, (archive, data) in records.items():
+        data = gzip.compress(data) if archive.endswith(".gz") else data
+        if name != "unlisted":
+            place = {"url": name, "filename": archive, "offset": str(len(archives[archive])), "length": len(data)}
+            lines += [f"{name[::-1]})/{{x}} 20200101000000 {json.dumps(place)}"] * (2 if name == "z" else 1)
+        archives[archive] += data
+    index = "\n".join(sorted(lines)).encode()
+
+    def package(name, index, method=zipfile.ZIP_STORED):
+        with zipfile.ZipFile(tmp_path / name, "w", method) as out:
+            for archive, data in archives.items():
+                out.writestr(f"archive/{archive}", data)
+            out.writestr("indexes/index.cdx.gz" if zipped_index else "indexes/other.cdxj", gzip.compress(index) if zipped_index else index)
+            out.writestr("pages/pages.jsonl", b"{}")
+        return table(spark, [(f"file://{tmp_path}/{name}",)], "uri string")
+
+    got = warc.read_archives(package("a.wacz", index), with_payload=True, most=most).collect()
+    sha = hashlib.sha1(body).hexdigest()
+    assert sorted((r.url, r.record_type, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got) == [
+        ("dns:a", "response", 19, hashlib.sha1(b"20200101\r\n\r\n1.2.3.4").hexdigest(), b"20200101\r\n\r\n1.2.3.4"),
+        ("http://b/", "response", 11, hashlib.sha1(b"hello world").hexdigest(), b"hello world"),
+        ("http://c/", "revisit", None, "md5:" + "ab" * 16, b""),
+        ("http://m/", "revisit", len(body), sha, b""),
+        ("http://z/", "response", len(body), sha, body)]
+    assert all(r.page_id is None and r.refers_to is None for r in got) and "<urn:z>" in {r.record_id for r in got}
+    if most == 200 and not zipped_index:
+        for name, bad in (("b", b"com,x)/ 2020 text/html 200 1 2 one.warc.gz"), ("c", b'k 2020 {"filename": "no", "offset": 0, "length": 1}'),
+                          ("d", b'k 2020 {"filename": "two.warc", "offset": 0, "length": 99999999}')):
+            with pytest.raises(Exception, match="NotAnArchive"):
+                warc.read_archives(package(f"{name}.wacz", bad)).count()
+        with pytest.raises(Exception, match="not a stored member"):
+            warc.read_archives(package("e.wacz", index, zipfile.ZIP_DEFLATED)).count()
+
+
+def test_index_keys():
+    keys = {"http://www.Example.com/a b?q=1": "com,example,www)/a%20b?q=1", "https://[bad": "-", None: "-", "plain": "-", "http://x": "x)/"}
+    assert {url: warc._sort_key(url) for url in keys} == keys
+
+
 class _File(io.BytesIO):
     def size(self):
         return len(self.getvalue())
