@@ -25,6 +25,7 @@ from tallymark.session import materialize
 WINDOW = 5
 PERCENT = 75  # of an item's windows; an item of fewer than five template words is one window of its own width
 BLOCK_ITEMS = 20_000  # items that travel to the tasks at once; more are taken in further blocks
+BLOCK_CHARS = 16 << 20  # and their characters; an item that is longer is a block of its own
 # Units by their usual signs, for the typed placeholder.
 UNITS = frozenset("""
 mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs ms mph kmh km/h kwh w kw v a hz khz mhz ghz b kb mb gb
@@ -82,7 +83,7 @@ class _Lexicon(dict):
         self.most = n
         self.codes = np.zeros((n, 2), np.uint64)
         self.size = np.zeros(n, np.int64)  # template words
-        self.first, self.unit, self.capital, self.ends = np.zeros((4, n), bool)
+        self.first, self.unit, self.capital, self.ends, self.open_left, self.open_right = np.zeros((6, n), bool)
 
     def learn(self, raw: list[str]) -> None:
         """Enters the words of a text; starts anew when there is no room for them."""
@@ -93,7 +94,7 @@ class _Lexicon(dict):
             self._arrays(max(self.MOST, len(new)))
         if not new:
             return
-        codes, size, number, unit, capital, ends = [], [], [], [], [], []
+        codes, size, number, unit, capital, ends, left, right = [], [], [], [], [], [], [], []
         for word in new:
             bare = word.rstrip(".,!?;:&*#|")
             if bare.isalpha() and bare.lower() not in NUMBER_WORDS:  # most words; the same as the general way below
@@ -108,19 +109,21 @@ class _Lexicon(dict):
             unit.append(bool(parts) and parts[-1][1] in UNITS)
             capital.append(upper)
             ends.append(word[-1] in _AFTER_END and _SENTENCE_END.search(word) is not None)
+            left.append(word[0].isalnum())
+            right.append(word[-1].isalnum())
         here = slice(len(self), len(self) + len(new))
         self.codes[here] = np.array(codes, np.uint64)
         self.size[here], self.first[here], self.unit[here] = size, number, unit
-        self.capital[here], self.ends[here] = capital, ends
+        self.capital[here], self.ends[here], self.open_left[here], self.open_right[here] = capital, ends, left, right
         self.update(zip(new, range(here.start, here.stop)))
 
 
 def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside: bool = False):
-    """Template codes of the raw words, with the raw word and the slot flag of each.
+    """Template codes of the raw words; of each its raw word, if it is the second of that, its raw words, and if it is a slot.
 
-    A name is a capitalised word inside a sentence of a text that is written
-    mostly in small letters; after a sentence end a capital says nothing.
-    ``names`` and ``inside`` (the text starts inside a sentence) override that.
+    A name is a run of capitalised words inside a sentence of a text that is written
+    mostly in small letters; after a sentence end a capital says nothing, and signs
+    divide runs. ``names`` and ``inside`` (the text starts inside a sentence) override that.
     """
     known.learn(raw)
     numbers = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
@@ -130,7 +133,13 @@ def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside
         some = inner & (size > 0)
         names = 3 * np.count_nonzero(capital & some) < np.count_nonzero(some)
     name = capital & inner & bool(names)
-    at = np.repeat(np.arange(len(raw)), size)
+    # The words of a name behind its first are no template words of their own.
+    more = np.zeros(len(raw), bool)
+    more[1:] = name[1:] & name[:-1] & known.open_right[numbers[:-1]] & known.open_left[numbers[1:]]
+    heads = np.flatnonzero(~more)
+    length = np.ones(len(raw), np.int64)
+    length[heads] = np.diff(heads, append=len(raw))
+    at = np.repeat(np.arange(len(raw)), np.where(more, 0, size))
     second = np.concatenate([[False], at[1:] == at[:-1]]) if len(at) else np.empty(0, bool)
     word = numbers[at]
     codes = np.where(second, known.codes[word, 1], known.codes[word, 0])
@@ -138,7 +147,7 @@ def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside
     ended = np.concatenate([[False], number[:-1]]) if len(at) else number
     unit = second | (known.unit[word] & ended & ~number)
     codes = np.where(unit, _UNIT_CODE, np.where(name[at] & ~second, _NAME_CODE, codes))
-    return codes, at, second, number | unit | (name[at] & ~second)
+    return codes, at, second, length[at], number | unit | (name[at] & ~second)
 
 
 _UNIT_CODE, _NAME_CODE = (np.uint64(xxhash.xxh64_intdigest(k)) for k in (UNIT, NAME))
@@ -156,8 +165,9 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _values(raw: list[str], at: np.ndarray, second: np.ndarray) -> list[str]:
-    return [_parts(raw[k])[0][int(two)][1] for k, two in zip(at.tolist(), second.tolist())]
+def _values(raw: list[str], at: np.ndarray, second: np.ndarray, length: np.ndarray) -> list[str]:
+    return [_parts(raw[k])[0][int(two)][1] if n == 1 else " ".join(_parts(word)[0][0][1] for word in raw[k:k + n])
+            for k, two, n in zip(at.tolist(), second.tolist(), length.tolist())]
 
 
 class _Items:
@@ -165,27 +175,29 @@ class _Items:
 
     An item may stand inside a sentence of a document, and the document as a
     whole may use capitals in another way, so each item is entered under every
-    reading of its capitals.
+    reading of its capitals that differs from the others.
     """
 
     def __init__(self, rows: list[tuple[int, str]], known: _Lexicon) -> None:
-        self.values, self.n = {}, {}
-        entries = set()
+        self.item, self.values, self.n = [], [], []  # by reading
+        entries = []
         for item, text in rows:
-            raw = (text or "").split()
+            raw, seen = (text or "").split(), set()
             for names in (True, False):
                 for inside in (True, False):
-                    codes, at, second, _ = _template(raw, known, names, inside)
+                    codes, at, second, length, _ = _template(raw, known, names, inside)
                     own = window_hashes(codes, min(WINDOW, len(codes)))
-                    if len(own):
-                        self.values[item], self.n[item] = _values(raw, at, second), len(own)
-                    entries.update((h, item, place) for place, h in enumerate(own.tolist()))
-        entries = sorted(entries)
-        self.widths = sorted({min(WINDOW, len(v)) for v in self.values.values()})
+                    if len(own) and codes.tobytes() not in seen:
+                        seen.add(codes.tobytes())
+                        entries += [(h, len(self.item), place) for place, h in enumerate(own.tolist())]
+                        self.item.append(item)
+                        self.values.append(_values(raw, at, second, length))
+                        self.n.append(len(own))
+        entries.sort()
+        self.widths = sorted({min(WINDOW, len(v)) for v in self.values})
         self.hashes = np.array([h for h, _, _ in entries], np.uint64)
-        self.owners = np.array([item for _, item, _ in entries], np.int64)
+        self.owners = np.array([reading for _, reading, _ in entries], np.int64)
         self.places = np.array([place for _, _, place in entries], np.int64)
-        self.needed = np.array([self.n[item] for item in self.owners.tolist()], np.int64)
 
     def hits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry, window of the document)"""
@@ -195,9 +207,9 @@ class _Items:
         return np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at], at
 
 
-def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> list[tuple[int, int, int, int, bool]]:
-    """(item, hit windows, first template word, last one, same values) for each item that the text holds."""
-    codes, at_raw, second, slot = _template(raw, known)
+def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """(item, hit windows, its windows, first template word, last one, same values) for each item that the text holds."""
+    codes, at_raw, second, length, slot = _template(raw, known)
     own = [window_hashes(codes, width) for width in items.widths]
     if not own:
         return []
@@ -206,20 +218,19 @@ def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> li
     if not len(entry):
         return []
     at = starts[at]
-    item, n = np.unique(items.owners[entry], return_counts=True)
-    needed = np.array([items.n[k] for k in item.tolist()])
-    likely = item[100 * n >= percent * needed]
+    reading, n = np.unique(items.owners[entry], return_counts=True)
+    needed = np.array([items.n[k] for k in reading.tolist()])
+    likely = reading[100 * n >= percent * needed]
     if not len(likely):
         return []
-    values = _values(raw, at_raw, second)
-    out = []
+    values = _values(raw, at_raw, second, length)
+    best = {}
     for own in likely.tolist():
         mine = items.owners[entry] == own
         place, window = items.places[entry[mine]], at[mine]
         width = min(WINDOW, len(items.values[own]))
         # Windows of one copy lie on one diagonal, or on near ones where words were put in or left out.
         zone = (window - place) // (2 * WINDOW)
-        best = None
         for z in np.unique(zone).tolist():
             near = (zone == z) | (zone == z + 1)
             there, back, hit, kept = {}, {}, set(), []
@@ -233,11 +244,10 @@ def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> li
                     hit.add(p)
                     kept.append(w)
             if hit and 100 * len(hit) >= percent * items.n[own]:
-                found = (len(hit), -min(kept), max(kept) + width - 1, all(a == b for a, b in there.items()))
-                best = max(best, found) if best else found
-        if best:
-            out.append((own, best[0], -best[1], best[2], best[3]))
-    return out
+                found = (len(hit), -min(kept), max(kept) + width - 1, all(a == b for a, b in there.items()), items.n[own])
+                item = items.item[own]
+                best[item] = max(best[item], found) if item in best else found
+    return [(item, hits, n, -first, last, same) for item, (hits, first, last, same, n) in best.items()]
 
 
 def _scan(block, percent: int):
@@ -250,33 +260,33 @@ def _scan(block, percent: int):
                 for match in _matches(items, (text or "").split(), known, percent):
                     rows.append(at)
                     found.append(match)
-            item, hit, first, last, same = zip(*found) if found else ((),) * 5
+            item, hit, windows, first, last, same = zip(*found) if found else ((),) * 6
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
-                 pa.array(item, pa.int64()), pa.array(hit, pa.int64()), pa.array([items.n[k] for k in item], pa.int64()),
+                 pa.array(item, pa.int64()), pa.array(hit, pa.int64()), pa.array(windows, pa.int64()),
                  pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(same, pa.bool_())],
                 names=["doc_id", "text_hash", "item_id", "n_hit", "n_windows", "first_word", "last_word", "same_values"])
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS,
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, n_hit, n_windows, first_word, last_word, same_values) per document and item it holds.
 
     An item is held from ``percent`` of its template windows on, in one stretch
     and with consistent slots; ``same_values`` is false where it was asked again
-    with other numbers, units or names. An item of fewer than five template words is
+    with other numbers, units or names; a name is one or several capitalised words in a row. An item of fewer than five template words is
     held where all of them stand in a row, and one that is nothing but numbers, units
     and names only with its own values. A spelt-out number counts as its digits, word
-    by word: ``two hundred`` is two numbers. The words count the template words of the
+    by word: ``two hundred`` is two numbers. Item ids are whole numbers. The words count the template words of the
     whole text from 0. Of several stretches the one with most windows counts, then
     the first. Null and empty texts or items match nothing. Rows alike in id and
     text give equal rows; items with one id are one item, of which the largest text
     counts. Other columns are ignored; empty tables give no rows.
 
     The benchmark is a stated query set: it travels to the tasks in blocks of
-    ``block_items`` items, and every block meets every document.
+    at most ``block_items`` items and ``block_chars`` characters, and every block meets every document.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -285,6 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
               "last_word long, same_values boolean")
     out = spark.createDataFrame([], schema)
     block: list[tuple[int, str]] = []
+    held = 0
 
     def scanned(rows):
         return texts.mapInArrow(_scan(spark.sparkContext.broadcast(rows), percent), schema)
@@ -292,9 +303,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()) \
         .groupBy(F.col(item_col).alias("item")).agg(F.max(item_text_col).alias("body"))
     for row in items.toLocalIterator():
+        if block and (len(block) == block_items or held + len(row.body) > block_chars):
+            out, block, held = out.union(scanned(block)), [], 0
         block.append(tuple(row))
-        if len(block) == block_items:
-            out, block = out.union(scanned(block)), []
+        held += len(row.body)
     return out.union(scanned(block)) if block else out
 
 

@@ -405,6 +405,24 @@ def test_zip_directory(wide, monkeypatch):
         warc.directory(_File(b"no package at all" * 10))
 
 
+def test_names_of_several_words(spark):
+    """A name of any number of words fills one slot, in small and capital readings, and signs divide names."""
+    ask = "In the morning, {} has {} apples and {} gives away 3 more, so how many apples does {} have now in total?"
+    names = [("Tom", "Anna"), ("Maria Lopez", "Peter Smith"), ("Ann", "Juan Maria Souza"), ("Jean Luc Picard", "Li")]
+    rows = [(k, "filler words here first. " + ask.format(a, 5 + k, b, a) + " and some others after it") for k, (a, b) in enumerate(names)]
+    rows += [(10, ask.format("Maria Lopez", 9, "Peter Smith", "Peter Smith")), (11, ask.format("tom", 5, "anna", "tom")),
+             (12, ask.format("Maria Lopez", 9, "Maria Lopez", "Peter Smith")), (13, "IN CAPITALS " + ask.format("Tom", 5, "Anna", "Tom").upper())]
+    for a, b in names:
+        bench = table(spark, [(1, ask.format(a, 5, b, a)), (2, "What do Tom, Anna Smith and (Eve Brown) buy at the market today with 4 coins?")],
+                      "item_id long, text string")
+        got = {r.doc_id for r in decontaminate.leaks(table(spark, rows), bench).collect() if r.item_id == 1}
+        assert {0, 1, 2, 3} <= got and not {10, 12} & got
+    swapped = [(1, "we ask what do Maria Luz Lopez, Bob and (Joe) buy at the market today with 17 coins?"),
+               (2, "we ask what do Tom Anna Smith and (Eve Brown) buy at the market today with 4 coins?")]
+    got = decontaminate.leaks(table(spark, swapped), bench).collect()
+    assert (1, 2, False) in {(r.doc_id, r.item_id, r.same_values) for r in got}
+
+
 def test_leaks(spark):
     items = [(1, "Tom has 5 apples and Anna gives him 3 more apples, how many apples does Tom have now in total?"),
              (2, "The train travels 120 km in 2 hours at constant speed, what is the speed of the train?"), (3, None), (4, "")]
@@ -413,8 +431,8 @@ def test_leaks(spark):
             (4, "the train travels 300 km in 7 hours at constant speed, what is the speed of the train"), (5, "Nothing of it here, 5 km away."),
             (6, None), (7, ""), (None, items[1][1]), (8, words(1, 20_000) + " " + items[1][1])]
     bench = table(spark, items, "item_id long, text string")
-    for block in (1, 100):
-        got = decontaminate.leaks(clashing(spark, rows), bench, block_items=block).collect()
+    for limits in ({"block_items": 1}, {"block_items": 100}, {"block_chars": 1}, {"block_chars": 100}):
+        got = decontaminate.leaks(clashing(spark, rows), bench, **limits).collect()
         assert {(r.doc_id, r.item_id, r.same_values) for r in got} == {
             (1, 1, True), (2, 1, False), (4, 2, False), (None, 2, True), (8, 2, True)}
     clean = decontaminate.decontaminate(clashing(spark, rows), bench)
