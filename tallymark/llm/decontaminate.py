@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +119,12 @@ class _Lexicon(dict):
         self.update(zip(new, range(here.start, here.stop)))
 
 
+@lru_cache(maxsize=1)
+def _lexicon() -> _Lexicon:
+    """The words of a worker process, kept from task to task; it starts anew when it is full."""
+    return _Lexicon()
+
+
 def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside: bool = False):
     """Template codes of the raw words; of each its raw word, if it is the second of that, its raw words, and if it is a slot.
 
@@ -252,7 +259,7 @@ def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> li
 
 def _scan(block, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Lexicon()
+        known = _lexicon()
         items = _Items(block.value, known)
         for batch in batches:
             rows, found = [], []
