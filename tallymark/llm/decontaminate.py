@@ -44,6 +44,7 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*%?[$€£]?")
 _NUMBER_WITH_UNIT = re.compile(r"([$€£]?\d+(?:[.,]\d+)*)([a-zµ°/]+|%)")
 _SENTENCE_END = re.compile(r"[.!?:;]['\")\]]*$")
 _AFTER_END = frozenset(".!?:;'\")]")
+_SIGNS = ".,!?;:&*#|"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
@@ -95,27 +96,24 @@ class _Lexicon(dict):
             self._arrays(max(self.MOST, len(new)))
         if not new:
             return
-        codes, size, number, unit, capital, ends, left, right = [], [], [], [], [], [], [], []
-        for word in new:
-            bare = word.rstrip(".,!?;:&*#|")
-            if bare.isalpha() and bare.lower() not in NUMBER_WORDS:  # most words; the same as the general way below
-                low = bare.lower()
-                parts, upper = [("", low)], bare[0].isupper()
-            else:
-                parts, upper = _parts(word)
-            heads = [xxhash.xxh64_intdigest(kind or low) for kind, low in parts]
-            codes.append((heads + [0, 0])[:2])
-            size.append(len(parts))
-            number.append(bool(parts) and parts[0][0] == NUM)
-            unit.append(bool(parts) and parts[-1][1] in UNITS)
-            capital.append(upper)
-            ends.append(word[-1] in _AFTER_END and _SENTENCE_END.search(word) is not None)
-            left.append(word[0].isalnum())
-            right.append(word[-1].isalnum())
+        # Most words are letters and perhaps signs behind them; the rest goes the general way.
+        bare = [word.rstrip(_SIGNS) for word in new]
+        low = [word.lower() for word in bare]
+        simple = [b.isalpha() and k not in NUMBER_WORDS for b, k in zip(bare, low)]
         here = slice(len(self), len(self) + len(new))
-        self.codes[here] = np.array(codes, np.uint64)
-        self.size[here], self.first[here], self.unit[here] = size, number, unit
-        self.capital[here], self.ends[here], self.open_left[here], self.open_right[here] = capital, ends, left, right
+        self.codes[here, 0] = np.fromiter(map(xxhash.xxh64_intdigest, low), np.uint64, len(new))
+        self.codes[here, 1], self.size[here], self.first[here] = 0, 1, False
+        self.unit[here] = [k in UNITS for k in low]
+        self.capital[here] = [b[:1].isupper() for b in bare]
+        self.ends[here] = [word[-1] in _AFTER_END and _SENTENCE_END.search(word) is not None for word in new]
+        self.open_left[here] = [word[0].isalnum() for word in new]
+        self.open_right[here] = [word[-1].isalnum() for word in new]
+        for k, (word, plain) in enumerate(zip(new, simple), here.start):
+            if not plain:
+                parts, self.capital[k] = _parts(word)
+                self.codes[k] = ([xxhash.xxh64_intdigest(kind or value) for kind, value in parts] + [0, 0])[:2]
+                self.size[k], self.first[k] = len(parts), bool(parts) and parts[0][0] == NUM
+                self.unit[k] = bool(parts) and parts[-1][1] in UNITS
         self.update(zip(new, range(here.start, here.stop)))
 
 
