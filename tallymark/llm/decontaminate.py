@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,7 @@ from tallymark.session import materialize
 
 WINDOW = 5
 PERCENT = 75  # of an item's windows; an item of fewer than five template words is one window of its own width
-BLOCK_ITEMS = 20_000  # items that travel to the tasks at once; more are taken in further blocks
-BLOCK_CHARS = 16 << 20  # and their characters; an item that is longer is a block of its own
+ROW_WINDOWS = 1 << 16  # of a document in one row
 # Units by their usual signs, for the typed placeholder.
 UNITS = frozenset("""
 mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs ms mph kmh km/h kwh w kw v a hz khz mhz ghz b kb mb gb
@@ -175,29 +174,34 @@ def _values(raw: list[str], at: np.ndarray, second: np.ndarray, length: np.ndarr
             for k, two, n in zip(at.tolist(), second.tolist(), length.tolist())]
 
 
-class _Items:
-    """Benchmark templates of one block, by window hash.
+def _readings(raw: list[str], known: _Lexicon):
+    """(template, window hashes) of an item under every reading of its capitals that differs from the others.
 
-    An item may stand inside a sentence of a document, and the document as a
-    whole may use capitals in another way, so each item is entered under every
-    reading of its capitals that differs from the others.
+    An item may stand inside a sentence of a document, and the document as a whole may use capitals in another way.
     """
+    seen = set()
+    for names in (True, False):
+        for inside in (True, False):
+            template = _template(raw, known, names, inside)
+            own = window_hashes(template[0], min(WINDOW, len(template[0])))
+            if len(own) and template[0].tobytes() not in seen:
+                seen.add(template[0].tobytes())
+                yield template, own
+
+
+class _Items:
+    """Templates of some items in all their readings, by window hash."""
 
     def __init__(self, rows: list[tuple[int, str]], known: _Lexicon) -> None:
         self.item, self.values, self.n = [], [], []  # by reading
         entries = []
         for item, text in rows:
-            raw, seen = (text or "").split(), set()
-            for names in (True, False):
-                for inside in (True, False):
-                    codes, at, second, length, _ = _template(raw, known, names, inside)
-                    own = window_hashes(codes, min(WINDOW, len(codes)))
-                    if len(own) and codes.tobytes() not in seen:
-                        seen.add(codes.tobytes())
-                        entries += [(h, len(self.item), place) for place, h in enumerate(own.tolist())]
-                        self.item.append(item)
-                        self.values.append(_values(raw, at, second, length))
-                        self.n.append(len(own))
+            raw = text.split()
+            for (_, at, second, length, _), own in _readings(raw, known):
+                entries += [(h, len(self.item), place) for place, h in enumerate(own.tolist())]
+                self.item.append(item)
+                self.values.append(_values(raw, at, second, length))
+                self.n.append(len(own))
         entries.sort()
         self.widths = sorted({min(WINDOW, len(v)) for v in self.values})
         self.hashes = np.array([h for h, _, _ in entries], np.uint64)
@@ -255,28 +259,59 @@ def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> li
     return [(item, hits, n, -first, last, same) for item, (hits, first, last, same, n) in best.items()]
 
 
-def _scan(block, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lexicon()
-        items = _Items(block.value, known)
-        for batch in batches:
-            rows, found = [], []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                for match in _matches(items, (text or "").split(), known, percent):
-                    rows.append(at)
-                    found.append(match)
-            item, hit, windows, first, last, same = zip(*found) if found else ((),) * 6
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
-                 pa.array(item, pa.int64()), pa.array(hit, pa.int64()), pa.array(windows, pa.int64()),
-                 pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "text_hash", "item_id", "n_hit", "n_windows", "first_word", "last_word", "same_values"])
-    return run
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
-          id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per reading of an item and distinct window: its hash, and how many windows of the reading have it."""
+    known = _lexicon()
+    for batch in batches:
+        rows = []
+        for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist()):
+            for reading, ((codes, *_), own) in enumerate(_readings(body.split(), known)):
+                hashes, places = np.unique(own.view(np.int64), return_counts=True)
+                rows += [(h, item, reading, len(own), min(WINDOW, len(codes)), n) for h, n in zip(hashes.tolist(), places.tolist())]
+        columns = zip(*rows) if rows else ((),) * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                         names=["hash", "item", "reading", "n_windows", "width", "places"])
+
+
+def _document_windows(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of each document, in rows of at most ``ROW_WINDOWS``."""
+    known = _lexicon()
+    for batch in batches:
+        rows, sizes, hashes = [], [0], [np.empty(0, np.int64)]
+        for at, text in enumerate(batch.column("text").to_pylist()):
+            codes = _template((text or "").split(), known)[0]
+            own = np.unique(np.concatenate([window_hashes(codes, width) for width in widths]))
+            for start in range(0, len(own), ROW_WINDOWS):
+                rows.append(at)
+                hashes.append(own[start:start + ROW_WINDOWS].view(np.int64))
+                sizes.append(len(hashes[-1]))
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
+             pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(hashes)))],
+            names=["doc_id", "text_hash", "hashes"])
+
+
+def _check_slots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The items that a document holds, of those that it shares enough windows with."""
+    known = _lexicon()
+    for batch in batches:
+        rows, found = [], []
+        for at, (text, items) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist())):
+            for match in _matches(_Items([(i["item"], i["body"]) for i in items], known), text.split(), known, percent):
+                rows.append(at)
+                found.append(match)
+        item, hit, windows, first, last, same = zip(*found) if found else ((),) * 6
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
+             pa.array(item, pa.int64()), pa.array(hit, pa.int64()), pa.array(windows, pa.int64()),
+             pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(same, pa.bool_())],
+            names=["doc_id", "text_hash", "item_id", "n_hit", "n_windows", "first_word", "last_word", "same_values"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, n_hit, n_windows, first_word, last_word, same_values) per document and item it holds.
 
     An item is held from ``percent`` of its template windows on, in one stretch
@@ -290,29 +325,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_i
     text give equal rows; items with one id are one item, of which the largest text
     counts. Other columns are ignored; empty tables give no rows.
 
-    The benchmark is a stated query set: it travels to the tasks in blocks of
-    at most ``block_items`` items and ``block_chars`` characters, and every block meets every document.
+    The windows of items and documents are joined by hash; Spark sends the items' to all
+    tasks where their table is small and shuffles both sides where it is not. Documents
+    that share ``percent`` of an item's windows meet its text, and their slots are checked.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {id_type}, text_hash long, item_id long, n_hit long, n_windows long, first_word long, "
-              "last_word long, same_values boolean")
-    out = spark.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
-    held = 0
-
-    def scanned(rows):
-        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(rows), percent), schema)
-
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()) \
-        .groupBy(F.col(item_col).alias("item")).agg(F.max(item_text_col).alias("body"))
-    for row in items.toLocalIterator():
-        if block and (len(block) == block_items or held + len(row.body) > block_chars):
-            out, block, held = out.union(scanned(block)), [], 0
-        block.append(tuple(row))
-        held += len(row.body)
-    return out.union(scanned(block)) if block else out
+    key = f"doc_id {id_type}, text_hash long"
+    items = materialize(benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+                        .groupBy(F.col(item_col).cast("long").alias("item")).agg(F.max(item_text_col).alias("body")), "items")
+    windows = materialize(items.mapInArrow(
+        _item_windows, "hash long, item long, reading long, n_windows long, width long, places long"), "item_windows")
+    widths = [r.width for r in windows.select("width").distinct().collect()]  # at most WINDOW of them
+    held = texts.filter(F.lit(bool(widths))).mapInArrow(partial(_document_windows, widths=widths), f"{key}, hashes array<long>") \
+        .select("doc_id", "text_hash", F.explode("hashes").alias("hash")) \
+        .join(windows.drop("width"), "hash").groupBy("doc_id", "text_hash", "item", "reading", "n_windows") \
+        .agg(F.sum("places").alias("n")).filter(F.col("n") * 100 >= F.col("n_windows") * percent)
+    likely = materialize(held.select("doc_id", "text_hash", "item").distinct().join(items, "item")
+                         .groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+                         .agg(F.collect_list(F.struct("item", "body")).alias("items")), "likely")
+    return texts.join(likely, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))) \
+        .select("doc_id", "text_hash", "text", "items").mapInArrow(
+            partial(_check_slots, percent=percent),
+            f"{key}, item_id long, n_hit long, n_windows long, first_word long, last_word long, same_values boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

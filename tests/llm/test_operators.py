@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,8 +432,8 @@ def test_leaks(spark):
             (4, "the train travels 300 km in 7 hours at constant speed, what is the speed of the train"), (5, "Nothing of it here, 5 km away."),
             (6, None), (7, ""), (None, items[1][1]), (8, words(1, 20_000) + " " + items[1][1])]
     bench = table(spark, items, "item_id long, text string")
-    for limits in ({"block_items": 1}, {"block_items": 100}, {"block_chars": 1}, {"block_chars": 100}):
-        got = decontaminate.leaks(clashing(spark, rows), bench, **limits).collect()
+    for parts in (1, 7):
+        got = decontaminate.leaks(clashing(spark, rows).repartition(parts), bench.repartition(parts)).collect()
         assert {(r.doc_id, r.item_id, r.same_values) for r in got} == {
             (1, 1, True), (2, 1, False), (4, 2, False), (None, 2, True), (8, 2, True)}
     clean = decontaminate.decontaminate(clashing(spark, rows), bench)
@@ -441,6 +442,54 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, rows), table(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_leaks_asked_again_with_other_values(spark):
+    """Items with other numbers and names: caught if and only if the values correspond one to one, as by comparing all slots in turn.
+
+    Joined with the windows sent to all tasks, and with both sides shuffled; one item's text is held by a third of the rows.
+    """
+    rng = random.Random(3)
+    people = ["Tom", "Anna", "Maria", "Peter", "Eve", "Juan"]
+
+    def asked(k, slots):
+        r = random.Random(k)
+        verbs = [f"v{k}x{r.randrange(50)}" for _ in range(6)]
+        a, b, n, m = slots
+        return f"then {a} {verbs[0]} with {n} {verbs[1]} and {b} {verbs[2]} another {m} {verbs[3]} so that {a} {verbs[4]} what {b} {verbs[5]}"
+
+    def other():
+        return (*rng.sample(people, 2), *map(str, rng.sample(range(2, 99), 2)))
+
+    items = [(k, asked(k, other())) for k in range(12)]
+    rows, right = [], set()
+    for doc in range(150):
+        k = 0 if doc % 3 == 0 else rng.randrange(12)
+        text = asked(k, other()) if doc % 5 else asked(k, (*["Eve"] * 2, *other()[2:]))  # one name for two people
+        if doc % 7 == 0:
+            text = " ".join(text.split()[:9])
+        elif doc % 5:
+            right.add((doc, k))
+        rows.append((doc, words(doc, 40) + " " + text + " " + words(doc + 1, 40)))
+    bench = table(spark, items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), bench).collect()} == right
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_windows_of_a_long_document_come_in_bounded_rows(spark, monkeypatch):
+    text = words(1, 3000, 10**6)
+    monkeypatch.setattr(decontaminate, "ROW_WINDOWS", 500)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text_hash": 5, "text": text}, {"doc_id": 2, "text_hash": 6, "text": None}])
+    got = [r for b in decontaminate._document_windows(iter([batch]), [5, 2]) for r in b.to_pylist()]
+    raw = text.split()
+    assert {r["doc_id"] for r in got} == {1} and max(len(r["hashes"]) for r in got) == 500
+    flat = [h for r in got for h in r["hashes"]]
+    assert len(flat) == len(set(flat)) == len({tuple(raw[k:k + n]) for n in (5, 2) for k in range(len(raw) - n + 1)})
+
+
 def test_leaks_against_whole_passages(spark):
     """On the given table, where items are copied word for word: the same documents as a plain search for the passages."""
     docs, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -627,12 +676,12 @@ def test_words_outlive_a_task():
 
 
 def test_items_with_one_id_are_the_largest_text(spark):
-    """The longer text first, the shorter one first, and both in blocks of one item."""
+    """The longer text first, the shorter one first, in one partition and in several."""
     long, short = "zebra " + words(1, 30), "apple pear plum"
     docs = table(spark, [(1, "before " + long + " after"), (2, words(9, 40))])
     for rows in ([(7, long), (7, short)], [(7, short), (7, long)], [(7, long), (7, long), (8, None), (None, long)]):
-        for block in (1, 100):
-            found = decontaminate.leaks(docs, table(spark, rows, "item_id long, text string"), block_items=block).collect()
+        for parts in (1, 3):
+            found = decontaminate.leaks(docs, table(spark, rows, "item_id long, text string").repartition(parts)).collect()
             assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]
 
 
