@@ -8,8 +8,8 @@ chose it, side by side. Equal contexts are one context with a count.
 
 Contexts go to shards by anchor, so equal strings meet. Each shard sorts its
 suffixes and reads the repeats off the common prefixes of neighbours. An anchor
-with more context than a shard holds is dealt over several; their sorted strings
-are then merged by binary search.
+with more context than a shard holds is dealt over several; their sorted distinct
+strings are then merged by binary search, in rounds.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from tallymark.session import materialize, release
 LENGTH = 200
 GRAM = 64
 SHARD_BYTES = 2 << 20
+FAN = 64  # runs merged in one task
 _BLOCK_BITS = 20
 _rng = np.random.default_rng(20240517)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -174,57 +176,114 @@ def _search_shard(length: int):
 
 
 def _shard_run(length: int):
-    """Of a shard of a divided anchor: a row per place of a string, with the number of places that the string has there."""
+    """Of a shard of a divided anchor: the spans that repeat in it, and a row per distinct string, with its place if there is only one."""
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("context_id").to_pylist()
         contexts = table.column("context").to_pylist()
-        whole, which, offset, _, times = _shard_windows(contexts, table.column("n").to_numpy(), length)
+        whole, which, offset, group, times = _shard_windows(contexts, table.column("n").to_numpy(), length)
         at = np.flatnonzero(whole)
-        strings = [xxhash.xxh3_128_hexdigest(contexts[which[k]][offset[k]:offset[k] + length]) for k in at.tolist()]
-        return pa.table({
-            "shard": pa.array(np.full(len(at), table.column("shard")[0].as_py())), "string": pa.array(strings),
-            "context_id": pa.array([ids[k] for k in which[at].tolist()], pa.binary()),
-            "start": pa.array(offset[at].astype(np.int32)), "n": pa.array(times[at].astype(np.int64))})
+        heads = at[np.unique(group[at], return_index=True)[1]]
+        strings = [xxhash.xxh3_128_hexdigest(contexts[which[k]][offset[k]:offset[k] + length]) for k in heads.tolist()]
+        single = times[heads] == 1
+        return pa.concat_tables([
+            _span_rows(pa.Table.from_batches([_runs(whole & (times > 1), which, offset, ids, length)])),
+            _string_rows(table.column("run")[0].as_py(), pa.array(strings, pa.string()),
+                         pa.array([ids[k] for k in which[heads].tolist()], pa.binary(), mask=~single),
+                         pa.array(offset[heads].astype(np.int32), mask=~single))])
     return run
 
 
-def _merge_runs(length: int):
-    """A string repeats if it does in its own shard, or if binary search finds it in the sorted run of another one."""
+_RUN_ROWS = "run long, string string, context_id binary, start int, end int"
+
+
+def _span_rows(spans: pa.Table) -> pa.Table:
+    nothing = [pa.nulls(spans.num_rows, kind) for kind in (pa.int64(), pa.string())]
+    return pa.table([*nothing, spans["context_id"], spans["start"], spans["end"]], names=["run", "string", "context_id", "start", "end"])
+
+
+def _string_rows(run: int, strings, context_id, start) -> pa.Table:
+    n = len(strings)
+    return pa.table([pa.array(np.full(n, run, np.int64)), strings, context_id, start, pa.nulls(n, pa.int32())],
+                    names=["run", "string", "context_id", "start", "end"])
+
+
+def _merged(left, right, single: np.ndarray):
+    """Two sorted runs (strings, their rows) as one, and the rows of single places whose string is in both."""
+    (a, rows_a), (b, rows_b) = left, right
+    at = np.searchsorted(a, b)
+    there = np.minimum(at, len(a) - 1)
+    both = a[there] == b
+    met = np.concatenate([rows_a[there[both]], rows_b[both]])
+    found = met[single[met]]
+    single[met] = False
+    new = ~both
+    return (np.insert(a, at[new], b[new]), np.insert(rows_a, at[new], rows_b[new])), found
+
+
+def _merge_runs(length: int, fan: int, last: bool):
+    """Merges the sorted runs of a group two by two; a string repeats if binary search finds it in another run."""
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard").to_numpy()
-        repeated = table.column("n").to_numpy() > 1
+        number = table.column("run").to_numpy()
         keys = np.array(table.column("string").to_pylist(), "S32")  # hexadecimal, so no byte is lost
-        runs = {s: np.unique(keys[shard == s]) for s in np.unique(shard)}
-        for s in runs:
-            own = np.flatnonzero(shard == s)
-            for other, sorted_run in runs.items():
-                if other != s:
-                    at = np.minimum(np.searchsorted(sorted_run, keys[own]), len(sorted_run) - 1)
-                    repeated[own] |= sorted_run[at] == keys[own]
-        hit = np.flatnonzero(repeated)
-        start = table.column("start").to_numpy()[hit].astype(np.int32)
-        return pa.table({"context_id": table.column("context_id").take(pa.array(hit)), "start": pa.array(start),
-                         "end": pa.array(start + np.int32(length))})
+        single = np.array(table.column("context_id").is_valid())
+        order = np.lexsort((keys, number))
+        runs = [(keys[rows], rows) for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1)]
+        hits = [np.empty(0, np.int64)]
+        while len(runs) > 1:
+            pairs = []
+            for left, right in zip(runs[::2], runs[1::2]):
+                both, found = _merged(left, right, single)
+                pairs.append(both)
+                hits.append(found)
+            runs = pairs + runs[len(pairs) * 2:]
+        found = table.select(["context_id", "start"]).take(pa.array(np.concatenate(hits)))
+        start = found["start"].to_numpy().astype(np.int32)
+        spans = _span_rows(pa.table({"context_id": found["context_id"], "start": pa.array(start), "end": pa.array(start + np.int32(length))}))
+        if last:
+            return spans
+        kept = runs[0][1]
+        left = table.take(pa.array(kept)).combine_chunks()
+        gone = pa.array(~single[kept])
+        return pa.concat_tables([spans, _string_rows(
+            int(number[0]) // fan, left["string"], *(pc.if_else(gone, None, left[name]) for name in ("context_id", "start")))])
     return run
 
 
-def _repeats(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Spans (context_id, start, end) of the repeated strings in ``contexts`` (anchor, context_id, context, n)."""
+def _divided_repeats(divided: DataFrame, runs: int, parts: int, length: int, fan: int) -> DataFrame:
+    """Spans of the anchors that are dealt over several shards (``run``, up to ``runs`` of them for an anchor).
+
+    A shard sends one row per distinct string, however often it stands there, so
+    a passage that a third of all rows share is one row per shard. Up to ``fan`` runs are
+    merged in a task and leave one run, until each string is in one run only.
+    """
     spans = "context_id binary, start int, end int"
+    out = divided.sparkSession.createDataFrame([], spans)
+    found = divided.groupBy("anchor", "run").applyInArrow(_shard_run(length), _RUN_ROWS)
+    while True:
+        level = materialize(found, "runs")
+        out = out.union(level.filter("string is null").select("context_id", "start", "end"))
+        if runs == 1:
+            return out
+        runs = -(-runs // fan)
+        found = level.filter("string is not null").withColumn("part", F.pmod(F.xxhash64("string"), F.lit(parts))) \
+            .groupBy("part", F.expr(f"run div {fan}")).applyInArrow(_merge_runs(length, fan, runs == 1), _RUN_ROWS)
+
+
+def _repeats(contexts: DataFrame, length: int, shard_bytes: int, fan: int) -> DataFrame:
+    """Spans (context_id, start, end) of the repeated strings in ``contexts`` (anchor, context_id, context, n)."""
     size = F.length("context")
     total = contexts.agg(F.sum(size)).first()[0] or 0
     shards = total // shard_bytes + 1
     large = materialize(contexts.groupBy("anchor").agg(F.sum(size).alias("bytes"))
                         .filter(F.col("bytes") > shard_bytes), "large_anchors")
     rest = contexts.join(large, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = rest.groupBy("shard").applyInArrow(_search_shard(length), spans)
+    found = rest.groupBy("shard").applyInArrow(_search_shard(length), "context_id binary, start int, end int")
+    most = large.agg(F.max("bytes")).first()[0]
+    if most is None:
+        return found
     divided = contexts.join(large, "anchor").withColumn(
-        "shard", F.xxhash64("anchor", F.pmod(F.xxhash64("context_id"), F.expr(f"bytes div {shard_bytes} + 1"))))
-    runs = divided.drop("bytes").groupBy("shard").applyInArrow(
-        _shard_run(length), "shard long, string string, context_id binary, start int, n long")
-    part = F.pmod(F.xxhash64("string"), F.lit(4 * shards))
-    merged = runs.withColumn("part", part).groupBy("part").applyInArrow(_merge_runs(length), spans)
-    return found.union(merged)
+        "run", F.pmod(F.xxhash64("context_id"), F.expr(f"bytes div {shard_bytes} + 1"))).drop("bytes")
+    return found.union(_divided_repeats(divided, most // shard_bytes + 1, 4 * shards, length, fan))
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +313,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the ``kept`` bytes.
 
     A byte goes if it lies in a string of ``length`` bytes of the text in UTF-8
@@ -284,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = cut.groupBy("context_id").agg(F.count("*").alias("n"))
     distinct = cut.filter("context is not null").dropDuplicates(["context_id"]).select("anchor", "context_id", "context")
     contexts = materialize(distinct.join(counts, "context_id"), "distinct_contexts")
-    spans = materialize(_repeats(contexts, length, shard_bytes), "repeats").withColumnRenamed("start", "from")
+    spans = materialize(_repeats(contexts, length, shard_bytes, fan), "repeats").withColumnRenamed("start", "from")
     release(contexts)
     covered = cut.select(*key, "start", "context_id").join(spans, "context_id").groupBy(*key).agg(F.collect_set(F.struct(
         (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("end")).alias("end"))).alias("spans"))

@@ -219,6 +219,25 @@ def test_repeated_substrings(spark, shard_bytes):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain
 
 
+def test_a_hot_passage_is_one_row_per_string_and_shard(spark):
+    """A passage with other surroundings in each text is dealt over many shards; runs are merged in rounds and agree with the plain search."""
+    hot = words(5, 60)
+    rows = [(k, words(k, 30, 10**6) + f" {k} " + hot[(k * 7) % 30:] + words(k + 1000, 20, 10**6)) for k in range(60)]
+    rows += [(k, words(k, 60, 10**6)) for k in range(100, 130)] + [(200, words(7, 40)), (201, words(7, 40)), (202, hot[:199])]
+    plain = plain_repeats([(k, t.encode()) for k, t in rows], 200)
+    for fan in (2, 5, 64):
+        got = substring_dedup.remove_repeats(table(spark, rows).repartition(3), shard_bytes=600, fan=fan).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain
+
+    contexts = [hot[k:].encode() + str(k).encode() * 3 for k in range(20)]
+    rows = substring_dedup._shard_run(200)(pa.table({
+        "run": [3] * 20, "context_id": [bytes([k]) for k in range(20)], "context": contexts, "n": [1] * 20})).to_pylist()
+    strings = Counter(c[k:k + 200] for c in contexts for k in range(len(c) - 199))
+    sent = [r for r in rows if r["string"]]
+    assert len(sent) == len({r["string"] for r in sent}) == len(strings)
+    assert sum(r["context_id"] is not None for r in sent) == sum(n == 1 for n in strings.values())
+
+
 def test_repeated_substrings_of_nothing(spark):
     assert substring_dedup.remove_repeats(table(spark, [])).count() == 0
 
