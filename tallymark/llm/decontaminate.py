@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from tallymark.session import materialize
 WINDOW = 5
 PERCENT = 75  # of an item's windows; an item of fewer than five template words is one window of its own width
 ROW_WINDOWS = 1 << 16  # of a document in one row
+TOGETHER = 1 << 18  # characters of documents whose templates are made at once
 # Units by their usual signs, for the typed placeholder.
 UNITS = frozenset("""
 mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs ms mph kmh km/h kwh w kw v a hz khz mhz ghz b kb mb gb
@@ -88,7 +90,7 @@ class _Lexicon(dict):
 
     def learn(self, raw: list[str]) -> None:
         """Enters the words of a text; starts anew when there is no room for them."""
-        new = {w for w in set(raw) if w not in self}
+        new = set(filterfalse(self.__contains__, set(raw)))
         if len(self) + len(new) > self.most:
             self.clear()
             new = set(raw)
@@ -122,21 +124,27 @@ def _lexicon() -> _Lexicon:
     return _Lexicon()
 
 
-def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside: bool = False):
-    """Template codes of the raw words; of each its raw word, if it is the second of that, its raw words, and if it is a slot.
+def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside: bool = False, sizes: list[int] | None = None):
+    """Template codes of the raw words; of each its raw word, if it is the second of that, its raw words, if it is a slot, and its text.
 
     A name is a run of capitalised words inside a sentence of a text that is written
     mostly in small letters; after a sentence end a capital says nothing, and signs
     divide runs. ``names`` and ``inside`` (the text starts inside a sentence) override that.
+    The words may be those of several texts in a row, ``sizes`` of each; then ``inside`` has to be false.
     """
     known.learn(raw)
+    bounds = np.concatenate([[0], np.cumsum(sizes if sizes is not None else [len(raw)], dtype=np.int64)])
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     numbers = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
     size, capital = known.size[numbers], known.capital[numbers]
-    inner = np.concatenate([[inside], ~known.ends[numbers[:-1]]]) if len(numbers) else np.empty(0, bool)
+    inner = np.ones(len(raw), bool)
+    inner[1:] = ~known.ends[numbers[:-1]]
+    inner[bounds[:-1][np.diff(bounds) > 0]] = inside
     if names is None:
         some = inner & (size > 0)
-        names = 3 * np.count_nonzero(capital & some) < np.count_nonzero(some)
-    name = capital & inner & bool(names)
+        held, capitals = (np.diff(np.concatenate([[0], np.cumsum(kind)])[bounds]) for kind in (some, capital & some))
+        names = (3 * capitals < held)[text]
+    name = capital & inner & names
     # The words of a name behind its first are no template words of their own.
     more = np.zeros(len(raw), bool)
     more[1:] = name[1:] & name[:-1] & known.open_right[numbers[:-1]] & known.open_left[numbers[1:]]
@@ -148,10 +156,11 @@ def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside
     word = numbers[at]
     codes = np.where(second, known.codes[word, 1], known.codes[word, 0])
     number = np.where(second, False, known.first[word])
-    ended = np.concatenate([[False], number[:-1]]) if len(at) else number
+    ended = np.zeros(len(at), bool)
+    ended[1:] = number[:-1] & (text[at[1:]] == text[at[:-1]])
     unit = second | (known.unit[word] & ended & ~number)
     codes = np.where(unit, _UNIT_CODE, np.where(name[at] & ~second, _NAME_CODE, codes))
-    return codes, at, second, length[at], number | unit | (name[at] & ~second)
+    return codes, at, second, length[at], number | unit | (name[at] & ~second), text[at]
 
 
 _UNIT_CODE, _NAME_CODE = (np.uint64(xxhash.xxh64_intdigest(k)) for k in (UNIT, NAME))
@@ -189,18 +198,24 @@ def _readings(raw: list[str], known: _Lexicon):
                 yield template, own
 
 
+@lru_cache(maxsize=4096)
+def _item(body: str) -> list[tuple[list[int], list[str]]]:
+    """(window hashes, values) of each reading; kept from document to document, as many hold the same item."""
+    raw = body.split()
+    return [(own.tolist(), _values(raw, at, second, length)) for (_, at, second, length, *_), own in _readings(raw, _lexicon())]
+
+
 class _Items:
     """Templates of some items in all their readings, by window hash."""
 
-    def __init__(self, rows: list[tuple[int, str]], known: _Lexicon) -> None:
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.item, self.values, self.n = [], [], []  # by reading
         entries = []
-        for item, text in rows:
-            raw = text.split()
-            for (_, at, second, length, _), own in _readings(raw, known):
-                entries += [(h, len(self.item), place) for place, h in enumerate(own.tolist())]
+        for item, body in rows:
+            for own, values in _item(body):
+                entries += [(h, len(self.item), place) for place, h in enumerate(own)]
                 self.item.append(item)
-                self.values.append(_values(raw, at, second, length))
+                self.values.append(values)
                 self.n.append(len(own))
         entries.sort()
         self.widths = sorted({min(WINDOW, len(v)) for v in self.values})
@@ -218,7 +233,7 @@ class _Items:
 
 def _matches(items: _Items, raw: list[str], known: _Lexicon, percent: int) -> list[tuple[int, int, int, int, int, bool]]:
     """(item, hit windows, its windows, first template word, last one, same values) for each item that the text holds."""
-    codes, at_raw, second, length, slot = _template(raw, known)
+    codes, at_raw, second, length, slot, _ = _template(raw, known)
     own = [window_hashes(codes, width) for width in items.widths]
     if not own:
         return []
@@ -273,23 +288,51 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          names=["hash", "item", "reading", "n_windows", "width", "places"])
 
 
+def _together(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+    """(first text, words of each) of texts that are taken together, about ``TOGETHER`` characters."""
+    start, held, raw = 0, 0, []
+    for at, text in enumerate(texts):
+        raw.append((text or "").split())
+        held += len(text or "")
+        if held >= TOGETHER:
+            yield start, raw
+            start, held, raw = at + 1, 0, []
+    if raw:
+        yield start, raw
+
+
+def _distinct_windows(raw: list[list[str]], known: _Lexicon, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct windows of several texts, in the order of the texts."""
+    codes, *_, text = _template(list(chain.from_iterable(raw)), known, sizes=[len(words) for words in raw])
+    found = []
+    for width in widths:
+        first, last = text[:max(len(text) - width + 1, 0)], text[width - 1:]
+        found.append((first[first == last], window_hashes(codes, width)[first == last]))
+    owner, hashes = (np.concatenate(column) for column in zip(*found))
+    if len(widths) > 1:
+        order = np.argsort(owner, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+    bounds = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], hashes[new].view(np.int64)
+
+
 def _document_windows(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[pa.RecordBatch]:
     """The distinct windows of each document, in rows of at most ``ROW_WINDOWS``."""
     known = _lexicon()
     for batch in batches:
-        rows, sizes, hashes = [], [0], [np.empty(0, np.int64)]
-        for at, text in enumerate(batch.column("text").to_pylist()):
-            codes = _template((text or "").split(), known)[0]
-            own = np.unique(np.concatenate([window_hashes(codes, width) for width in widths]))
-            for start in range(0, len(own), ROW_WINDOWS):
-                rows.append(at)
-                hashes.append(own[start:start + ROW_WINDOWS].view(np.int64))
-                sizes.append(len(hashes[-1]))
-        taken = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
-             pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(hashes)))],
-            names=["doc_id", "text_hash", "hashes"])
+        for start, raw in _together(batch.column("text").to_pylist()):
+            owner, hashes = _distinct_windows(raw, known, widths)
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            heads = np.flatnonzero(place % ROW_WINDOWS == 0)
+            taken = pa.array(start + owner[heads])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken),
+                 pa.ListArray.from_arrays(pa.array(np.append(heads, len(owner)), pa.int32()), pa.array(hashes))],
+                names=["doc_id", "text_hash", "hashes"])
 
 
 def _check_slots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -298,7 +341,7 @@ def _check_slots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     for batch in batches:
         rows, found = [], []
         for at, (text, items) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist())):
-            for match in _matches(_Items([(i["item"], i["body"]) for i in items], known), text.split(), known, percent):
+            for match in _matches(_Items([(i["item"], i["body"]) for i in items]), text.split(), known, percent):
                 rows.append(at)
                 found.append(match)
         item, hit, windows, first, last, same = zip(*found) if found else ((),) * 6
