@@ -57,6 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with one id and different texts are different documents, in the order of
     their hashes. A null id comes after all others. All other columns stay as
     they are, whatever their names (``n_lines`` and ``n_removed`` are replaced).
+    Windows are equal where their 96-bit keys are; the lines themselves are not compared again.
     """
     covered = covered_positions(docs, id_col, text_col).select(
         F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
