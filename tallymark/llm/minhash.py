@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
-from tallymark.session import materialize
+from tallymark.llm.sieve import sieve
+from tallymark.session import materialize, release
 
 SHINGLE = 5
 SIDE, ROWS = 16, 3  # sub-keys in a collection, minhashes in a sub-key
@@ -139,9 +140,10 @@ def _table_keys(nodes: DataFrame) -> DataFrame:
 
     A pair of sub-keys can repeat only if both do, so single ones go before they are combined.
     """
-    subkeys = materialize(nodes.select("node", F.posexplode("subkeys").alias("slot", "h")), "subkeys")
+    subkeys = nodes.select("node", F.posexplode("subkeys").alias("slot", "h"))
     repeated = materialize(subkeys.groupBy("slot", "h").count().filter("count > 1").drop("count"), "repeated")
-    live = subkeys.join(repeated, ["slot", "h"], "left_semi").groupBy("node").agg(
+    some = subkeys.filter(sieve(repeated, "slot", "h")("slot", "h"))
+    live = some.join(repeated, ["slot", "h"], "left_semi").groupBy("node").agg(
         F.collect_list(F.struct("slot", "h")).alias("live"))
     keys = F.flatten(F.transform(
         F.filter("live", lambda x: x["slot"] < SIDE),
@@ -150,13 +152,19 @@ def _table_keys(nodes: DataFrame) -> DataFrame:
     return live.select("node", F.explode(keys).alias("k")).select("node", "k.*")
 
 
-def _shingle_sets(nodes: DataFrame, keys: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(node, shingles), one row per node, of those that share a table key with another one. The texts move once, for this.
+def _members(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The nodes that share a table key with another one."""
+    named = materialize(keys.select("node").distinct(), "named")
+    return materialize(nodes.filter(sieve(named, "node")("node")).join(named, "node", "left_semi"), "members")
+
+
+def _shingle_sets(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, shingles), one row per node. Only the texts of the nodes move, once, for this.
 
     Where several rows are alike in id and text (``repeated``), one of their texts is taken on the map side.
     """
-    wanted = nodes.join(keys.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = texts.filter(sieve(nodes, "text_hash")("text_hash"))
     alike = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     several = materialize(wanted.join(repeated, alike, "left_semi"), "several")
     one = materialize(wanted.join(several.select("node"), "node", "left_anti"), "single")
@@ -168,10 +176,12 @@ def _shingle_sets(nodes: DataFrame, keys: DataFrame, texts: DataFrame, repeated:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
     pairs = materialize(pairs, "pairs")
-    sided = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = sided.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    left, right = (sets.filter(sieve(pairs, end)("node")).withColumnRenamed("node", end) for end in ("a", "b"))
+    both = pairs.join(right.withColumnRenamed("shingles", "y"), "b").join(left.withColumnRenamed("shingles", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return materialize(both.filter(shared * 100 >= (F.size("x") + F.size("y") - shared) * 75).select("a", "b"), "confirmed")
+    found = materialize(both.filter(shared * 100 >= (F.size("x") + F.size("y") - shared) * 75).select("a", "b"), "confirmed")
+    release(pairs)
+    return found
 
 
 def _links(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -182,10 +192,12 @@ def _links(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame
     entries within one component are done. Only what then still lies in different
     components of an entry is compared pair by pair.
     """
-    keys = materialize(_table_keys(nodes), "keys")
-    keys = materialize(keys.join(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                                 .filter("a < b").select("key"), "key", "left_semi"), "entries")
-    sets = _shingle_sets(nodes, keys, texts, repeated)
+    every = materialize(_table_keys(nodes), "keys")
+    keys = materialize(every.join(every.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                                  .filter("a < b").select("key"), "key", "left_semi"), "entries")
+    members = _members(nodes, keys)
+    release(every, nodes)
+    nodes, sets = members, _shingle_sets(members, texts, repeated)
     links = labels = None
     for turn in range(STAR_ROUNDS):
         if labels is None:
@@ -200,11 +212,14 @@ def _links(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame
         near = placed.join(heads, "key").filter("component <> other").select(
             F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
         found = _confirmed(_likely(near, nodes), sets)
+        release(heads)
         if turn and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    return links.union(_confirmed(_across(keys, labels, nodes), sets))
+    links = links.union(_confirmed(_across(keys, labels, nodes), sets))
+    release(keys, nodes, sets)
+    return links
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -269,12 +284,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.filter("n > 0")
     shared = materialize(some.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("k"))
                          .filter("k > 1").drop("k"), "copies")
-    nodes = some.join(shared.withColumnRenamed("node", "head"), "digest", "left") \
-        .filter("head is null or head = row").withColumn("node", F.col("row"))
-    nodes = materialize(nodes.select("node", "doc_id", "text_hash", "n", "subkeys", "sketch", "prints"), "nodes")
+    copied = sieve(shared, "digest")("digest")
+    columns = F.col("row").alias("node"), "doc_id", "text_hash", "n", "subkeys", "sketch", "prints"
+    heads = some.filter(copied).join(shared.withColumnRenamed("node", "head"), "digest", "left").filter("head is null or head = row")
+    nodes = materialize(some.filter(~copied).select(*columns).union(heads.select(*columns)), "nodes")
     repeated = materialize(some.groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count"), "repeated_rows")
+    sketches, rows = rows, materialize(rows.select("row", "doc_id", "text_hash", "n", "digest"), "rows")
+    release(sketches)
     labels = materialize(components(_links(nodes, texts, repeated)), "components")
-    placed = rows.select("row", "doc_id", "text_hash", "n", "digest").join(shared, "digest", "left") \
+    placed = rows.join(shared, "digest", "left") \
         .withColumn("grouped", F.col("node").isNotNull() & (F.col("n") > 0)) \
         .withColumn("node", F.when(F.col("grouped"), F.col("node")).otherwise(F.col("row")))
     placed = placed.join(labels, "node", "left").select(

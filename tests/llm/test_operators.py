@@ -11,6 +11,7 @@ import random
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from tallymark.llm import decontaminate, exact_dedup, licenses, line_dedup, minhash, packing, pii, quality, substring_dedup, warc
 from tallymark.llm.components import components
 from tallymark.llm.queries import ORACLE_SQL, QUERIES
+from tallymark.llm.sieve import sieve
 from tallymark.llm.suffix_array import common_prefixes, suffix_array
+from tallymark.session import shared_root
 from tests.llm.compare import differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -712,3 +715,22 @@ def test_a_repeated_id_stays_within_the_sample(spark, monkeypatch):
     quality.train(docs, ratings, 3, sample=10)
     quality.train(docs, ratings.filter("doc_id = 1"), 3, sample=10)
     assert taken == [10, 1]
+
+
+def test_sieve(spark):
+    """Every key passes, of the rest few do, and a null is a value; a table without keys lets nothing pass."""
+    keys = spark.range(0, 90_000, 3).withColumn("t", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")))
+    rows = spark.range(90_000).withColumn("t", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")))
+    passed = {r.id for r in rows.filter(sieve(keys, "id", "t")("id", "t")).collect()}
+    assert passed >= set(range(0, 90_000, 3)) and len(passed) < 36_000
+    assert rows.filter(sieve(keys.filter("id < 0"), "id")("id")).isEmpty()
+
+
+def test_near_duplicates_leave_no_wide_table(spark):
+    """Sketches, entries and shingle sets go once they are read."""
+    def held():
+        return {p.name for p in Path(shared_root(spark).removeprefix("file:")).iterdir()}
+
+    before = held()
+    minhash.near_duplicates(table(spark, near_rows()[:30])).collect()
+    assert not {name.partition("-")[0] for name in held() - before} & {"sketches", "nodes", "members", "keys", "entries", "sets"}
