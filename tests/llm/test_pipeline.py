@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
-from tests.llm.test_operators import plain_components
+from tallymark.session import shared_root
+from tests.llm.test_operators import plain_components, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +42,15 @@ def test_one_of_each_tells_rows_apart(spark):
     assert got.columns == docs.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted(
         [("3", text), ("None", other), ("7", third), ("8", "None"), ("8", "None"), ("None", " ")])
+
+
+def test_one_of_each_writes_no_second_copy_of_the_texts(spark, tmp_path):
+    def held():
+        return sum(p.stat().st_size for p in Path(shared_root(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    rows = [(k, words(k % 90, 3000, 10**6), "en", "s", 1) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    size, before = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")), held()
+    got = corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{tmp_path}/docs"), FOLDER)
+    assert {r.doc_id for r in got.collect()} == set(range(90))
+    assert held() - before < size / 2
