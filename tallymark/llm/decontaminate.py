@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.worker_table import worker_table
 from tallymark.session import materialize
 
 WINDOW = 5
@@ -118,10 +119,9 @@ class _Lexicon(dict):
         self.update(zip(new, range(here.start, here.stop)))
 
 
-@lru_cache(maxsize=1)
 def _lexicon() -> _Lexicon:
     """The words of a worker process, kept from task to task; it starts anew when it is full."""
-    return _Lexicon()
+    return worker_table(_Lexicon)
 
 
 def _template(raw: list[str], known: _Lexicon, names: bool | None = None, inside: bool = False, sizes: list[int] | None = None):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
 from tallymark.llm.sieve import sieve
+from tallymark.llm.worker_table import drop_table
 from tallymark.session import materialize, release
 
 SHINGLE = 5
@@ -36,7 +37,8 @@ STAR_ROUNDS = 2
 # only by prints that coincide in both sets, so no more are than the set with fewer such prints has.
 SMALL = 256
 _PART = 4096
-_WORDS_KEPT = 1_000_000
+# Hashes of so many words of at most so many bytes are kept in a task; a word is hashed about as fast as it is found.
+_WORDS_KEPT, _LONGEST_KEPT = 20_000, 64
 
 _rng = np.random.default_rng(20240229)
 _POSITION, _FACTOR, _SHIFT, _ROW = (_rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
@@ -48,9 +50,11 @@ _LANE = np.arange(0, 4 * _LANES, 4, dtype=np.uint64)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= _LONGEST_KEPT:
+            if len(self) >= _WORDS_KEPT:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -92,6 +96,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_table()
     hashes = _WordHashes()
     for batch in batches:
         n, digests, keys, sketches, prints = [], [], [], [], []
@@ -112,6 +117,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_table()
     hashes = _WordHashes()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -162,13 +168,15 @@ def _shingle_sets(nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> Da
     """(node, shingles), one row per node. Only the texts of the nodes move, once, for this.
 
     Where several rows are alike in id and text (``repeated``), one of their texts is taken on the map side.
+    The sieve and the shingles each need a Python process; a shuffle between them, which a merge join has
+    at any size, keeps a task at one.
     """
     wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     texts = texts.filter(sieve(nodes, "text_hash")("text_hash"))
     alike = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     several = materialize(wanted.join(repeated, alike, "left_semi"), "several")
     one = materialize(wanted.join(several.select("node"), "node", "left_anti"), "single")
-    found = texts.join(one, alike).select("node", "text").union(
+    found = texts.join(one.hint("merge"), alike).select("node", "text").union(
         texts.join(several, alike).groupBy("node").agg(F.first("text").alias("text")))
     return materialize(found.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 

@@ -11,14 +11,15 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.llm.worker_table import worker_table
 from tallymark.session import materialize
 
 SIZE = 2048
@@ -47,7 +48,7 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.untouched = Tokenizer.from_file(path) if special else None
+        self.path = path
         added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}) if special else []
         self.added = re.compile(b"|".join(re.escape(a.encode()) for a in added)) if added else None
         self.tokenizer.encode_special_tokens = True  # the words of other texts hold none of their strings
@@ -56,6 +57,13 @@ class _WordIds(dict):
         self.flat = np.empty(0, np.uint32)
         self.start, self.length, self.seen = np.zeros((3, 0), np.int64)
 
+    @cached_property
+    def untouched(self):
+        """The tokenizer as it is loaded, for texts that hold an added token; most workers meet none."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -63,12 +71,14 @@ class _WordIds(dict):
         least = 2
         while np.count_nonzero(self.seen >= least) > max(0, _WORDS_KEPT // 2 - room):
             least *= 2
-        kept = [(w, self.flat[self.start[n]:self.start[n] + self.length[n]]) for w, n in self.items() if self.seen[n] >= least]
-        counts = self.seen[self.seen >= least]
+        kept = self.seen >= least
+        words = list(compress(self, kept))  # a word stands in the dictionary at its number
+        start, length, counts = self.start[kept], self.length[kept], self.seen[kept]
+        ends = np.cumsum(length)
+        flat = self.flat[np.repeat(start - (ends - length), length) + np.arange(length.sum())]
         self.clear()
-        self.flat = np.empty(0, np.uint32)
-        self.start, self.length, self.seen = np.zeros((3, 0), np.int64)
-        self._enter([w for w, _ in kept], [ids for _, ids in kept], counts)
+        self.flat, self.start, self.length, self.seen = flat, ends - length, length, counts
+        self.update(zip(words, range(len(words))))
 
     def _enter(self, words: list[bytes], ids: list, counts: np.ndarray) -> None:
         first = len(self)
@@ -134,10 +144,9 @@ class _WordIds(dict):
         return np.split(flat, cuts[:-1])
 
 
-@lru_cache(maxsize=2)
 def _table(path: str, special: bool) -> _WordIds:
     """The words of a worker process, which outlives its tasks: the file is loaded and a word is met once for all of them."""
-    return _WordIds(path, special)
+    return worker_table(_WordIds, path, special)
 
 
 def _pieces(tokenizer: str, size: int, with_ids: bool, special: bool):

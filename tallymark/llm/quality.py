@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.worker_table import drop_table
+
 BITS = 20
 SAMPLE = 12_000  # rated documents that the model is fitted on, at most
 LEAST_DOCS = 4  # a word needs so many documents of the sample to get a weight,
@@ -81,6 +83,7 @@ def features(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_table()
     words = _Words()
     for batch in batches:
         rows = [features(t, words) for t in batch.column("text").to_pylist()]
@@ -195,6 +198,7 @@ def classify(docs: DataFrame, model: Model, cut: int, least: float = 0.5, text_c
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_table()
         own, words = sent.value, _Words()
         for batch in texts:
             tails = own.tails(np.array([own.score(*features(t, words)) for t in batch], np.float64))

@@ -8,6 +8,8 @@ import hashlib
 import io
 import json
 import random
+import re
+import weakref
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -19,12 +21,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, exact_dedup, licenses, line_dedup, minhash, packing, pii, quality, substring_dedup, warc
+from tallymark.llm import decontaminate, exact_dedup, licenses, line_dedup, minhash, packing, pii, quality, substring_dedup, warc, worker_table
 from tallymark.llm.components import components
 from tallymark.llm.queries import ORACLE_SQL, QUERIES
 from tallymark.llm.sieve import sieve
 from tallymark.llm.suffix_array import common_prefixes, suffix_array
-from tallymark.session import shared_root
+from tallymark.session import materialize, shared_root
 from tests.llm.compare import differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -697,6 +699,55 @@ def test_words_outlive_a_task():
     assert packing._table(TOKENIZER, True) is not packing._table(TOKENIZER, False)
 
 
+def test_a_worker_holds_one_table():
+    """The words of one operator go when another begins, as all share Spark's worker processes."""
+    words_of_packing = weakref.ref(packing._table(TOKENIZER, True))
+    words_of_items = weakref.ref(decontaminate._lexicon())
+    assert words_of_packing() is None and words_of_items() is decontaminate._lexicon()
+    for begin in (minhash._sketches, minhash._sets, quality._featurised):
+        decontaminate._lexicon()
+        assert list(begin(iter([]))) == [] and not worker_table._held
+
+
+def test_forgetting_words_keeps_the_ids_of_the_rest(monkeypatch):
+    texts = [words(k, 400, 3000).encode() for k in range(40)]
+    whole = packing._WordIds(TOKENIZER).documents(texts)
+    monkeypatch.setattr(packing, "_WORDS_KEPT", 2000)
+    few = packing._WordIds(TOKENIZER)
+    for turn in range(2):
+        for text, ids in zip(texts, whole):
+            assert few.documents([text])[0].tolist() == ids.tolist()
+            assert len(few) == len(few.start) == len(few.length) == len(few.seen) <= 2000 and list(few.values()) == list(range(len(few)))
+
+
+def test_the_word_hashes_of_a_task_stay_small():
+    hashes = minhash._WordHashes()
+    for k in range(0, 100_000, 1000):
+        text = b" ".join(b"w%d %s%d" % (n, b"x" * 1000, n) for n in range(k, k + 1000))
+        assert minhash.shingle_set(text, hashes).tolist() == minhash.shingle_set(text, minhash._WordHashes()).tolist()
+    assert len(hashes) <= 20_000 and sum(map(len, hashes)) < 2_000_000
+
+
+def test_a_task_of_the_shingle_sets_has_one_python_process(spark, monkeypatch):
+    """However small the tables are, a shuffle lies between the sieve and the shingles."""
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    minhash.near_duplicates(table(spark, near_rows()[:30])).collect()
+    counts, above = [], []  # of the Python steps from a node up to the next shuffle; above: (depth, count) of its ancestors
+    for line in plans["sets"].splitlines():
+        depth = re.search(r"[A-Z]|$", line).start()
+        above = [(d, n) for d, n in above if d < depth]
+        step = "Exchange" not in line.split("[")[0]
+        counts.append(step * ((above or [(0, 0)])[-1][1] + bool(re.search("MapInArrow|ArrowEvalPython", line))))
+        above.append((depth, counts[-1]))
+    assert max(counts) == 1 and counts.count(1) > 3
+
+
 def test_items_with_one_id_are_the_largest_text(spark):
     """The longer text first, the shorter one first, in one partition and in several."""
     long, short = "zebra " + words(1, 30), "apple pear plum"
